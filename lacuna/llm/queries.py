@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, sharding, sql, tokencount
+from . import mixing, pieces, sharding, simhash, sql, tokencount, topk, vectors
 from .common import table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.deduplicate_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,14 @@ def op4_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
@@ -26,5 +38,8 @@ def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_shard_ring, op9_token_counts, op10_sample_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_near_vectors, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op9_token_counts, op10_sample_pieces)
+}
 ORACLES: dict[str, str] = sql.ORACLES
