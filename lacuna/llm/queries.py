@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, sharding, simhash, sql, tokencount, topk, vectors
+from . import langid, mixing, pieces, sharding, simhash, sql, tokencount, topk, toxicity, url_lm, vectors
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.deduplicate_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.deduplicate_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +52,6 @@ def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_vectors, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op9_token_counts, op10_sample_pieces)
+    for f in (op1_near_vectors, op2_url_filter, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op7_language_id, op8_toxicity, op9_token_counts, op10_sample_pieces)
 }
 ORACLES: dict[str, str] = sql.ORACLES
