@@ -284,13 +284,13 @@ def anni_background(spark, sf):
     return anni.background(g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
-@query(sql("SELECT c.x, c.y, round(sum(a.u * b.u), 4) AS anni FROM cand c JOIN uu a ON a.z = c.x JOIN uu b ON b.z = c.y AND b.y = a.y GROUP BY c.x, c.y", "cand", "adj", "tvocc", "total",
+@query(sql("SELECT c.x, c.y, round(sum(a.u * b.u), 6) + 0.0 AS anni FROM cand c JOIN uu a ON a.z = c.x JOIN uu b ON b.z = c.y AND b.y = a.y GROUP BY c.x, c.y", "cand", "adj", "tvocc", "total",
     ends="SELECT x AS z FROM cand UNION SELECT y FROM cand",
     pairs="SELECT e.z, p.n AS oi, o.x AS y, o.n AS oj, coalesce(a.n, 0) AS n, (SELECT n FROM total) AS t FROM ends e JOIN tvocc p ON p.x = e.z CROSS JOIN tvocc o LEFT JOIN adj a ON a.x = e.z AND a.y = o.x",
     uu=f"SELECT z, y, {_u('oi', 'oj', 'n')} AS u FROM pairs"))
 def score_anni(spark, sf):
     g = Graph(spark, sf, at_rest=True)
-    return anni.score_anni(g.candidates(), g.known(), g.counts(), g.sentence_total()).withColumn("anni", F.round("anni", 4))
+    return anni.score_anni(g.candidates(), g.known(), g.counts(), g.sentence_total()).withColumn("anni", F.round("anni", 6) + 0.0)
 
 
 # Factors.
@@ -329,7 +329,7 @@ def count_predictions(spark, sf):
     return svd.count_predictions(f.ids, f.u, SIGMA, f.v, 0.1, f.neighbours)
 
 
-@query(sql("SELECT x, y, round(score, 6) AS score FROM above", "f", above=_ABOVE))
+@query(sql("SELECT x, y, round(score, 6) + 0.0 AS score FROM above", "f", above=_ABOVE))
 def all_pairs_predictions(spark, sf):
     f = Factors(spark, sf)
     return svd.predictions(f.ids, f.u, SIGMA, f.v, 0.1).withColumn("score", F.round("score", 6))
