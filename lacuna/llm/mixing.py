@@ -99,7 +99,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     Columns stay those of ``docs``; the row on a cut is used whole.
     """
-    names = docs.columns
-    carry = tuple(c for c in names if c not in ("doc_id", "source"))
-    used = mix(docs, carry=carry).where("taken > 0").withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
-    return used.select(*names)
+    inner = docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns))  # no name can clash with a result's
+    carry = tuple(c for c in inner.columns if c not in ("_in_doc_id", "_in_source"))
+    used = mix(inner, "_in_doc_id", "_in_source", "_in_text", carry).where("taken > 0")
+    copies = used.withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
+    return copies.select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))
