@@ -98,3 +98,9 @@ def check_cooccurrences(pairs: DataFrame, ids: DataFrame, previous: DataFrame) -
     other = ids.select(F.col("x").alias("y"))
     bad = pairs.join(ids, "x", "left_anti").select("x", "y").unionByName(pairs.join(other, "y", "left_anti").select("x", "y"))
     return bad.unionByName(pairs.join(previous.select("x", "y"), ["x", "y"], "left_semi").select("x", "y")).distinct()
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (repeats counted) that only one of two tables has, with ``side`` a or b."""
+    b = b.select(*a.columns)
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

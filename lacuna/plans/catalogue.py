@@ -216,6 +216,13 @@ def check_filtered(spark, sf):
     return a.unionByName(b)
 
 
+@query(sql("SELECT *, 'a' AS side FROM (SELECT x, y, n FROM tr EXCEPT ALL SELECT x, y, n FROM tv) UNION ALL SELECT *, 'b' FROM (SELECT x, y, n FROM tv EXCEPT ALL SELECT x, y, n FROM tr)", "tr", "tv"))
+def symmetric_difference(spark, sf):
+    """What two versions of the merged matrix have that the other hasn't."""
+    g = Graph(spark, sf)
+    return dataset.symmetric_difference(g.known(SPLIT - 1), g.known())
+
+
 @query(sql("SELECT * FROM neg", "neg"))
 def negatives(spark, sf):
     return Graph(spark, sf).negatives()
@@ -452,6 +459,16 @@ def top_explanations(spark, sf):
     return predict.top(rows.select("x", "y", "class", "arrowsmith", "cuid_x", "cuid_y", "term_x", "term_y"), [F.desc("arrowsmith"), F.col("x"), F.col("y")])
 
 
+_LIST = "(SELECT x, y, \"class\", bitola, arrowsmith, '{0}' AS list FROM scores {1} ORDER BY {2}, x, y LIMIT 10)"
+
+
+@query(sql(" UNION ALL ".join((_LIST.format("best", "", "bitola DESC"), _LIST.format("few_links", "WHERE bitola > 2", "arrowsmith"), _LIST.format("low_score", "WHERE arrowsmith > 1", "bitola"), _LIST.format("false_best", 'WHERE "class" = 0', "bitola DESC"))), "scores"))
+def explanation_lists(spark, sf):
+    """The four ranked lists, by the BITOLA score and the number of linking terms."""
+    rows = settled(all_scores(spark, sf).select("x", "y", "class", "bitola", "arrowsmith"))
+    return predict.explanation_lists(rows, "bitola", "arrowsmith", 2, 1, ["x", "y"])
+
+
 @query(sql("SELECT a.y AS link, a.n AS n_x, b.n AS n_y FROM best JOIN adj a ON a.x = best.x JOIN adj b ON b.x = best.y AND b.y = a.y", "scores", best="SELECT x, y FROM scores ORDER BY arrowsmith DESC, x, y LIMIT 1"))
 def explain_pair(spark, sf):
     """The linking terms of the candidate pair that has most."""
