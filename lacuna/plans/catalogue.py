@@ -406,6 +406,7 @@ def best_k(spark, sf):
     return evaluate.best_k(areas).withColumn("auc", F.round("auc", 6))
 
 
+#: Class balances of the grid (fixed values).
 _BALANCES = [0.00141446976033217173, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 
 

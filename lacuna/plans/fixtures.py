@@ -42,18 +42,27 @@ class Graph:
         self.occurrence = mine.occurrences(self.mentions)
         self.sentences = mine.unit_counts(self.orders)
         self.at_rest = at_rest
+        self.done: dict = {}
         if at_rest:
             self.cooccurrence = settled(self.cooccurrence.repartition("year"), "year")
             self.occurrence = settled(self.occurrence.repartition("year"), "year")
 
+    def once(self, name: str, year: int, make) -> DataFrame:
+        """A part of the graph; at rest, it is written when first asked for."""
+        if not self.at_rest:
+            return make()
+        if (name, year) not in self.done:
+            self.done[name, year] = settled(make())
+        return self.done[name, year]
+
     def known(self, last: int = SPLIT) -> DataFrame:
-        return dataset.known_pairs(self.cooccurrence, last)
+        return self.once("known", last, lambda: dataset.known_pairs(self.cooccurrence, last))
 
     def ids(self, last: int = SPLIT) -> DataFrame:
-        return ids_of(self.cooccurrence.where(F.col("year") <= last).select("x", "y"))
+        return self.once("ids", last, lambda: ids_of(self.known(last) if self.at_rest else self.cooccurrence.where(F.col("year") <= last)))
 
     def counts(self, last: int = SPLIT) -> DataFrame:
-        return dataset.known_occurrences(self.occurrence, self.ids(last), last)
+        return self.once("counts", last, lambda: dataset.known_occurrences(self.occurrence, self.ids(last), last))
 
     def sentence_total(self, last: int = SPLIT) -> int:
         return dataset.known_sentences(self.sentences, last).first()["n"]
@@ -62,7 +71,7 @@ class Graph:
         return dataset.holdout(self.cooccurrence, self.ids(SPLIT - 1), SPLIT)
 
     def testing(self) -> DataFrame:
-        return dataset.holdout(self.cooccurrence, self.ids(), SPLIT, later=True)
+        return self.once("testing", SPLIT, lambda: dataset.holdout(self.cooccurrence, self.ids(), SPLIT, later=True))
 
     def positives(self) -> DataFrame:
         return dataset.draw(self.testing(), SAMPLE)
@@ -72,8 +81,7 @@ class Graph:
         return dataset.negatives(self.ids(), truth, SAMPLE, TRIES)
 
     def candidates(self) -> DataFrame:
-        found = dataset.labelled(self.positives(), self.negatives())
-        return settled(found) if self.at_rest else found
+        return self.once("candidates", SPLIT, lambda: dataset.labelled(self.positives(), self.negatives()))
 
 
 class Factors:
