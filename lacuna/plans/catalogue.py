@@ -175,7 +175,7 @@ def split_ids(spark, sf):
 
 @query(sql("SELECT * FROM tvocc", "tvocc"))
 def split_occurrences(spark, sf):
-    return Graph(spark, sf).counts()
+    return Graph(spark, sf, at_rest=True).counts()
 
 
 @query(f"SELECT count(*) AS n FROM orders WHERE year(o_orderdate) <= {SPLIT}")
@@ -185,17 +185,17 @@ def split_sentence_count(spark, sf):
 
 @query(sql("SELECT year, x, y, n FROM val", "val"))
 def holdout_validation(spark, sf):
-    return Graph(spark, sf).validation()
+    return Graph(spark, sf, at_rest=True).validation()
 
 
 @query(sql("SELECT year, x, y, n FROM test", "test"))
 def holdout_testing_by_year(spark, sf):
-    return Graph(spark, sf).testing()
+    return Graph(spark, sf, at_rest=True).testing()
 
 
 @query(sql("SELECT x, y, CAST(sum(n) AS BIGINT) AS n FROM test GROUP BY ALL", "test"))
 def testing_all(spark, sf):
-    return matrix.merge_pairs(Graph(spark, sf).testing())
+    return matrix.merge_pairs(Graph(spark, sf, at_rest=True).testing())
 
 
 @query(sql("SELECT x, y, CAST(sum(n) AS BIGINT) AS n FROM co GROUP BY ALL", "co"))
@@ -205,12 +205,12 @@ def all_cooccurrences(spark, sf):
 
 @query(sql("SELECT year, x, y, n FROM pos", "pos"))
 def holdout_subset(spark, sf):
-    return Graph(spark, sf).positives()
+    return Graph(spark, sf, at_rest=True).positives()
 
 
 @query(sql("SELECT 'cooccurrence' AS what, count(*) AS bad FROM test WHERE x NOT IN (SELECT x FROM tvids) OR y NOT IN (SELECT x FROM tvids) OR (x, y) IN (SELECT (x, y) FROM tv) UNION ALL SELECT 'occurrence', count(*) FROM tvocc WHERE x NOT IN (SELECT x FROM tvids)", "test", "tv", "tvocc"))
 def check_filtered(spark, sf):
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     parts = {"cooccurrence": dataset.check_cooccurrences(g.testing(), g.ids(), g.known()), "occurrence": dataset.check_occurrences(g.counts(), g.ids())}
     a, b = (df.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(name).alias("what"), "bad") for name, df in parts.items())
     return a.unionByName(b)
@@ -219,23 +219,23 @@ def check_filtered(spark, sf):
 @query(sql("SELECT *, 'a' AS side FROM (SELECT x, y, n FROM tr EXCEPT ALL SELECT x, y, n FROM tv) UNION ALL SELECT *, 'b' FROM (SELECT x, y, n FROM tv EXCEPT ALL SELECT x, y, n FROM tr)", "tr", "tv"))
 def symmetric_difference(spark, sf):
     """What two versions of the merged matrix have that the other hasn't."""
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     return dataset.symmetric_difference(g.known(SPLIT - 1), g.known())
 
 
 @query(sql("SELECT * FROM neg", "neg"))
 def negatives(spark, sf):
-    return Graph(spark, sf).negatives()
+    return Graph(spark, sf, at_rest=True).negatives()
 
 
 @query(sql('SELECT x, y, "class" FROM cand', "cand"))
 def labelled_candidates(spark, sf):
-    return Graph(spark, sf).candidates()
+    return Graph(spark, sf, at_rest=True).candidates()
 
 
 @query(sql("SELECT *, round(test / (terms * (terms + 1) / 2.0 - known), 12) AS class_balance FROM (SELECT (SELECT count(*) FROM tvids) AS terms, (SELECT count(*) FROM tv) AS known, (SELECT count(*) FROM test) AS test)", "test"))
 def class_balance(spark, sf):
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     return dataset.class_balance(g.ids(), g.known(), g.testing()).withColumn("class_balance", F.round("class_balance", 12))
 
 
@@ -281,13 +281,13 @@ def _u(i: str, j: str, n: str) -> str:
 @query(sql(f"SELECT x, y, round({_u('oi', 'oj', 'n')}, 6) AS u FROM (SELECT a.x, a.y, a.n, p.n AS oi, q.n AS oj, (SELECT n FROM total) AS t FROM adj a JOIN tvocc p ON p.x = a.x JOIN tvocc q ON q.x = a.y)", "adj", "tvocc", "total"))
 def anni_vectors(spark, sf):
     """Entries of co-occurring concepts; all others follow from ``anni_background``."""
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     return anni.concept_vectors(g.known(), g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
 @query(sql(f"SELECT oi, oj, round({_u('oi', 'oj', '0')}, 6) AS u FROM (SELECT p.n AS oi, q.n AS oj, (SELECT n FROM total) AS t FROM k p, k q)", "tvocc", "total", k="SELECT DISTINCT n FROM tvocc"))
 def anni_background(spark, sf):
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     return anni.background(g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
@@ -481,7 +481,7 @@ def explain_pair(spark, sf):
 
 @query(sql("SELECT 'documents' AS statistic, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'terms', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'known', count(*) FROM tv UNION ALL SELECT 'ids', count(*) FROM tvids UNION ALL SELECT 'testing', count(*) FROM test", "test", "tv"))
 def corpus_statistics(spark, sf):
-    g = Graph(spark, sf)
+    g = Graph(spark, sf, at_rest=True)
     return predict.corpus_statistics(documents=table(spark, sf, "documents"), pages=table(spark, sf, "pages"), terms=table(spark, sf, "part").select("p_brand").distinct(), known=g.known(), ids=g.ids(), testing=g.testing())
 
 

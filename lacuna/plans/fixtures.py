@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Graph:
     """The concept graph of one input folder; each part is a lazy DataFrame.
 
-    ``at_rest`` writes the counts by year once, as queries of several stages
-    read them many times.
+    ``at_rest`` writes each part when it is first asked for, as queries of
+    several stages read them many times.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, at_rest: bool = False):
@@ -38,21 +38,25 @@ class Graph:
         joined = items.join(self.orders, items["l_orderkey"] == self.orders["o_orderkey"])
         self.mentions = joined.select(F.col("l_orderkey").alias("unit"), "year", F.col("l_partkey").alias("t"))
         self.by_document = joined.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("year").cast("string")).alias("unit"), "year", F.col("l_partkey").alias("t"))
-        self.cooccurrence = mine.cooccurrences(self.mentions)
-        self.occurrence = mine.occurrences(self.mentions)
         self.sentences = mine.unit_counts(self.orders)
         self.at_rest = at_rest
         self.done: dict = {}
-        if at_rest:
-            self.cooccurrence = settled(self.cooccurrence.repartition("year"), "year")
-            self.occurrence = settled(self.occurrence.repartition("year"), "year")
 
-    def once(self, name: str, year: int, make) -> DataFrame:
+    @property
+    def cooccurrence(self) -> DataFrame:
+        return self.once("cooccurrence", 0, lambda: mine.cooccurrences(self.mentions), "year")
+
+    @property
+    def occurrence(self) -> DataFrame:
+        return self.once("occurrence", 0, lambda: mine.occurrences(self.mentions), "year")
+
+    def once(self, name: str, year: int, make, *partition_by: str) -> DataFrame:
         """A part of the graph; at rest, it is written when first asked for."""
         if not self.at_rest:
             return make()
         if (name, year) not in self.done:
-            self.done[name, year] = settled(make())
+            made = make()
+            self.done[name, year] = settled(made.repartition(*partition_by) if partition_by else made, *partition_by)
         return self.done[name, year]
 
     def known(self, last: int = SPLIT) -> DataFrame:
