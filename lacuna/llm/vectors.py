@@ -99,6 +99,13 @@ def signatures(unit: np.ndarray, m: int, bits: int) -> tuple[np.ndarray, np.ndar
     return (unit @ lines).astype(np.float32), cells
 
 
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in double precision; no square over- or underflows."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt(np.square(v).sum(1, keepdims=True))
+
+
 def sweep(j: int, side: np.ndarray, line: np.ndarray, cells: np.ndarray, unit: np.ndarray, copies: np.ndarray, window: float, threshold: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of one cell of projection ``j`` found nowhere before: (links, labels) of its items.
 
@@ -143,20 +150,20 @@ def sweep(j: int, side: np.ndarray, line: np.ndarray, cells: np.ndarray, unit: n
 def near_links(distinct: DataFrame, n: int, cosine: float = COSINE, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
     """(rep, copies, v) distinct vectors -> (rep, links, label), partial sums and forest edges."""
     plan = calibrate(n, cosine, recall)
+    # Vectors travel as they are stored: single precision takes half of double.
+    stored = np.float32 if distinct.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     m, bits, window, threshold = plan["m"], plan["bits"], plan["window"], plan["threshold"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(stored)
                 dims = np.diff(part.column(2).offsets.to_numpy())
                 starts = np.cumsum(dims) - dims
                 for d in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == d)
                     v = flat[starts[at][:, None] + np.arange(d)]
-                    v /= np.abs(v).max(1, keepdims=True)  # no square over- or underflows
-                    v /= np.sqrt(np.square(v).sum(1, keepdims=True))
-                    line, cells = signatures(v, m, bits)
+                    line, cells = signatures(unit_rows(v), m, bits)
                     rep = part.column(0).to_numpy(zero_copy_only=False)[at]
                     copies = part.column(1).to_numpy(zero_copy_only=False)[at]
                     packed = [x.tobytes() + y.tobytes() + z.tobytes() for x, y, z in zip(line, cells, v)]
@@ -181,7 +188,7 @@ def near_links(distinct: DataFrame, n: int, cosine: float = COSINE, recall: floa
         raw = np.frombuffer(b"".join(tile.column("packed").to_pylist()), np.uint8).reshape(tile.num_rows, -1)
         line = raw[:, : 4 * m].copy().view(np.float32)
         cells = raw[:, 4 * m : 8 * m].copy().view(np.int32)
-        unit = raw[:, 8 * m :].copy().view(np.float64).reshape(-1, dims)
+        unit = unit_rows(raw[:, 8 * m :].copy().view(stored).reshape(-1, dims))
         rep = tile.column("rep").to_numpy()
         side = tile.column("own").to_numpy()
         copies = tile.column("copies").to_numpy()
