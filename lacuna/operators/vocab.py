@@ -70,10 +70,12 @@ def tag(sentences: DataFrame, words: DataFrame, longest: int, key: tuple[str, ..
     """
     ids = words.groupBy("tokens").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).withColumn("_gram", F.array_join("tokens", "\u0001")).select("_gram", "ids")
     low = T.lowered(F.col(tokens))
-    grams = []
-    for n in range(1, longest + 1):
+
+    def grams_of(n: int) -> Column:
         places = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(places, lambda i, n=n: F.struct(F.lit(n).alias("length"), i.alias("start"), F.array_join(F.slice("_t", i, n), "\u0001").alias("_gram"))))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("length"), i.alias("start"), F.array_join(F.slice("_t", i, F.lit(n)), "\u0001").alias("_gram")))
+
+    grams = [grams_of(n) for n in range(1, longest + 1)]
     spread = sentences.select(*key, low.alias("_t")).select(*key, F.explode(F.flatten(F.array(*grams))).alias("g")).select(*key, "g.*")
     hits = spread.join(ids, "_gram").groupBy(*key).agg(F.collect_list(F.struct("length", "start", "ids")).alias("_hits"))
     return hits.select(*key, greedy(F.col("_hits")).alias("ids"))
