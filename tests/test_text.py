@@ -114,7 +114,7 @@ def test_citations(spark, tmp_path):
     (tmp_path / "c.xml").write_text(CITATIONS)
     got = {r.pmid: r for r in markup.read_citations(spark, str(tmp_path / "c.xml")).collect()}
     assert got["11"].pub_year == 1999 and got["12"].pub_year == 2001
-    assert list(got["11"].blocks) == ["Old title here.", "A > B  .", "Second."]
+    assert list(got["11"].blocks) == ["Old title  here.", "A > B  .", "Second."]
     left = markup.without_excluded(markup.read_citations(spark, str(tmp_path / "c.xml")), spark.createDataFrame([("11",)], "pmid string"))
     assert [r.pmid for r in left.collect()] == ["12"]
 
