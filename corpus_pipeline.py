@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import langid, mixing, pieces, simhash, toxicity
+from lacuna.llm import langid, mixing, nearcopies, pieces, toxicity
 from lacuna.llm.common import settle, table
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each SimHash group."""
-    return simhash.one_of_each_group(docs)
+    """Keeps the smallest document of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
+    return nearcopies.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,26 +45,31 @@ STRIP = 128
 HASHED_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint of a whole text."""
+def hashes(text: str | None, size: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of all shingles of a whole text, in blocks."""
     import xxhash
 
     words = text.encode().lower().split() if text else []  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(size, len(words))
     starts, ends = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), HASHED_AT_ONCE):
         spans = zip(starts[at : at + HASHED_AT_ONCE], ends[at : at + HASHED_AT_ONCE])
-        hashes = np.array([digest(line[a:b], seed) for a, b in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(starts))
-    return int.from_bytes(bits.tobytes(), "big")
+        yield np.array([digest(line[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit fingerprint of a whole text."""
+    ones, n = np.zeros(64, np.int64), 0
+    for block in hashes(text, size, seed):
+        ones += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(block)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,10 +88,11 @@ def quarter_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> np.ndarray:
+def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
     """Labels of the items of a tile (left ones, then right ones); equal ones are linked.
 
-    Without ``right``, the left chunk is compared with itself.
+    Without ``right``, the left chunk is compared with itself.  ``wide`` has
+    further words of bits of all items: links must be within ``wide_radius`` there, too.
     """
     own = right is None
     all_fp = left if own else np.concatenate([left, right])
@@ -110,33 +116,41 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS
         if not len(at):
             continue
         i, j = np.nonzero(np.bitwise_count(fp_a[cut : cut + STRIP, None] ^ fp_b[None, at]) <= radius)
-        forest.link(at_a[cut + i], at_b[at[j]])
+        i, j = at_a[cut + i], at_b[at[j]]
+        if wide is not None:
+            near_too = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= wide_radius
+            i, j = i[near_too], j[near_too]
+        forest.link(i, j)
     return forest.label
 
 
-def links_of_fingerprints(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(fp, rep) distinct fingerprints -> (a, b), a spanning forest of each tile's links."""
+def links_of_fingerprints(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, wide: tuple[str, ...] = (), wide_radius: int = 0) -> DataFrame:
+    """(fp, rep) distinct fingerprints -> (a, b), a spanning forest of each tile's links.
+
+    ``wide`` names columns of further bits, see ``tile_forest``; then each ``rep`` has a row.
+    """
     count = F.bit_count("fp").cast("int")
     sizes = dict(distinct.groupBy(count.alias("c")).count().collect())  # 65 classes at most
     chunks = [max(1, -(-sizes.get(c, 0) // chunk)) if c in sizes else 0 for c in range(65 + radius)]
     first = np.concatenate([[0], np.cumsum(chunks)]).tolist()  # chunks are numbered class by class
     lookup = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
     number = lookup(first, F.col("_c")) + F.pmod(F.xxhash64("fp"), lookup([max(1, x) for x in chunks], F.col("_c"))).cast("int")
-    packed = settle(distinct.withColumn("_c", count).withColumn("_k", number).groupBy("_c", "_k").agg(F.collect_list(F.struct("fp", "rep")).alias("items")))
+    packed = settle(distinct.withColumn("_c", count).withColumn("_k", number).groupBy("_c", "_k").agg(F.collect_list(F.struct("fp", "rep", *wide)).alias("items")))
     last = lookup(first[1:], F.col("_c") + radius) - 1  # partners: from the chunk itself to the last one in reach
     before = lookup(first, F.greatest(F.col("_c") - radius, F.lit(0)))
     left = packed.withColumn("_j", F.explode(F.sequence(F.col("_k"), last))).select(F.col("_k").alias("i"), F.col("_j").alias("j"), F.lit(0).alias("side"), "items")
     right = packed.withColumn("_i", F.explode(F.sequence(before, F.col("_k")))).where("_i < _k").select(F.col("_i").alias("i"), F.col("_k").alias("j"), F.lit(1).alias("side"), "items")
 
     def compare(tile: pa.Table) -> pa.Table:
-        fps, reps = [None, None], [None, None]
+        fps, reps, more = [None, None], [None, None], [None, None]
         for side, items in zip(tile.column("side").to_pylist(), tile.column("items")):
             fps[side] = items.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             reps[side] = items.values.field("rep").to_numpy(zero_copy_only=False)
+            more[side] = np.stack([items.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in wide], 1) if wide else None
         same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
         if fps[0] is None or (fps[1] is None and not same):  # by chance, a chunk got nothing
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        label = tile_forest(fps[0], fps[1], radius)
+        label = tile_forest(fps[0], fps[1], radius, np.concatenate([m for m in more if m is not None]) if wide else None, wide_radius)
         rep = reps[0] if reps[1] is None else np.concatenate(reps)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(rep[label[moved]].astype(np.int64)), "b": pa.array(rep[moved].astype(np.int64))})
