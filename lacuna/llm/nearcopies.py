@@ -8,29 +8,34 @@ pipeline's stage has parameters of its own:
 1. A text becomes the set of XXH64 hashes of its five-word shingles.  Texts of
    one set are one node (``node`` is the set's hash).  A node has 256 majority
    bits over its *distinct* shingles: 64 from the hashes, 192 from mixed hashes.
-2. All nodes are compared by the tiles of ``simhash`` at ``RADIUS`` bits of 64;
-   pairs found must also be within ``WIDE_RADIUS`` bits of the other 192.  A bit
-   of a pair at Jaccard 0.8 differs with probability 0.1875 at most (4 of 5
-   shingles shared; 0.15 for long texts), so by the binomial distribution the
-   tiles find at least 0.999 of such pairs, and 0.9999 of pairs of long texts.
-   Pairs without a common shingle pass both at a rate of about 1e-9.
-3. Tiles return spanning forests.  Within each component of those, *every* pair
-   within the radii counts as similar only by its exact Jaccard similarity, in
-   blocks of ``BLOCK`` nodes a side; pairs already linked need no check.
+2. Nodes are compared by the tiles of ``simhash`` at ``RADIUS`` bits of 64; pairs
+   found must also be within ``WIDE_RADIUS`` bits of the other 192.  A bit of a
+   pair at Jaccard 0.8 differs with probability 0.1875 at most (4 of 5 shingles
+   shared; 0.15 for long texts), so by the binomial distribution the tiles find
+   at least 0.999 of such pairs, and 0.9999 of pairs of long texts.  Population
+   counts prune nothing at that radius; the sizes of the sets do, exactly: sets
+   at Jaccard 0.8 differ in size by a quarter at most, so the tiles' classes are
+   logarithms of sizes (``STEPS`` for each quarter).
+3. Tiles return spanning forests of pairs, and each of these pairs is checked by
+   its exact Jaccard similarity.  Groups in which all pairs hold are done.  In
+   the others, *every* pair within the radii that isn't linked yet is checked,
+   in blocks of ``BLOCK`` nodes a side.
 
 Defined cases: fewer than five words are one shingle; texts that are null or
 without words are copies of each other; of a group, the row of the smallest id
 stays (rows without id come last; ties by a hash of the row), and nothing else
-of it; rows of one id in different groups are different documents.
+of it; rows of one id in different groups are different documents; other
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -43,6 +48,9 @@ SIMILAR = (4, 5)  # 0.8, in whole numbers
 RADIUS = 22
 WIDE_RADIUS = 60
 BLOCK = 1024
+#: Size classes for each factor of 5/4; one more is compared, for rounding.
+STEPS = 8
+WORDS = ("fp", "w1", "w2", "w3")
 MIXED = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)))
 
 
@@ -72,21 +80,21 @@ def bits(found: np.ndarray) -> np.ndarray:
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(row, id, text) -> (row, id, node, fp, wide)."""
+    """(row, id, text) -> (row, id, node, size, fp, w1, w2, w3)."""
     import xxhash
 
-    kind = rows.schema["id"].dataType.simpleString()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, words = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, 4), np.uint64)
+            nodes, sizes, words = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 4), np.uint64)
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = shingles(text)
-                nodes[i], words[i] = xxhash.xxh64_intdigest(found.tobytes()), bits(found)
+                nodes[i], sizes[i], words[i] = xxhash.xxh64_intdigest(found.tobytes()), len(found), bits(found)
             wide = [pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), *wide], names=["row", "id", "node", "fp", "w1", "w2", "w3"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), *wide], names=["row", "id", "node", "size", *WORDS])
 
-    return rows.select("row", "id", "text").mapInArrow(digest, f"row long, id {kind}, node long, fp long, w1 long, w2 long, w3 long")
+    return rows.select("row", "id", "text").mapInArrow(digest, f"row {kinds['row']}, id {kinds['id']}, node long, size long, fp long, w1 long, w2 long, w3 long")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -98,53 +106,95 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def block_forest(words: np.ndarray, sets: list[np.ndarray], split: int | None) -> np.ndarray:
-    """Labels of the nodes of one block, or of two (the second from ``split`` on), after exact checks."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) and (node, text) -> (a, b, holds), by exact similarity."""
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, held, holds = None, np.zeros(0, np.uint64), []
+            for a, one, other in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if a != last:  # a pair's first end often has many
+                    last, held = a, shingles(one)
+                holds.append(similar(held, shingles(other)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(holds, pa.bool_())], names=["a", "b", "holds"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, holds boolean")
+
+
+def block_forest(words: np.ndarray, sets: list[np.ndarray], known: np.ndarray, split: int | None) -> Forest:
+    """The forest of the nodes of one block, or of two (the second from ``split`` on); those of one ``known`` component are linked."""
     forest = Forest(len(sets))
+    _, first, back = np.unique(known, return_index=True, return_inverse=True)
+    forest.label = first[back]
     for a in range(len(sets) if split is None else split):
-        first = a + 1 if split is None else split
-        apart = np.bitwise_count(words[first:] ^ words[a])
-        for b in (first + np.flatnonzero((apart[:, 0] <= RADIUS) & (apart[:, 1:].sum(1) <= WIDE_RADIUS))).tolist():
+        start = a + 1 if split is None else split
+        apart = np.bitwise_count(words[start:] ^ words[a])
+        close = (apart[:, 0] <= RADIUS) & (apart[:, 1:].sum(1) <= WIDE_RADIUS) & (forest.label[start:] != forest.label[a])
+        for b in (start + np.flatnonzero(close)).tolist():
             if forest.label[a] != forest.label[b] and similar(sets[a], sets[b]):
                 forest.link(np.array([a]), np.array([b]))
-    return forest.label
+    return forest
 
 
 def checked(items: DataFrame) -> DataFrame:
-    """(node, group, fp, w1..w3, text) of candidates -> (a, b), links that hold, as forests of each pair of blocks."""
+    """(node, group, known, fp, w1..w3, text) of candidates -> (a, b), links that hold, as forests of each pair of blocks."""
     sizes = items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = items.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     ways = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ways = ways.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "fp", "w1", "w2", "w3", "text")
+    ways = ways.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "known", *WORDS, "text")
 
     def check(tile: pa.Table) -> pa.Table:
         block = tile.column("b").to_numpy()
         order = np.argsort(block, kind="stable")
         two = tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
-        node = tile.column("node").to_numpy()[order]
-        words = np.stack([tile.column(c).to_numpy() for c in ("fp", "w1", "w2", "w3")], 1)[order].view(np.uint64)
+        node, known = (tile.column(c).to_numpy()[order] for c in ("node", "known"))
+        words = np.stack([tile.column(c).to_numpy() for c in WORDS], 1)[order].view(np.uint64)
         texts = tile.column("text")
         sets = [shingles(texts[int(at)].as_py()) for at in order]
-        label = block_forest(words, sets, int((block == block.min()).sum()) if two else None)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(node[label[moved]]), "b": pa.array(node[moved])})
+        a, b = block_forest(words, sets, known, int((block == block.min()).sum()) if two else None).pairs()
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     return ways.groupBy("group", "i", "j").applyInArrow(check, "a long, b long")
 
 
+def components_of(pairs: DataFrame, into: str) -> DataFrame:
+    """(node, ``into``) for every node of a pair, its component's smallest one included."""
+    found = connect(pairs).withColumnRenamed("component", into)
+    return found.unionByName(found.select(F.col(into).alias("node"), into).distinct())
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, size, words of bits, row) and (row, text) -> (a, b), pairs of nodes that connect all similar ones."""
+    size_class = F.floor(F.ln(F.greatest("size", F.lit(1))) * F.lit(STEPS / math.log(SIMILAR[1] / SIMILAR[0]))).cast("short")
+    found = simhash.links(nodes.select("fp", F.col("node").alias("rep"), "w1", "w2", "w3", "size"), {"_size": size_class}, RADIUS, STEPS + 1, wide=WORDS[1:], wide_radius=WIDE_RADIUS)
+    pairs = settle(found)
+    groups = settle(components_of(pairs, "group"))
+    wanted = nodes.join(groups, "node").select("node", "group", *WORDS, "row")
+    items = settle(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "group", *WORDS, "text"))  # rows may repeat
+    results = settle(verified(pairs, items))
+    held = results.where("holds").select("a", "b")
+    open_groups = results.where("not holds").join(groups, F.col("a") == groups["node"]).select("group").distinct()
+    rest = items.join(open_groups, "group", "left_semi").join(components_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    return held.unionByName(checked(settle(rest)))
+
+
+def row_identity(df: DataFrame) -> Column:
+    """128 bits of all columns and of which are null."""
+    parts = [*df.columns, *(F.col(c).isNull() for c in df.columns)]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("row"), *parts).alias("h2"))
+
+
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies; columns as in ``docs``."""
-    named = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows = digests(named.select(F.col("_row").alias("row"), F.col(key).alias("id"), F.col(text).cast("string").alias("text")))
+    inner = docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns))  # no name can clash
+    named = inner.withColumn("row", row_identity(inner))
+    texts = named.select("row", F.col(f"_in_{text}").cast("string").alias("text"))
+    rows = digests(named.select("row", F.col(f"_in_{key}").alias("id"), F.col(f"_in_{text}").cast("string").alias("text")))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    nodes = settle(rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("fp", "w1", "w2", "w3"))))
-    candidates = simhash.links_of_fingerprints(nodes.select("fp", F.col("node").alias("rep"), "w1", "w2", "w3"), RADIUS, wide=("w1", "w2", "w3"), wide_radius=WIDE_RADIUS)
-    found = connect(candidates)
-    found = settle(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("component", "group"))
-    texts = named.select(F.col("_row").alias("row"), F.col(text).cast("string").alias("text"))
-    wanted = nodes.join(found, "node").select("node", "group", "fp", "w1", "w2", "w3", F.col("first.row").alias("row"))
-    items = texts.join(wanted, "row").dropDuplicates(["node"])  # repeated rows
-    same = connect(checked(settle(items.select("node", "group", "fp", "w1", "w2", "w3", "text"))))
+    nodes = settle(rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("size", *WORDS))))
+    same = connect(similar_pairs(nodes.withColumn("row", F.col("first.row")), texts))
     chosen = nodes.join(same, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    kept = named.join(chosen.select(F.col("first.row").alias("_row")), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    kept = named.join(chosen.select("first.row"), "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))

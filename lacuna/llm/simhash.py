@@ -1,26 +1,27 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 A fingerprint bit is the majority of that bit over the XXH64 hashes of the
-text's three-word shingles.  Distinct fingerprints are dealt by population
-count into classes and each class, by hash, into chunks of about ``CHUNK``;
-every pair of chunks whose counts differ by no more than the radius becomes one
-tile, compared with exclusive-or and bit counts in numpy.  No bucket is probed
-and nothing is estimated, so no link is lost.  Within a tile, both chunks are
-sorted by the counts of their four quarters and cut into strips; strips whose
-quarter counts are apart by more than the radius are skipped as well (the sum
-of differences of part counts never exceeds the distance).
-
-A tile returns a spanning forest of its links, at most one row for each of its
+text's three-word shingles.  Distinct fingerprints fall into classes by their
+population count and the counts of their four quarters (17 ** 4 classes at
+most); classes in that order make chunks of about equal size, a large class
+several, by hash.  A chunk knows the least and greatest counts in it.  Pairs of
+chunks whose counts are apart by more than the radius cannot hold a link (the
+sum of differences of part counts never exceeds the distance) and are dropped
+before anything is sent; every other pair is one tile, compared with
+exclusive-or and bit counts in numpy, strips that are too far apart left out.
+No bucket is probed and nothing is estimated, so no link is lost.
+
+A tile returns a spanning forest of its links, less than one row for each of its
 fingerprints, so a huge group of near copies costs comparisons but no rows.
 Copies of one fingerprint (documents without words, say) are one fingerprint.
-
-Chunk numbers come from the class sizes, 65 numbers at most; fingerprints,
-links and components stay in the cluster.
+Fingerprints, links and components stay in the cluster.
 
 Defined cases: a text that is null or has no words has fingerprint zero and is
 linked like any other; a text of any length is hashed in blocks; rows without a
-key take part but name no component (a component of such rows only is null);
-repeated rows are copies; an empty table gives no rows.
+key take part, link others, and have the component of what they reach (null if
+no row with a key is); rows of one key with different texts are different rows;
+repeated rows are copies; an empty table gives no rows; other columns, whatever
+their names, never enter the plan.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Settled, settle
@@ -40,8 +40,9 @@ from .forest import Forest
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-CHUNK = 1 << 14
-STRIP = 128
+#: Chunks number about ``CHUNKS``, so that small tables make tasks enough, but hold at least and at most so many items.
+CHUNKS, LEAST, MOST = 24, 1 << 12, 1 << 16
+STRIP, COLUMNS = 128, 2048
 HASHED_AT_ONCE = 1 << 16
 
 
@@ -84,103 +85,114 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(hashed, f"key {kind}, fp long")
 
 
-def quarter_counts(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+def quarter_counts(fp: str = "fp") -> dict[str, Column]:
+    """The population count of a fingerprint and of its four quarters."""
+    quarters = {f"_q{i}": F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("byte") for i in range(4)}
+    return {"_all": F.bit_count(fp).cast("byte"), **quarters}
+
+
+def gap(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    """How far boxes of counts are apart: in the first count, or in the sum of the others."""
+    apart = np.maximum(np.maximum(low_a - high_b, low_b - high_a), 0)
+    return np.maximum(apart[:, 0], apart[:, 1:].sum(1))
+
+
+class Side:
+    """The items of a chunk in the order of their counts, cut into strips."""
+
+    def __init__(self, counts: np.ndarray, words: np.ndarray, shift: int, strip: int):
+        order = np.lexsort(counts.T[::-1])
+        counts = counts[order].astype(np.int16)
+        self.cuts = np.arange(0, len(order), strip)
+        self.low, self.high = (f.reduceat(counts, self.cuts, axis=0) for f in (np.minimum, np.maximum))
+        self.words, self.at, self.strip = words[order], order + shift, np.arange(len(order)) // strip
+        self.fp = np.ascontiguousarray(self.words[:, 0])
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
-    """Labels of the items of a tile (left ones, then right ones); equal ones are linked.
+def tile_forest(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, radius: int = RADIUS, reach: int = RADIUS, wide_radius: int = 0) -> Forest:
+    """The forest of a tile's items (left ones, then right ones).
 
-    Without ``right``, the left chunk is compared with itself.  ``wide`` has
-    further words of bits of all items: links must be within ``wide_radius`` there, too.
+    A side is its counts (n, classes) and words of bits (n, 1 or more); links are
+    within ``radius`` bits in the first word and ``wide_radius`` in all others.
+    Without ``right``, the left chunk is compared with itself.
     """
     own = right is None
-    all_fp = left if own else np.concatenate([left, right])
-    forest = Forest(len(all_fp))
-    parts = []
-    for fp, shift in ((left, 0),) if own else ((left, 0), (right, len(left))):
-        counts = quarter_counts(fp)
-        order = np.lexsort(counts.T[::-1])
-        cuts = np.arange(0, len(fp), STRIP)
-        counts = counts[order]
-        low, high = (f.reduceat(counts, cuts, axis=0) if len(cuts) else counts for f in (np.minimum, np.maximum))
-        parts.append((fp[order], order + shift, cuts, low, high))
-    (fp_a, at_a, cuts_a, low_a, high_a), (fp_b, at_b, _, low_b, high_b) = parts[0], parts[-1]
-    strip_b = np.arange(len(fp_b)) // STRIP
-    for s, cut in enumerate(cuts_a):
-        apart = np.maximum(np.maximum(low_a[s] - high_b, low_b - high_a[s]), 0).sum(1)
-        near = apart <= radius
+    forest = Forest(len(left[0]) + (0 if own else len(right[0])))
+    if not len(left[0]) or not (own or len(right[0])):
+        return forest
+    a = Side(*left, 0, STRIP)
+    b = a if own else Side(*right, len(left[0]), STRIP)
+    for s, cut in enumerate(a.cuts):
+        near = gap(a.low[s], a.high[s], b.low, b.high) <= reach
         if own:
             near[:s] = False
-        at = np.flatnonzero(near[strip_b])
-        if not len(at):
-            continue
-        i, j = np.nonzero(np.bitwise_count(fp_a[cut : cut + STRIP, None] ^ fp_b[None, at]) <= radius)
-        i, j = at_a[cut + i], at_b[at[j]]
-        if wide is not None:
-            near_too = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= wide_radius
-            i, j = i[near_too], j[near_too]
-        forest.link(i, j)
-    return forest.label
-
-
-def links_of_fingerprints(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, wide: tuple[str, ...] = (), wide_radius: int = 0) -> DataFrame:
-    """(fp, rep) distinct fingerprints -> (a, b), a spanning forest of each tile's links.
-
-    ``wide`` names columns of further bits, see ``tile_forest``; then each ``rep`` has a row.
+        at = np.flatnonzero(near[b.strip])
+        for c in range(0, len(at), COLUMNS):
+            some = at[c : c + COLUMNS]
+            i, j = np.nonzero(np.bitwise_count(a.fp[cut : cut + STRIP, None] ^ b.fp[None, some]) <= radius)
+            i, j = cut + i, some[j]
+            if a.words.shape[1] > 1:
+                close = np.bitwise_count(a.words[i, 1:] ^ b.words[j, 1:]).sum(1) <= wide_radius
+                i, j = i[close], j[close]
+            forest.link(a.at[i], b.at[j])
+    return forest
+
+
+def links(distinct: DataFrame, classes: dict[str, Column], radius: int = RADIUS, reach: int = RADIUS, chunk: int | None = None, wide: tuple[str, ...] = (), wide_radius: int = 0) -> DataFrame:
+    """(fp, rep) distinct fingerprints -> (a, b): linked pairs of reps, a spanning forest of each tile.
+
+    ``classes`` are the counts that may be at most ``reach`` apart, see ``gap``;
+    their distinct combinations must be few, whatever the number of rows.
+    ``wide`` names columns of further bits, see ``tile_forest``.
     """
-    count = F.bit_count("fp").cast("int")
-    sizes = dict(distinct.groupBy(count.alias("c")).count().collect())  # 65 classes at most
-    chunks = [max(1, -(-sizes.get(c, 0) // chunk)) if c in sizes else 0 for c in range(65 + radius)]
-    first = np.concatenate([[0], np.cumsum(chunks)]).tolist()  # chunks are numbered class by class
-    lookup = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), i + 1)
-    number = lookup(first, F.col("_c")) + F.pmod(F.xxhash64("fp"), lookup([max(1, x) for x in chunks], F.col("_c"))).cast("int")
-    packed = settle(distinct.withColumn("_c", count).withColumn("_k", number).groupBy("_c", "_k").agg(F.collect_list(F.struct("fp", "rep", *wide)).alias("items")))
-    last = lookup(first[1:], F.col("_c") + radius) - 1  # partners: from the chunk itself to the last one in reach
-    before = lookup(first, F.greatest(F.col("_c") - radius, F.lit(0)))
-    left = packed.withColumn("_j", F.explode(F.sequence(F.col("_k"), last))).select(F.col("_k").alias("i"), F.col("_j").alias("j"), F.lit(0).alias("side"), "items")
-    right = packed.withColumn("_i", F.explode(F.sequence(before, F.col("_k")))).where("_i < _k").select(F.col("_i").alias("i"), F.col("_k").alias("j"), F.lit(1).alias("side"), "items")
+    marked = settle(distinct.select("fp", "rep", *wide, *(c.alias(name) for name, c in classes.items())))
+    names, first = list(classes), next(iter(classes))
+    if chunk is None:
+        chunk = min(MOST, max(LEAST, marked.count() // CHUNKS))
+    sizes = marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # classes, not rows
+    sizes = sizes.withColumn("_first", F.floor(ahead / chunk).cast("int")).withColumn("_parts", F.greatest(F.lit(1), F.floor(F.col("_n") / chunk)).cast("int"))
+    in_reach = Window.orderBy(F.col(first).cast("int")).rangeBetween(Window.unboundedPreceding, reach)
+    sizes = settle(sizes.withColumn("_last", F.max(F.col("_first") + F.col("_parts") - 1).over(in_reach)))
+    placed = marked.join(F.broadcast(sizes), names)  # a row for each class
+    number = F.col("_first") + F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int")
+    box = [f(c).alias(f"{side}{c}") for c in names for side, f in (("low", F.min), ("high", F.max))]
+    packed = settle(placed.withColumn("k", number).groupBy("k").agg(F.collect_list(F.struct("fp", "rep", *wide, *names)).alias("items"), F.max("_last").alias("last"), *box))
+    ends = [f"{side}{c}" for c in names for side in ("low", "high")]
+    pairs = packed.select(F.col("k").alias("i"), *(F.col(e).alias(f"i{e}") for e in ends), F.explode(F.sequence("k", "last")).alias("j"))
+    pairs = pairs.join(packed.select(F.col("k").alias("j"), *(F.col(e).alias(f"j{e}") for e in ends)), "j")
+    apart = {c: F.greatest(F.col(f"ilow{c}") - F.col(f"jhigh{c}"), F.col(f"jlow{c}") - F.col(f"ihigh{c}"), F.lit(0)) for c in names}
+    others = [apart[c].cast("int") for c in names if c != first]
+    pairs = pairs.where((apart[first] <= reach) & (sum(others, F.lit(0)) <= reach)).select("i", "j")
+    sides = settle(pairs).select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("k"))
+    tiles = sides.join(packed.select("k", "items"), "k")
 
     def compare(tile: pa.Table) -> pa.Table:
-        fps, reps, more = [None, None], [None, None], [None, None]
-        for side, items in zip(tile.column("side").to_pylist(), tile.column("items")):
-            fps[side] = items.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            reps[side] = items.values.field("rep").to_numpy(zero_copy_only=False)
-            more[side] = np.stack([items.values.field(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in wide], 1) if wide else None
-        same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
-        if fps[0] is None or (fps[1] is None and not same):  # by chance, a chunk got nothing
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        label = tile_forest(fps[0], fps[1], radius, np.concatenate([m for m in more if m is not None]) if wide else None, wide_radius)
-        rep = reps[0] if reps[1] is None else np.concatenate(reps)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": pa.array(rep[label[moved]].astype(np.int64)), "b": pa.array(rep[moved].astype(np.int64))})
-
-    return left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "a long, b long")
+        sides, reps = [], []
+        for number in sorted(set(tile.column("k").to_pylist())):
+            items = tile.column("items")[tile.column("k").to_pylist().index(number)].values
+            column = lambda c: items.field(c).to_numpy(zero_copy_only=False)
+            sides.append((np.stack([column(c) for c in names], 1), np.stack([column(c).view(np.uint64) for c in ("fp", *wide)], 1)))
+            reps.append(column("rep"))
+        forest = tile_forest(sides[0], sides[1] if len(sides) > 1 else None, radius, reach, wide_radius)
+        rep = np.concatenate(reps)
+        a, b = forest.pairs()
+        return pa.table({"a": pa.array(rep[a]), "b": pa.array(rep[b])})
+
+    return tiles.groupBy("i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, fp, component): the smallest key each row reaches over links."""
     rows = settle(fingerprints(df, key, text))
-    distinct = settle(rows.groupBy("fp").agg(F.min("key").cast("long").alias("rep")))
-    # A fingerprint of keyless rows only has no key to be linked by: it stays by itself.
-    edges = links_of_fingerprints(distinct.where("rep is not null"), radius)
-    found = connect(edges)
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    found = connect(links(distinct.select("fp", F.col("fp").alias("rep")), quarter_counts(), radius, radius))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def deduplicate_documents(docs: DataFrame) -> DataFrame:
     """The ``op6`` digest."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Documents that are the smallest id of their group, each id once; columns as in ``docs``.
-
-    Rows without an id can't stand for a group: of those, each text stays once.
-    """
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

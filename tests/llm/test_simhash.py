@@ -48,9 +48,10 @@ def test_blocks_of_hashes(monkeypatch):
     assert simhash.fingerprint(text) == plain(text)
 
 
-@pytest.mark.parametrize("chunk", [1 << 14, 16])
+@pytest.mark.parametrize("chunk", [None, 16])
 def test_groups_against_brute_force(spark, frame, monkeypatch, chunk):
-    monkeypatch.setattr(simhash, "links_of_fingerprints", (lambda f: lambda d, r: f(d, r, chunk))(simhash.links_of_fingerprints))
+    if chunk:
+        monkeypatch.setattr(simhash, "LEAST", chunk)
     texts = corpus()
     df = frame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, texts[20], "en", "s"), (3, "One", "en", "s")])
     rows = simhash.deduplicate_documents(df).collect()
@@ -65,16 +66,15 @@ def test_groups_against_brute_force(spark, frame, monkeypatch, chunk):
     for r in rows:
         i = 20 if r.doc_id is None else r.doc_id
         assert r.fingerprint == f"{fps[i]:016x}" and r.component_id == comp[i]
-    kept = sorted(r.doc_id for r in simhash.one_of_each_group(df).collect() if r.doc_id is not None)
-    assert kept == sorted(set(comp.tolist()))
-    assert simhash.one_of_each_group(df).columns == df.columns
 
 
 def test_tiles_find_every_pair():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(rng.integers(64))) for _ in range(6)]]))
-    label = simhash.tile_forest(fps, None)
+    counts = np.stack([np.bitwise_count(fps), *(np.bitwise_count(fps >> np.uint64(16 * i) & np.uint64(0xFFFF)) for i in range(4))], 1)
+    forest = simhash.tile_forest((counts, fps[:, None]), None)
+    label = forest.label
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
     comp = np.arange(len(fps))
     while True:
@@ -83,6 +83,27 @@ def test_tiles_find_every_pair():
             break
         comp = new
     assert len(set(zip(label.tolist(), comp.tolist()))) == len(set(label.tolist())) == len(set(comp.tolist()))
+    a, b = forest.pairs()
+    assert near[a, b].all() and len(a) == len(fps) - len(set(comp.tolist()))
+
+
+def test_rows_without_key_link_others(spark):
+    """a and c are 4 words of bits apart only through b, which has no key; ids repeat with other texts."""
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(900)}" for _ in range(400)]
+    chain = [" ".join(words)]
+    while len(chain) < 40:
+        words = list(words)
+        words[rnd.randrange(len(words))] = f"z{len(chain)}"
+        chain.append(" ".join(words))
+    fps = [plain(t) for t in chain]
+    near = lambda x, y: (x ^ y).bit_count() <= 3
+    a, b, c = next((i, j, k) for i in range(40) for j in range(i, 40) for k in range(j, 40) if near(fps[i], fps[j]) and near(fps[j], fps[k]) and not near(fps[i], fps[k]))
+    far = "something else entirely, in seven words here"
+    rows = [(9, chain[a]), (None, chain[b]), (4, chain[c]), (4, far), (None, "alone in the world")]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.deduplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    name = lambda t: f"{plain(t):016x}"
+    assert got == {(9, name(rows[0][1])): 4, (None, name(rows[1][1])): 4, (4, name(rows[2][1])): 4, (4, name(far)): 4, (None, name("alone in the world")): None}
 
 
 def test_components(spark):
