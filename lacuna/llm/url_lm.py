@@ -1,4 +1,4 @@
-"""URL filter by the likelihood ratio of two character language models.
+r"""URL filter by the likelihood ratio of two character language models.
 
 Rules accept or reject what they fit.  The URLs they judge teach two smoothed
 variable-order Markov models, one of accepted and one of rejected URLs; all
@@ -7,42 +7,53 @@ log-likelihoods against a calibrated threshold.
 
 A model interpolates orders 0 to ``ORDER``: p_k = (n(context, char) + L * p_(k-1))
 / (n(context) + L), so a context not seen backs off to the next shorter one by
-itself.  Counts come from *every* judged URL but the calibration fifth: each task counts into arrays of
-``CELLS`` hashed cells an order, the counts are summed by cell in a shuffle,
-and the sums (at most 2 classes x (ORDER + 1) orders x 2 x ``CELLS`` numbers,
-whatever the input) make the model.
-
-Calibration: URLs whose crc32 is divisible by ``FOLD`` are not counted; their
-scores go into a histogram of ``BINS`` bins for each class, and the threshold
-is the edge with the least sum of the two error rates.
+itself.  Counts are exact: every position of every judged URL gives a window of
+``ORDER`` + 1 characters, windows are counted by class in one shuffle, and the
+counts of all shorter grams are sums of those.  The table grows with the corpus.
+
+A position's log-ratio depends on its window only, so it is computed once for
+each distinct window of the URLs to be scored: the window's grams of every order
+are joined with the counts.  A URL's ratio is the mean over its positions.
+Windows that make up 1/``HOT`` of all positions or more (so ``HOT`` of them at
+most) are broadcast with their values; positions of all others meet theirs in a
+shuffle, in which no window has a large share.
+
+Calibration: of the judged URLs, those whose crc32 is divisible by ``FOLD`` are
+scored by counts without that fold; their ratios go into a histogram of ``BINS``
+bins for each class, and the threshold is the edge with the least sum of the two
+error rates.  The ratios of all other URLs use the counts of all folds.
 
 Defined cases: a URL without ``://`` or null has an empty host and path and no
-rule; null, empty and all other URLs without a rule are scored (an empty one
-scores 0); if only one class was seen, everything without a rule gets that
-verdict, and ``allow`` if none was; repeated rows get equal results.
+rule; null, empty and all other URLs without a rule are scored (null as empty);
+URLs of any length are scored whole; if only one class was seen, everything
+without a rule gets that verdict, and ``allow`` if none was; the threshold is 0
+if the fold lacks a class; repeated rows get equal results; other columns,
+whatever their names, never enter the plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 ORDER = 5
-CELLS = 1 << 16
 SMOOTHING = 2.0
+#: Probability of a character before anything is counted.
+BASE = 1 / 256
 FOLD = 5
 BINS = 4000
 SPAN = 5.0
-BLOCK = 1 << 20
+HOT = 4096
 ALLOW, BLOCK_VERDICT = "allow", "block"
 #: The rules of the query (fixed by its contract): rule and verdict.
 RULES = (("org/", ALLOW), ("example.org/es/", BLOCK_VERDICT), ("example.org/en/1", BLOCK_VERDICT), ("com/fr/", ALLOW), ("com/de/", BLOCK_VERDICT))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+START, END = "\x01", "\n"
+#: Counts of a gram: accepted and rejected, outside and inside the calibration fold.
+COUNTS = ("a0", "r0", "a1", "r1")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,143 +73,107 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def normal(url: str | None) -> bytes:
+def normal(url: Column) -> Column:
     """What is modelled: the URL after its scheme, in lower case, digits as one sign."""
-    text = (url or "").partition("://")
-    return (text[2] or text[0]).lower().encode("utf-8", "replace").translate(DIGITS)
+    rest = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://(?=.)", "")
+    return F.translate(F.lower(rest), "123456789", "000000000")
+
+
+def windows(text: Column) -> Column:
+    """Each character with the ``ORDER`` signs before it; start signs precede the text, an end sign follows."""
+    padded = F.concat(F.lit(START * ORDER), text, F.lit(END))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))"), F.lit(1))
 
 
-DIGITS = bytes.maketrans(b"0123456789", b"0000000000")
+def grams(window: Column) -> Column:
+    """Of a window: (kind, gram) of every order, the gram with its character (c) and its context alone (x)."""
+    out = []
+    for k in range(ORDER + 1):
+        out.append(F.struct(F.lit(f"c{k}").alias("kind"), F.substring(window, ORDER + 1 - k, k + 1).alias("gram")))
+        out.append(F.struct(F.lit(f"x{k}").alias("kind"), F.substring(window, ORDER + 1 - k, k).alias("gram")))
+    return F.array(*out)
+
 
+def gather(judged: DataFrame) -> DataFrame:
+    """(url text, accepted 0/1, fold 0/1) -> (kind, gram, ``COUNTS``) over all rows."""
+    hit = lambda a, f: F.count_if((F.col("accepted") == a) & (F.col("fold") == f))
+    seen = judged.select("accepted", "fold", F.explode(windows(F.col("text"))).alias("w"))
+    seen = settle(seen.groupBy("w").agg(hit(1, 0).alias("a0"), hit(0, 0).alias("r0"), hit(1, 1).alias("a1"), hit(0, 1).alias("r1")))
+    every = seen.select(F.explode(grams(F.col("w"))).alias("g"), *COUNTS).groupBy("g.kind", "g.gram")
+    return every.agg(*(F.sum(c).alias(c) for c in COUNTS))
 
-def positions(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed (context, cell) by order: (ORDER + 1, 2, n), and each position's URL.
 
-    Every URL is preceded by its own start signs and followed by an end sign.
-    """
-    flat = np.frombuffer(b"".join(b"\x00" * ORDER + u + b"\x0a" for u in urls), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, urls), np.int64, len(urls)) + 1
-    owner = np.repeat(np.arange(len(urls)), sizes)
-    at = np.arange(int(sizes.sum())) + (owner + 1) * ORDER
-    out = np.empty((ORDER + 1, 2, len(at)), np.int64)
-    context = np.full(len(at), 1469598103934665603, np.uint64)
+def log_chance(cell, context) -> Column:
+    """Log probability of a window's character, by functions from an order to its two counts."""
+    p = F.lit(BASE)
     for k in range(ORDER + 1):
-        if k:
-            context = (context ^ flat[at - k]) * np.uint64(1099511628211) + np.uint64(k)
-        cell = (context ^ (flat[at] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        for i, hashed in enumerate((context * np.uint64(0x9E3779B97F4A7C15), cell * np.uint64(0xBF58476D1CE4E5B9))):
-            out[k, i] = (hashed >> np.uint64(40)).astype(np.int64) % CELLS
-    return out, owner
-
-
-def blocks(values: list) -> Iterator[slice]:
-    """Slices of about ``BLOCK`` characters."""
-    at = size = 0
-    for i, v in enumerate(values):
-        size += len(v) + ORDER
-        if size > BLOCK:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(values):
-        yield slice(at, len(values))
-
-
-class Model:
-    """Counts (class, order, context or cell, CELLS) of accepted (1) and rejected (0) URLs."""
-
-    def __init__(self, counts: np.ndarray, threshold: float = 0.0):
-        self.counts, self.threshold = counts.astype(np.float32), threshold
-        self.seen = [bool(counts[c].any()) for c in (0, 1)]
-
-    def ratios(self, urls: list[bytes]) -> np.ndarray:
-        """Log-likelihood of accepted minus rejected, for each character."""
-        out = np.zeros(len(urls))
-        for part in blocks(urls):
-            at, owner = positions(urls[part])
-            total = np.zeros(at.shape[2])
-            for c, sign in ((1, 1.0), (0, -1.0)):
-                p = np.full(at.shape[2], 1 / 256)
-                for k in range(ORDER + 1):
-                    context, cell = self.counts[c, k, 0][at[k, 0]], self.counts[c, k, 1][at[k, 1]]
-                    p = np.minimum((np.minimum(cell, context) + SMOOTHING * p) / (context + SMOOTHING), 1.0)
-                total += sign * np.log(p)
-            n = np.bincount(owner, minlength=len(urls[part]))
-            out[part] = np.bincount(owner, total, len(urls[part])) / n
-        return out
-
-
-def gather(judged: DataFrame) -> np.ndarray:
-    """(url, accepted) -> counts over all rows."""
-    shape = (2, ORDER + 1, 2, CELLS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(shape, np.int64)
-        for batch in batches:
-            urls = [normal(u) for u in batch.column(0).to_pylist()]
-            accepted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in blocks(urls):
-                at, owner = positions(urls[part])
-                for c in (0, 1):
-                    own = accepted[part][owner] == c
-                    for k in range(ORDER + 1):
-                        for i in (0, 1):
-                            counts[c, k, i] += np.bincount(at[k, i][own], minlength=CELLS)
-        flat = counts.ravel()
-        some = np.flatnonzero(flat)
-        for a in range(0, len(some), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(flat[some[a : a + 50_000]])], names=["cell", "n"])
-
-    found = judged.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # bounded by the cells
-    counts = np.zeros(shape, np.int64)
-    counts.ravel()[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def ratio_udf(df: DataFrame, model: Model):
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for urls in batches:
-            yield pd.Series(shared.value.ratios([normal(u) for u in urls]))
-
-    return ratio
-
-
-def fit(judged: DataFrame) -> Model:
-    """(url, accepted 0/1) -> calibrated model of all rows."""
-    fold = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % FOLD
-    model = Model(gather(judged.where(fold != 0)))
-    if not all(model.seen):
-        return Model(gather(judged))
-    bin_of = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("ratio") + SPAN) * (BINS / (2 * SPAN))))).cast("int")
-    held = judged.where(fold == 0).withColumn("ratio", ratio_udf(judged, model)("url"))
-    found = held.groupBy("accepted", bin_of.alias("bin")).count().collect()  # two classes of BINS bins
-    hist = np.zeros((2, BINS))
-    for accepted, b, n in found:
-        hist[accepted, b] = n
-    if hist.sum(1).min() > 0:
-        share = hist / hist.sum(1, keepdims=True)
-        errors = np.concatenate([[0.0], np.cumsum(share[1])]) + 1 - np.concatenate([[0.0], np.cumsum(share[0])])  # allow from this edge on
-        best = np.flatnonzero(errors <= errors.min() + 1e-12)
-        model.threshold = float(best.mean()) * 2 * SPAN / BINS - SPAN  # amid equally good edges
-    return model
+        p = (cell(k) + SMOOTHING * p) / (context(k) + SMOOTHING)
+    return F.ln(p)
+
+
+def window_ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w, n) distinct windows -> with log-ratios ``s0`` (without the fold's counts) and ``s`` (with all)."""
+    asked = seen.select("w", F.explode(grams(F.col("w"))).alias("g")).select("w", "g.kind", "g.gram")
+    kinds = [f"{t}{k}" for k in range(ORDER + 1) for t in "cx"]
+    found = asked.join(counts, ["kind", "gram"]).groupBy("w").agg(*(F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in kinds for c in COUNTS))
+    n = lambda kind, *cs: sum((F.coalesce(F.col(f"{kind}_{c}"), F.lit(0)) for c in cs), F.lit(0))
+    by = lambda *cs: log_chance(lambda k: n(f"c{k}", *cs), lambda k: n(f"x{k}", *cs))
+    return seen.join(found, "w", "left").select("w", "n", (by("a0") - by("r0")).alias("s0"), (by("a0", "a1") - by("r0", "r1")).alias("s"))
+
+
+def ratios(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(text) distinct -> (key, ratio0, ratio): means over all positions, without and with the fold's counts."""
+    at = texts.select(text_key(F.col("text")).alias("key"), F.explode(windows(F.col("text"))).alias("w"))
+    seen = settle(at.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    valued = settle(window_ratios(seen, counts))
+    total = valued.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(valued.where(F.col("n") * HOT >= total).drop("n"))  # HOT rows at most
+    sums = [F.sum("s0").alias("s0"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")]
+    here = at.join(hot, "w").groupBy("key").agg(*sums)
+    rest = at.join(hot, "w", "left_anti").join(valued.where(F.col("n") * HOT < total).drop("n"), "w").groupBy("key").agg(*sums)
+    whole = here.unionByName(rest).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("s0", "s", "n")))
+    return whole.select("key", (F.col("s0") / F.col("n")).alias("ratio0"), (F.col("s") / F.col("n")).alias("ratio"))
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def best_edge(hist: np.ndarray) -> float:
+    """(2, BINS) counts of rejected and accepted by ratio -> the threshold amid equally good edges; 0 if a class is missing."""
+    if hist.sum(1).min() == 0:
+        return 0.0
+    share = hist / hist.sum(1, keepdims=True)
+    errors = np.concatenate([[0.0], np.cumsum(share[1])]) + 1 - np.concatenate([[0.0], np.cumsum(share[0])])  # allow from this edge on
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return float(best.mean()) * 2 * SPAN / BINS - SPAN
 
 
 def judge(df: DataFrame, url: str = "url", rules=RULES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` columns, host, path, rule, ratio and verdict of every row of ``df``."""
+    """``carry`` columns, host, path, rule, ratio (null where a rule decides) and verdict of every row of ``df``."""
     host, path = host_and_path(F.col("_url"))
-    rows = df.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), F.col(url).cast("string").alias("_url")).withColumn("host", host).withColumn("path", path)
-    rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict)
-    model = fit(rows.where("rule is not null").select(F.col("_url").alias("url"), (F.col("_ruled") == ALLOW).cast("int").alias("accepted")))
-    if all(model.seen):
-        rows = rows.withColumn("ratio", ratio_udf(df, model)("_url"))
-        by_method = F.when(F.col("ratio") >= model.threshold, ALLOW).otherwise(BLOCK_VERDICT)
-    else:
-        rows = rows.withColumn("ratio", F.lit(0.0))
-        by_method = F.lit(BLOCK_VERDICT if model.seen[0] else ALLOW)
-    return rows.select(*(F.col(f"_carry_{c}").alias(c) for c in carry), "host", "path", "rule", "ratio", F.coalesce("_ruled", by_method).alias("verdict"))
+    rows = df.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), F.col(url).cast("string").alias("_url"))
+    rows = rows.withColumn("_host", host).withColumn("_path", path)
+    rule, verdict = ruled(F.col("_host"), F.col("_path"), rules)
+    fold = (F.crc32(F.coalesce("_url", F.lit("")).cast("binary")) % FOLD == 0).cast("int")
+    rows = rows.withColumn("_rule", rule).withColumn("_ruled", verdict).withColumns({"text": normal(F.col("_url")), "fold": fold, "accepted": F.when(F.col("_ruled").isNotNull(), (F.col("_ruled") == ALLOW).cast("int"))})
+    judged = rows.where("_rule is not null")
+    classes = {r["accepted"] for r in judged.select("accepted").distinct().collect()}  # two at most
+    out = [*(F.col(f"_carry_{c}").alias(c) for c in carry), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule")]
+    if classes != {0, 1}:
+        by_method = F.lit(BLOCK_VERDICT if classes == {0} else ALLOW)
+        return rows.select(*out, F.when(F.col("_rule").isNull(), 0.0).alias("ratio"), F.coalesce("_ruled", by_method).alias("verdict"))
+    counts = settle(gather(judged.select("text", "accepted", "fold")))
+    found = settle(ratios(rows.where("_rule is null or fold = 1").select("text").distinct(), counts))
+    bin_of = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("ratio0") + SPAN) * (BINS / (2 * SPAN))))).cast("int")
+    held = judged.where("fold = 1").select(text_key(F.col("text")).alias("key"), "accepted").join(found, "key")
+    hist = np.zeros((2, BINS))
+    for accepted, b, n in held.groupBy("accepted", bin_of.alias("bin")).count().collect():  # two classes of BINS bins
+        hist[accepted, b] = n
+    by_method = F.when(F.col("ratio") >= best_edge(hist), ALLOW).otherwise(BLOCK_VERDICT)
+    key = F.when(F.col("_rule").isNull(), text_key(F.col("text")))
+    scored = rows.withColumn("key", key).join(found.select("key", "ratio"), "key", "left")
+    return scored.select(*out, "ratio", F.coalesce("_ruled", by_method).alias("verdict"))
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:

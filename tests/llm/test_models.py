@@ -1,6 +1,8 @@
 """URL filter, language identification and toxicity: held-out accuracy and edge cases."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -131,13 +133,66 @@ def test_ratio_tells_classes_apart(spark):
     assert np.mean([got[3000 + i] == "block" for i in range(60)]) > 0.95
 
 
-def test_counts_cover_every_url(spark):
-    df = spark.createDataFrame([("https://a.org/x", 1), ("https://b.com/de/", 0), ("https://a.org/x", 1)], "url string, accepted int")
-    counts = url_lm.gather(df)
-    n = lambda u: len(u) + 1
-    assert counts[1, 0, 0].sum() == 2 * n("a.org/x") and counts[0, 3, 1].sum() == n("b.com/de/")
-    model = url_lm.Model(counts)
-    assert model.ratios([b"a.org/x"])[0] > 0 > model.ratios([b"b.com/de/"])[0]
+def plain_url(url):
+    head, mark, rest = (url or "").partition("://")
+    text = (rest if mark and rest else head + mark + rest).lower()
+    return "".join("0" if c in "123456789" else c for c in text)
+
+
+def plain_ratio(url, accepted, rejected):
+    """Mean log-ratio of two models whose counts are made afresh of lists of URLs."""
+
+    def model(urls):
+        cells, contexts = Counter(), Counter()
+        for u in urls:
+            padded = "\x01" * 5 + plain_url(u) + "\n"
+            for i in range(5, len(padded)):
+                for k in range(6):
+                    cells[padded[i - k : i + 1], k] += 1
+                    contexts[padded[i - k : i], k] += 1
+        return cells, contexts
+
+    total, padded = 0.0, "\x01" * 5 + plain_url(url) + "\n"
+    for (cells, contexts), sign in ((model(accepted), 1), (model(rejected), -1)):
+        for i in range(5, len(padded)):
+            p = 1 / 256
+            for k in range(6):
+                p = (cells[padded[i - k : i + 1], k] + 2.0 * p) / (contexts[padded[i - k : i], k] + 2.0)
+            total += sign * math.log(p)
+    return total / (len(padded) - 5)
+
+
+@pytest.mark.parametrize("hot", [url_lm.HOT, 1])
+def test_ratios_and_threshold_against_plain_models(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_lm, "HOT", hot)
+    rng = np.random.default_rng(3)
+    name = lambda letters: "".join(rng.choice(list(letters), 6))
+    rows = [f"https://{name('abcdefv')}.org/{name('abc1')}" for _ in range(60)] + [f"https://{name('vwxyzaé')}.com/de/{name('vwx2')}" for _ in range(60)]
+    other = [f"http://{name('abcxyz')}.net/{name('abcxyz')}?Q={i}" for i in range(40)] + ["", None, "http://", rows[0].replace("org", "net") + "/" + "z" * 30_000, "mailto:a"] + [rows[0]] * 3
+    df = spark.createDataFrame(list(enumerate(rows + other)), "page_id long, url string").selectExpr("*", "'t' as text", "'k' as key", "1 as fold")
+    got = {r.page_id: r for r in url_lm.judge_pages(df).collect()}
+    assert len(got) == len(rows + other)
+    everything = rows + [rows[0]] * 3
+    accepted, rejected = [u for u in everything if ".org/" in u], [u for u in everything if ".com/de/" in u]
+    fold = lambda u: zlib.crc32(u.encode()) % 5 == 0
+    held = [(plain_ratio(u, [x for x in accepted if not fold(x)], [x for x in rejected if not fold(x)]), u in accepted) for u in everything if fold(u)]
+    hist = np.zeros((2, url_lm.BINS))
+    for ratio, good in held:
+        hist[int(good), min(url_lm.BINS - 1, max(0, int(np.floor((ratio + url_lm.SPAN) * url_lm.BINS / (2 * url_lm.SPAN)))))] += 1
+    threshold = url_lm.best_edge(hist)
+    for i, u in enumerate(rows + other):
+        if got[i].rule is None:
+            ratio = plain_ratio(u, accepted, rejected)
+            assert got[i].ratio == pytest.approx(ratio, abs=1e-9), u
+            assert got[i].verdict == ("allow" if ratio >= threshold else "block")
+        else:
+            assert got[i].ratio is None
+
+
+def test_counts_grow_with_the_urls(spark):
+    df = spark.createDataFrame([("a.org/x", 1, 0), ("b.com/de/", 0, 1), ("a.org/x", 1, 0)], "text string, accepted int, fold int")
+    counts = {(r.kind, r.gram): (r.a0, r.r0, r.a1, r.r1) for r in url_lm.gather(df).collect()}
+    assert counts["x0", ""] == (16, 0, 0, 10) and counts["c5", "a.org/"] == (2, 0, 0, 0) and counts["c0", "/"] == (2, 0, 0, 2)
 
 
 @pytest.mark.parametrize("seen,verdict", [(1, "allow"), (0, "block")])
