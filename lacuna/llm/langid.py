@@ -2,20 +2,21 @@
 
 Features are TF-IDF weighted character n-grams (1 to 3 letters, word borders
 included) hashed into ``DIMS`` columns.  Document frequencies cover every
-training document; the weights are fitted on the driver, on a sample of at most
-about ``ROWS`` labelled documents (equal shares for each language, drawn by a
-hash of the id), by follow-the-regularised-leader with elastic-net penalties: the L1
+training document; the weights are fitted on the driver, on a sample of about
+``ROWS`` labelled documents, or ``LEAST_ROWS`` for each language if that is more
+(equal shares, drawn by a hash of id and text), by follow-the-regularised-leader with elastic-net penalties: the L1
 part keeps weights at exact zero.  A fifth of the sample is kept out of the fit
 for the temperature by which logits are divided.
 
-Whole texts are scored.  The model is ``DIMS`` x languages numbers (at most
-``LANGUAGES`` languages, the most frequent ones), so what is sent to executors
-doesn't grow with the data.
+Whole texts are scored, in every language that a training row names.  The model
+is ``DIMS`` x languages numbers, so what is sent to executors grows with the
+number of languages and not with the rows.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; with
 no labelled training row every text is ``und``; a null id is neither learned
-from nor held out; repeated rows get equal results; very long texts are counted
-in blocks.
+from nor held out; repeated rows get equal results and are learned from once;
+very long texts are counted in blocks, with the n-grams of the whole; other
+columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .common import id_text
 
 DIMS = 1 << 15
 ROWS = 2400
-LANGUAGES = 200
+LEAST_ROWS = 20
 EPOCHS = 3
 FTRL = {"alpha": 0.5, "beta": 1.0, "l1": 0.002, "l2": 0.001}
 UNKNOWN = "und"
@@ -57,27 +58,36 @@ class Grams:
             table[c] = ord(low[0]) if char.isalpha() else 32
         self.table = table
 
+    @staticmethod
+    def count(c: np.ndarray, new: int, counts: np.ndarray) -> None:
+        """Adds the n-grams of a line of signs that end at its place ``new`` or later."""
+        a, b, d = c[new:], c[max(0, new - 1) :], c[max(0, new - 2) :]
+        for grams in (a, b[1:] + b[:-1] * np.uint64(1_000_003), d[2:] + d[1:-1] * np.uint64(1_000_003) + d[:-2] * np.uint64(2_654_435_761_001)):
+            mixed = grams * np.uint64(0x9E3779B97F4A7C15)
+            counts += np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=DIMS)
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Features and their counts; both empty for a text without letters."""
         counts = np.zeros(DIMS, np.int64)
+        before = np.array([32], np.uint64)  # the last signs so far, two at most; blanks aren't repeated
+        self.count(before, 0, counts)
         some = False
         for at in range(0, len(text or ""), MOST_AT_ONCE):
-            cps = np.frombuffer(text[max(0, at - 2) : at + MOST_AT_ONCE].encode("utf-32-le", "surrogatepass"), "<u4")
+            cps = np.frombuffer(text[at : at + MOST_AT_ONCE].encode("utf-32-le", "surrogatepass"), "<u4")
             high = cps >= 1 << 16
             mapped = self.table[np.where(high, 0, cps)]
             if high.any():
-                mapped[high] = [c if chr(c).isalpha() else 32 for c in cps[high].tolist()]
+                mapped[high] = [ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in cps[high].tolist()]
             blank = mapped == 32
-            if blank.all():
-                continue
-            some = True
-            keep = ~(blank & np.concatenate([[False], blank[:-1]]))  # runs of blanks count once
-            c = np.concatenate([[32], mapped[keep], [32]]).astype(np.uint64)
-            for grams in (c, c[1:] + c[:-1] * np.uint64(1_000_003), c[2:] + c[1:-1] * np.uint64(1_000_003) + c[:-2] * np.uint64(2_654_435_761_001)):
-                mixed = grams * np.uint64(0x9E3779B97F4A7C15)
-                counts += np.bincount((mixed >> np.uint64(49)).astype(np.int64), minlength=DIMS)
+            some |= not blank.all()
+            keep = ~(blank & np.concatenate([[before[-1] == 32], blank[:-1]]))  # runs of blanks count once
+            line = np.concatenate([before, mapped[keep].astype(np.uint64)])
+            self.count(line, len(before), counts)
+            before = line[-2:]
         if not some:
             return np.empty(0, np.int64), np.empty(0)
+        if before[-1] != 32:
+            self.count(np.append(before, np.uint64(32)), len(before), counts)
         at = np.flatnonzero(counts)
         return at, counts[at].astype(np.float64)
 
@@ -136,14 +146,16 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 def sampled_features(docs: DataFrame, rows: int) -> tuple[list[str], list[tuple[int, np.ndarray, np.ndarray]]]:
     """(id, text, lang) -> languages, and (language, features, counts) of a bounded sample."""
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = docs.groupBy("lang").count().collect()  # languages
     if not sizes:
         return [], []
     languages = sorted(r["lang"] for r in sizes)
-    quota = rows / len(languages)
-    rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, quota / r["count"]))))
-    chance = F.pmod(F.xxhash64(id_text(F.col("id")), F.lit("sample")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    chosen = docs.where(chance < F.try_element_at(rate, F.col("lang"))).select("lang", "text").limit(2 * rows)
+    quota = max(rows / len(languages), LEAST_ROWS)
+    rates = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["count"])) for r in sizes], "lang string, rate double"))
+    mark = F.xxhash64(id_text(F.col("id")), "text", F.lit("sample"))
+    chance = F.pmod(mark, F.lit(1 << 32)) / F.lit(float(1 << 32))
+    chosen = docs.join(rates, "lang").where(chance < F.col("rate"))
+    chosen = chosen.groupBy("lang", mark.alias("mark")).agg(F.first("text").alias("text")).select("lang", "text")  # repeated rows once
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -210,27 +222,29 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return model
 
 
-def predicted(df: DataFrame, model: Model, text: str, into: str) -> DataFrame:
-    """``df`` with ``into``: struct of lang and score of each whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def predicted(df: DataFrame, model: Model, text: str) -> DataFrame:
+    """(row struct of ``df``, lang and score of each whole text)."""
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))  # arrays only: workers need not have this package
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model(**shared.value)
         for texts in batches:
-            yield shared.value.predict(texts)
+            yield own.predict(texts)
 
-    return df.withColumn(into, predict(F.col(text).cast("string")))
+    rows = df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.select("row", predict("text").alias("p")).select("row", "p.lang", "p.score")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     """The ``op7`` digest: learns from documents whose remainder by 4 isn't 2."""
     model = fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    rows = docs.select("doc_id", F.col("text").alias("_text"))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    return predicted(rows, model, "_text", "_p").select("doc_id", held.alias("held_out"), F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+    rows = predicted(docs.select("doc_id", "text"), model, "text").select("row.doc_id", "lang", "score")
+    return rows.select("doc_id", held.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
 def keep_identified(docs: DataFrame, certain: float = CERTAIN) -> DataFrame:
     """Documents in a language the model knows and is certain of; columns as in ``docs``."""
     model = fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    return predicted(docs, model, "text", "_language").where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= certain)).select(*docs.columns)
+    return predicted(docs, model, "text").where((F.col("lang") != UNKNOWN) & (F.col("score") >= certain)).select("row.*")
