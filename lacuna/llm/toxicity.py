@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its hashed character n-grams (3 to 5, with border marks)
+A word is the bag of its hashed character n-grams (3 to 6, with border marks)
 and itself; its vector is their mean, a window's vector the mean of its words',
 and a linear softmax over that gives the class.  Embeddings and softmax are
 trained jointly in numpy (Adagrad).  Misspellings unseen in training share most
@@ -12,20 +12,24 @@ document's logit is the mean of its two highest windows that don't overlap
 (of its window, if it has one only).  Training knows labels of
 documents only: windows of toxic documents start as toxic, and in later rounds
 only those stay that score above nearly all windows of clean documents (always
-the best one), while clean documents add their highest-scoring windows.  A logistic
-calibration on sample rows kept out of the training maps the logit to a
-probability.
+the best one), while clean documents add their highest-scoring windows.  Scores
+of n-grams are averaged over the rounds after the first.  A logistic calibration
+on sample rows kept out of the training maps the logit to a probability; toxic
+rows weigh ``MISSED`` times their share there, as a toxic document missed costs
+that much more than a clean one rejected.
 
 The fit runs on the driver, on a sample of at most ``POSITIVES`` + ``NEGATIVES``
-labelled rows of up to ``TRAIN_CHARS`` characters, drawn by a hash of the id;
-the model is ``BUCKETS`` numbers.  As window logits are means of word scores, a
-word is scored once for each task and remembered.
+labelled rows, drawn by a hash of the id, with their whole texts; a clean text
+of more than ``CLEAN_WINDOWS`` windows gives so many, drawn at random from all of
+it.  The model is ``BUCKETS`` numbers.  As window logits are means of word scores,
+a word is scored once for each task and remembered.
 
 Defined cases: a null or wordless text gets the calibrated score of an empty
 window (logit of the bias alone); with no labels, or only one class of them,
 every score is the share of toxic labels (0 without labels); an id labelled
-more than once is toxic if any label is; labels without a document and null
-labels are ignored; very long texts are scored in blocks.
+more than once is toxic if any label is, and learned with the least of its texts
+if it has several; labels without a document and null labels are ignored; very
+long texts are scored in blocks; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -47,9 +51,11 @@ WINDOW = 4
 STRIDE = 2
 POSITIVES = 1000
 NEGATIVES = 1400
-TRAIN_CHARS = 8000
-ROUNDS = 4
-RATE = 0.3
+GRAMS = (3, 4, 5, 6)
+CLEAN_WINDOWS = 4000
+MISSED = 1.5
+ROUNDS = 6
+RATE = 0.2
 #: Least batches in a round of training.
 STEPS = 120
 REMEMBERED = 400_000
@@ -60,9 +66,9 @@ EDGES = re.compile(r"^\W+|\W+$")
 
 def subwords(word: str) -> list[int]:
     """Buckets of a word's n-grams; punctuation at its ends doesn't count."""
-    w = f"<{EDGES.sub('', word)}>".encode()
-    grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g) % BUCKETS for g in (*grams, w)]
+    w = f"<{EDGES.sub('', word)}>"
+    grams = [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
+    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in (*grams, w)]
 
 
 def starts(n: int, stride: int = STRIDE) -> np.ndarray:
@@ -111,17 +117,19 @@ class Model:
 class Trainer:
     """Joint training of n-gram embeddings and softmax on windows of word numbers."""
 
-    def __init__(self, docs: list[list[str]], seed: int = 11):
+    def __init__(self, docs: list[list[str]], toxic: np.ndarray, seed: int = 11):
         self.rng = np.random.default_rng(seed)
         numbers: dict[str, int] = {}
-        self.windows, self.doc = [], []
+        windows, owner = [], []
         for d, words in enumerate(docs):
             ids = np.array([numbers.setdefault(w, len(numbers)) for w in words] or [-1])
-            for a in starts(len(ids), STRIDE).tolist():
-                w = ids[a : a + WINDOW]
-                self.windows.append(np.concatenate([w, np.full(WINDOW - len(w), -1)]))
-                self.doc.append(d)
-        self.windows, self.doc = np.array(self.windows), np.array(self.doc)
+            ids = np.append(ids, np.full(max(0, WINDOW - len(ids)), -1))
+            first = starts(len(words), STRIDE)
+            if not toxic[d] and len(first) > CLEAN_WINDOWS:
+                first = self.rng.choice(first, CLEAN_WINDOWS, replace=False)
+            windows.append(ids[first[:, None] + np.arange(WINDOW)])
+            owner.append(np.full(len(first), d))
+        self.windows, self.doc = np.concatenate(windows), np.concatenate(owner)
         bags = [subwords(w) for w in numbers]
         self.flat = np.array([b for bag in bags for b in bag], np.int64)
         self.size = np.array([len(b) for b in bags], np.int64)
@@ -129,6 +137,7 @@ class Trainer:
         self.table = self.rng.uniform(-0.1, 0.1, (BUCKETS, DIMS))
         self.soft = self.rng.uniform(-0.1, 0.1, (DIMS, 2))
         self.bias = np.zeros(2)
+        self.rounds: list[tuple[np.ndarray, float]] = []
         self.table_sq, self.soft_sq, self.bias_sq = np.full(BUCKETS, 1e-6), np.full((DIMS, 2), 1e-6), np.full(2, 1e-6)
 
     def step(self, rows: np.ndarray, labels: np.ndarray) -> None:
@@ -184,14 +193,20 @@ class Trainer:
                 rows = self.rng.permutation(rows)
                 for a in range(0, len(rows), batch):
                     self.step(rows[a : a + batch], label[rows[a : a + batch]])
+            if turn:
+                self.rounds.append((self.table @ (self.soft[:, 1] - self.soft[:, 0]), self.bias[1] - self.bias[0]))
+
+    def result(self) -> tuple[np.ndarray, float]:
+        """Score of each bucket and bias, averaged over the rounds after the first."""
+        return np.mean([b for b, _ in self.rounds], 0), float(np.mean([x for _, x in self.rounds]))
 
 
 def calibrate(logits: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
     """Slope (positive) and shift of a logistic curve, by Newton steps with a little ridge.
 
-    Rows are weighted so that toxic ones make up ``share``, as among all labels.
+    Rows are weighted so that toxic ones make up ``share``, as among all labels, times ``MISSED``.
     """
-    weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
+    weight = np.where(toxic == 1, MISSED * share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     scale = max(1e-9, float(logits.std()))
     x = np.stack([logits / scale, np.ones(len(logits))], 1)
     w = np.array([1.0, 0.0])
@@ -208,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     order = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
     sample = known.where("toxic = 1").orderBy(order, "id").limit(positives).unionByName(known.where("toxic = 0").orderBy(order, "id").limit(negatives))
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    found = texts.join(F.broadcast(sample), "id").toPandas()  # both bounded: rows and characters
-    found = found.sort_values(["id", "text"]).drop_duplicates("id")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas()  # both bounded by the sample
+    found = found.sort_values("id")
     held = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in found.id], bool)
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     return fit_rows(list(found.text), found.toxic.to_numpy(int), held, share)
@@ -223,9 +238,9 @@ def fit_rows(texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float
     words = [t.lower().split() for t in texts]
     if len(set(toxic[held])) < 2 or len(set(toxic[~held])) < 2:
         held = np.zeros(len(texts), bool)
-    trainer = Trainer([w for w, h in zip(words, held) if not h])
+    trainer = Trainer([w for w, h in zip(words, held) if not h], toxic[~held])
     trainer.train(toxic[~held])
-    model = Model(trainer.table @ (trainer.soft[:, 1] - trainer.soft[:, 0]), float(trainer.bias[1] - trainer.bias[0]), 1.0, 0.0)
+    model = Model(*trainer.result(), 1.0, 0.0)
     check = held if held.any() else ~held
     seen: dict[str, float] = {}
     logits = np.array([model.logit(w, seen) for w, h in zip(words, check) if h])
@@ -233,17 +248,18 @@ def fit_rows(texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float
     return model
 
 
-def scored(df: DataFrame, model: Model, text: str, into: str) -> DataFrame:
-    """``df`` with ``into``, the score of each whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def scored(df: DataFrame, model: Model, text: str) -> DataFrame:
+    """(row struct of ``df``, score of each whole text)."""
+    shared = df.sparkSession.sparkContext.broadcast(vars(model))  # arrays only: workers need not have this package
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+        own, known = Model(**shared.value), {}
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts, known))
+            yield pd.Series(own.scores(texts, known))
 
-    return df.withColumn(into, score(F.col(text).cast("string")))
+    rows = df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.select("row", score("text").alias("score"))
 
 
 def learned(labels: DataFrame) -> DataFrame:
@@ -254,12 +270,11 @@ def learned(labels: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The ``op8`` digest."""
     model = fit(docs, learned(labels))
+    rows = scored(docs.select("doc_id", "text"), model, "text").select("row.doc_id", "score")
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    rows = scored(docs.select("doc_id", F.col("text").alias("_text")), model, "_text", "score")
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents not predicted toxic; columns as in ``docs``."""
-    model = fit(docs, learned(labels))
-    return scored(docs, model, "text", "_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    return scored(docs, fit(docs, learned(labels)), "text").where(F.col("score") < THRESHOLD).select("row.*")
