@@ -67,3 +67,14 @@ def n_words(text: Column) -> Column:
 def id_text(key: Column) -> Column:
     """A key as text, null as ``null``: what hash-random orders are drawn from."""
     return F.coalesce(key.cast("string"), F.lit("null"))
+
+
+def join_spread(rows: DataFrame, info: DataFrame, key: str, by: str, ways: int = 32) -> DataFrame:
+    """``rows`` joined with the one row that ``info`` has for each ``key``.
+
+    A key may hold a third of ``rows``: they are dealt to ``ways`` by a hash of
+    ``by``, and the row of ``info`` goes to each of them.
+    """
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    copies = info.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copies, [key, "_way"]).drop("_way")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import settle
+from .common import join_spread, settle
 from .components import connect
 from .forest import Forest
 
@@ -139,9 +139,8 @@ def block_forest(words: np.ndarray, sets: list[np.ndarray], known: np.ndarray, s
 
 
 def checked(items: DataFrame) -> DataFrame:
-    """(node, group, known, fp, w1..w3, text) of candidates -> (a, b), links that hold, as forests of each pair of blocks."""
-    sizes = items.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = items.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """(node, group, blocks, known, fp, w1..w3, text) of candidates -> (a, b), links that hold, as forests of each pair of blocks."""
+    placed = items.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     ways = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ways = ways.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "known", *WORDS, "text")
 
@@ -175,8 +174,10 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     items = settle(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "group", *WORDS, "text"))  # rows may repeat
     results = settle(verified(pairs, items))
     held = results.where("holds").select("a", "b")
-    open_groups = results.where("not holds").join(groups, F.col("a") == groups["node"]).select("group").distinct()
-    rest = items.join(open_groups, "group", "left_semi").join(components_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    missed = results.where("not holds").select(F.col("a").alias("node")).distinct().join(groups, "node").select("group").distinct()
+    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    unsettled = join_spread(groups, sizes.join(missed, "group", "left_semi"), "group", "node").select("node", "blocks")
+    rest = items.join(unsettled, "node").join(components_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
     return held.unionByName(checked(settle(rest)))
 
 

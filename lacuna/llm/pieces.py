@@ -23,9 +23,10 @@ word starts, texts are taken as one word each.
 Decoding is lossless for every text: blanks are written as U+2581 and a U+2581
 of the text itself is spelled in bytes.
 
-Defined cases: a null text gives null pieces; an empty text none; a text of any
-length is cut at word starts into parts of bounded size; rows map one to one, so
-repeated rows, null keys (hashed as ``null``) and empty tables need nothing.
+Defined cases: a null text gives null pieces, counted 0; an empty text none; a
+text of any length is cut at word starts into parts of bounded size; rows map one
+to one, so repeated rows, null keys (hashed as ``null``) and empty tables need
+nothing; other columns, whatever their names, never enter the plan.
 """
 
 from __future__ import annotations
@@ -105,6 +106,13 @@ class Segmenter:
         self.piece_at = np.array(piece_at, np.int32)
         self.text_of = {i: p.replace(MARK, " ") for i, p in model["pieces"].items()} | {int(i): chr(b) if b < 128 else bytes([b]) for b, i in enumerate(self.byte_ids)}
 
+    @classmethod
+    def of(cls, parts: dict) -> Segmenter:
+        """A segmenter of the attributes of another."""
+        own = cls.__new__(cls)
+        own.__dict__.update(parts)
+        return own
+
     def edges(self, cps: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in the words: start, length, piece (-1: spelled in bytes), by length."""
         starts, lengths, ids = [], [], []
@@ -308,11 +316,11 @@ def sample_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     pieces decode to exactly the text (null texts: true).
     """
     spark = df.sparkSession
-    segmenter = spark.sparkContext.broadcast(Segmenter(read_model(path or default_path()), alpha))
+    segmenter = spark.sparkContext.broadcast(vars(Segmenter(read_model(path or default_path()), alpha)))  # arrays only: workers need not have this package
     kind = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter.value
+        own = Segmenter.of(segmenter.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -331,11 +339,11 @@ def sample_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 def decode_pieces(df: DataFrame, pieces: str = "pieces", path: str | None = None) -> DataFrame:
     """``df`` with ``decoded``, the text of the pieces (null for null)."""
-    segmenter = df.sparkSession.sparkContext.broadcast(Segmenter(read_model(path or default_path())))
+    segmenter = df.sparkSession.sparkContext.broadcast(vars(Segmenter(read_model(path or default_path()))))
 
     @F.pandas_udf("string")
     def decoded(ids):
-        own = segmenter.value
+        own = Segmenter.of(segmenter.value)
         return ids.map(lambda x: None if x is None else own.decode(list(x)))
 
     return df.withColumn("decoded", decoded(F.col(pieces)))
@@ -343,4 +351,4 @@ def decode_pieces(df: DataFrame, pieces: str = "pieces", path: str | None = None
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The ``op10`` result: sampled pieces of every document."""
-    return sample_pieces(docs, path=path).withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)))
+    return sample_pieces(docs, path=path).withColumn("n_pieces", F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Settled, settle
+from .common import join_spread, settle
 from .components import connect
 from .forest import Forest
 
@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
     found = connect(links(distinct.select("fp", F.col("fp").alias("rep")), quarter_counts(), radius, radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    named = join_spread(rooted, rooted.groupBy("root").agg(F.min("least").alias("component")), "root", "fp").select("fp", "component")
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 

@@ -1,10 +1,12 @@
 """URL filter, language identification and toxicity: held-out accuracy and edge cases."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lacuna.llm import langid, toxicity, url_lm
@@ -35,9 +37,88 @@ def test_language_edge_cases(frame):
     assert kept.columns == df.columns and not {r.doc_id for r in kept.collect()} & {200, 201, 202}
 
 
-def test_grams_are_the_same_in_blocks(monkeypatch):
-    grams, text = langid.Grams(), "Ábc, déf! 😀 " * 40
-    assert grams.of(text)[1].sum() > 0 and len(grams.of("😀 12")[0]) == 0
+def plain_grams(text):
+    """Counts of n-grams by plain string handling."""
+    signs = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    line = " " + " ".join(signs.split()) + " "
+    out = Counter()
+    for n in (1, 2, 3):
+        out.update(line[i : i + n] for i in range(len(line) - n + 1))
+    return out
+
+
+def bucket(gram):
+    o, mask = [ord(c) for c in gram], (1 << 64) - 1
+    n = {1: lambda: o[0], 2: lambda: o[1] + o[0] * 1_000_003, 3: lambda: o[2] + o[1] * 1_000_003 + o[0] * 2_654_435_761_001}[len(gram)]()
+    return (n * 0x9E3779B97F4A7C15 & mask) >> 49
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 1 << 20])
+def test_grams_are_the_same_in_blocks(monkeypatch, size):
+    monkeypatch.setattr(langid, "MOST_AT_ONCE", size)
+    grams = langid.Grams()
+    for text in ("\u00c1bc, d\u00e9f! \U0001f600 " * 20, "x", "  a", "b  ", "one  two\n\nthree", "\U00010400 deseret"):
+        expected = Counter()
+        for gram, n in plain_grams(text).items():
+            expected[bucket(gram)] += n
+        assert dict(zip(*map(np.ndarray.tolist, grams.of(text)))) == dict(expected), text
+    assert len(grams.of("\U0001f600 12")[0]) == 0
+
+
+def test_scores_against_plain_tf_idf(spark):
+    rng = np.random.default_rng(5)
+    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "Le chien et la vache et le chat", "x"]
+    n, df = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    model = langid.Model(["a", "b", "c"], np.log((1 + n) / (1 + df)) + 1, rng.standard_normal((langid.DIMS, 3)), np.array([0.1, 0.2, -0.3]), 0.7)
+    got = model.predict(pd.Series(texts))
+    for text, lang, score in zip(texts, got.lang, got.score):
+        tf = Counter()
+        for gram, k in plain_grams(text).items():
+            tf[bucket(gram)] += k
+        in_texts = {f: sum(f in {bucket(g) for g in plain_grams(t)} for t in texts) for f in tf}
+        x = {f: (1 + math.log(k)) * (math.log((1 + len(texts)) / (1 + in_texts[f])) + 1) for f, k in tf.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / norm * model.weights[f, c] for f, v in x.items()) + model.bias[c]) / 0.7 for c in range(3)]
+        chances = [math.exp(z) / sum(map(math.exp, logits)) for z in logits]
+        assert lang == "abc"[int(np.argmax(chances))] and score == pytest.approx(max(chances), abs=1e-9)
+
+
+def test_ftrl_against_plain_steps():
+    """One epoch over three rows, weight by weight."""
+    data = [(0, np.array([3, 8]), np.array([0.6, 0.8])), (1, np.array([8, 11]), np.array([1.0, 0.5])), (0, np.array([3]), np.array([1.0]))]
+    w, bias = langid.fit_ftrl(data, 2, epochs=1)
+    p = langid.FTRL
+    z, n = Counter(), Counter()
+
+    def weight(f, c):
+        l1 = 0.0 if f == "bias" else p["l1"]
+        l2 = 0.0 if f == "bias" else p["l2"]
+        if abs(z[f, c]) <= l1:
+            return 0.0
+        return -(z[f, c] - math.copysign(l1, z[f, c])) / ((p["beta"] + math.sqrt(n[f, c])) / p["alpha"] + l2)
+
+    for i in np.random.default_rng(7).permutation(3).tolist():
+        y, at, x = data[i]
+        row = [*zip(at.tolist(), x.tolist()), ("bias", 1.0)]
+        now = {(f, c): weight(f, c) for f, _ in row for c in (0, 1)}
+        logits = [sum(v * now[f, c] for f, v in row) for c in (0, 1)]
+        chances = [math.exp(s) / sum(map(math.exp, logits)) for s in logits]
+        for c in (0, 1):
+            for f, v in row:
+                g = v * (chances[c] - (c == y))
+                z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / p["alpha"] * now[f, c]
+                n[f, c] += g * g
+    for c in (0, 1):
+        assert bias[c] == pytest.approx(weight("bias", c), abs=1e-12)
+        assert {f: w[f, c] for f in np.flatnonzero(w[:, c]).tolist()} == pytest.approx({f: weight(f, c) for f in (3, 8, 11) if weight(f, c)}, abs=1e-12)
+
+
+def test_many_languages_are_all_learned(frame):
+    rng = np.random.default_rng(2)
+    stems = {f"l{i}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(4)] for i in range(230)}
+    rows = [(i * 300 + k, " ".join(rng.choice(s, 12)), name, "s") for i, (name, s) in enumerate(stems.items()) for k in range(12)]
+    got = langid.identify_documents(frame(rows)).collect()
+    assert len({r.lang_pred for r in got}) > 220
 
 
 def test_ftrl_gives_sparse_weights():
@@ -90,6 +171,76 @@ def test_toxicity_edge_cases(spark, frame):
     assert toxicity.score_documents(frame([]), none).collect() == []
 
 
+def test_score_against_plain_recomputation():
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS), -0.3, 1.7, 0.4)
+
+    def word(w):
+        w = "<" + re.sub(r"^\W+|\W+$", "", w) + ">"
+        grams = [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)] + [w]
+        return sum(model.bucket[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams)
+
+    for text in ("", "one", "Two words!", "a b c d e", "The quick (brown) f\u00f6x jumps over 3 lazy dogs, and so on until the end."):
+        words = text.lower().split()
+        size = min(4, len(words))
+        first = sorted({*range(0, max(1, len(words) - 4), 2), max(0, len(words) - 4)})
+        means = {a: sum(map(word, words[a : a + size])) / size for a in first} if words else {}
+        logit = 0.0
+        if means:
+            best = max(means, key=means.get)
+            logit = (means[best] + max((v for a, v in means.items() if abs(a - best) >= size), default=means[best])) / 2
+        expected = 1 / (1 + math.exp(-(1.7 * (logit - 0.3) + 0.4)))
+        assert model.scores(pd.Series([text]), {})[0] == pytest.approx(expected, abs=1e-9), text
+
+
+def test_training_step_against_plain_gradients():
+    """A step of the joint training moves every parameter as numeric gradients of the loss say."""
+    trainer = toxicity.Trainer([["ab", "cd", "ef", "gh"], ["ab", "xy"]], np.array([1, 0]), seed=3)
+    rows, labels = np.arange(len(trainer.windows)), trainer.doc[np.arange(len(trainer.windows))] ^ 1
+    names = ["ab", "cd", "ef", "gh", "xy"]
+
+    def loss(table, soft, bias):
+        total = 0.0
+        for window, y in zip(trainer.windows[rows], labels):
+            vectors = [np.mean([table[b] for b in toxicity.subwords(names[w])], 0) for w in window if w >= 0]
+            out = np.mean(vectors, 0) @ soft + bias
+            total -= out[y] - np.log(np.exp(out).sum())
+        return total / len(rows)
+
+    before = [x.copy() for x in (trainer.table, trainer.soft, trainer.bias)]
+    trainer.step(rows, labels)
+    for d in range(2):
+        moved = [x.copy() for x in before]
+        moved[2][d] += 1e-6
+        g = (loss(*moved) - loss(*before)) / 1e-6
+        assert trainer.bias[d] - before[2][d] == pytest.approx(-toxicity.RATE * g / math.sqrt(1e-6 + g * g), abs=1e-4)
+    bucket_ab = toxicity.subwords("ab")[0]
+    g = []
+    for d in range(toxicity.DIMS):
+        moved = [x.copy() for x in before]
+        moved[0][bucket_ab, d] += 1e-6
+        g.append((loss(*moved) - loss(*before)) / 1e-6)
+    step = -toxicity.RATE * np.array(g) / math.sqrt(1e-6 + np.square(g).mean())
+    assert trainer.table[bucket_ab] - before[0][bucket_ab] == pytest.approx(step, abs=1e-3)
+
+
+def test_long_texts_are_learned_whole(spark, frame):
+    """The only toxic words stand at the end of very long texts."""
+    rows = [(i, "plain words of all kinds " * 3000 + ("qwizzer qwizzling qwizzard qwizzo" if i % 2 else "more plain words here"), "en", "s") for i in range(1, 41)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 41)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(frame(rows), labels).collect()}
+    assert got == {i: i % 2 for i in range(1, 41)}
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "the cat and the dog", "en", "s", i, "x") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long, row string").selectExpr("*", "'y' as _toxicity", "'z' as p", "'l' as _language")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    for kept in (langid.keep_identified(docs), toxicity.keep_clean(docs, labels)):
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_windows_cover_the_text():
     for n in range(1, 40):
         first = toxicity.starts(n)
