@@ -15,14 +15,17 @@ about ``CELL`` rows whatever the size of the input.
 Calibration: for a pair exactly at the cosine bound, one projection collides
 with probability p = (1 - angle/pi)**bits * P(|N(0, 1)| <= window/distance);
 collisions on ``m`` projections are Binomial(m, p).  ``calibrate`` takes the
-least m for which at least ``LEAST`` collisions come with probability
-``RECALL``, and then the largest threshold that still keeps that recall.
-Closer pairs collide more often, so recall is at least that.
-
-A cell is sorted by its projection and swept once.  A pair is counted and
-verified where it collides *first* (projections are numbered and travel with
-the vectors), so links are found once each and only sums leave a task: for each
-vector its links and a label of the spanning forest.  Pairs are never rows.
+least m at which ``LEAST`` collisions come with probability ``RECALL``, however
+many projections that takes, and then the greatest count that still keeps that
+recall.  Closer pairs collide more often, so recall is at least that.  A recall
+of 1 asks for the exact way: no cells, no windows, every pair is verified.
+
+A projection's cells, some to a task, are sorted by cell and projection and swept
+once.  A pair is counted and verified where it collides *first*, so links are
+found once each and only sums leave a task: for each vector its links, and the
+pairs of a spanning forest.  Rows of the sweep hold a vector's id, copies and
+stored components; its other projections are made again in the task, which is
+cheaper than sending them along.
 
 Skew: equal vectors are one vector with a multiplicity.  Cells above ``CHUNK``
 vectors (near copies of one vector) are dealt into chunks by hash and compared
@@ -31,7 +34,8 @@ chunk pair by chunk pair in tasks of their own.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, as do rows without an id (their component is
 null); vectors of different lengths never link; rows repeating an id with other
-vectors are one node whose links add up; an empty table gives no rows.
+vectors are one node whose links add up; an empty table gives no rows; other
+columns, whatever their names, never enter the plan.
 """
 
 from __future__ import annotations
@@ -51,16 +55,19 @@ from .topk import usable
 
 COSINE = 0.95
 RECALL = 0.9995
-LEAST = 2
-CELL = 1024
+LEAST = 3
+CELL = 256
 CHUNK = 2048
+#: Cells that a task sweeps together.
+TOGETHER = 8
 #: Window half-width in distances of a pair at the bound: 98.8 % of them are within.
 REACH = 2.5
-MOST_PROJECTIONS = 512
 SEED = 20240601
 #: Most oversized cells that are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 SWEEP = 128
+#: Distance between cells on the line of a sweep; projections of unit vectors are far smaller.
+APART = 1000.0
 
 
 def tail(m: int, p: float, least: int) -> float:
@@ -70,17 +77,17 @@ def tail(m: int, p: float, least: int) -> float:
 
 def calibrate(n: int, cosine: float = COSINE, recall: float = RECALL) -> dict:
     """Sign bits, window, projections and threshold for ``n`` distinct vectors."""
+    if recall >= 1:
+        return {"bits": 0, "window": math.inf, "m": 1, "threshold": 1, "p": 1.0}
     bits = max(0, math.ceil(math.log2(max(1, n) / CELL)))
     distance = math.sqrt(2 - 2 * cosine)
     p = (1 - math.acos(cosine) / math.pi) ** bits * math.erf(REACH / math.sqrt(2))
     m = LEAST
-    while m < MOST_PROJECTIONS and tail(m, p, LEAST) < recall:
+    while tail(m, p, LEAST) < recall:
         m += 1
     threshold = LEAST
-    while threshold < m and tail(m, p, threshold + 1) >= recall:
+    while tail(m, p, threshold + 1) >= recall:
         threshold += 1
-    if tail(m, p, threshold) < recall:
-        threshold = 1
     return {"bits": bits, "window": REACH * distance, "m": m, "threshold": threshold, "p": p}
 
 
@@ -90,13 +97,14 @@ def directions(dims: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dims, m)), rng.standard_normal((dims, m * bits))
 
 
-def signatures(unit: np.ndarray, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Projections (n, m) float32 and cells (n, m) int32 of unit vectors."""
-    lines, signs = directions(unit.shape[1], m, bits)
+def signatures(unit: np.ndarray, lines: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Projections (n, m) and cells (n, m) of unit vectors."""
+    m = lines.shape[1]
+    bits = signs.shape[1] // m
     cells = np.zeros((len(unit), m), np.int32)
     if bits:
         cells = ((unit @ signs > 0).reshape(len(unit), m, bits) << np.arange(bits)).sum(2).astype(np.int32)
-    return (unit @ lines).astype(np.float32), cells
+    return unit @ lines, cells
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -106,25 +114,25 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.square(v).sum(1, keepdims=True))
 
 
-def sweep(j: int, side: np.ndarray, line: np.ndarray, cells: np.ndarray, unit: np.ndarray, copies: np.ndarray, window: float, threshold: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one cell of projection ``j`` found nowhere before: (links, labels) of its items.
+def sweep(j: int, cell: np.ndarray, side: np.ndarray, line: np.ndarray, cells: np.ndarray, unit: np.ndarray, copies: np.ndarray, window: float, threshold: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within cells of projection ``j`` found nowhere before: (links of items, pairs of a forest).
 
     With two sides, only pairs across them count.
     """
     n = len(line)
-    order = np.argsort(line[:, j], kind="stable")
-    line, cells, unit, side, copies = line[order], cells[order], unit[order], side[order], copies[order]
-    at = line[:, j]
-    window = np.float32(window)
+    _, rank = np.unique(cell, return_inverse=True)
+    at = line[:, j] + rank * APART if rank.any() else line[:, j]  # cells lie apart on one line
+    order = np.argsort(at, kind="stable")
+    at, line, cells, unit, side, copies = at[order], line[order], cells[order], unit[order], side[order], copies[order]
     far = np.searchsorted(at, at + window, side="right")
     links = np.zeros(n, np.int64)
     forest = Forest(n)
     across = side.min() != side.max()
     for a in range(0, n, SWEEP):
         b = min(n, a + SWEEP)
-        end = int(far[b - 1])
+        end = int(far[a:b].max())
         rows, cols = np.arange(a, b), np.arange(a, end)
-        pair = (cols[None] > rows[:, None]) & (np.abs(at[a:b, None] - at[None, a:end]) <= window)
+        pair = (cols[None] > rows[:, None]) & (cols[None] < far[a:b, None])
         if across:
             pair &= side[a:b, None] != side[None, a:end]
         i, k = np.nonzero(pair)
@@ -144,62 +152,68 @@ def sweep(j: int, side: np.ndarray, line: np.ndarray, cells: np.ndarray, unit: n
             forest.link(x, y)
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    return links[back], order[forest.label][back]
+    return links[back], order[forest.pairs()]
+
+
+def by_length(column: pa.ListArray | pa.ChunkedArray, stored: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of all vectors, and where each vector starts and how long it is."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    dims = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False).astype(stored), np.cumsum(dims) - dims, dims
 
 
 def near_links(distinct: DataFrame, n: int, cosine: float = COSINE, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
-    """(rep, copies, v) distinct vectors -> (rep, links, label), partial sums and forest edges."""
+    """(rep, copies, v) distinct vectors -> (rep, links, other): partial sums of links, and forest pairs where ``other`` isn't null."""
     plan = calibrate(n, cosine, recall)
     # Vectors travel as they are stored: single precision takes half of double.
     stored = np.float32 if distinct.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     m, bits, window, threshold = plan["m"], plan["bits"], plan["window"], plan["threshold"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
         for batch in batches:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(stored)
-                dims = np.diff(part.column(2).offsets.to_numpy())
-                starts = np.cumsum(dims) - dims
+                flat, starts, dims = by_length(part.column(2), stored)
+                cells = np.zeros((len(dims), m), np.int32)
                 for d in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == d)
-                    v = flat[starts[at][:, None] + np.arange(d)]
-                    line, cells = signatures(unit_rows(v), m, bits)
-                    rep = part.column(0).to_numpy(zero_copy_only=False)[at]
-                    copies = part.column(1).to_numpy(zero_copy_only=False)[at]
-                    packed = [x.tobytes() + y.tobytes() + z.tobytes() for x, y, z in zip(line, cells, v)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(copies), pa.array([d] * len(at), pa.int32()), pa.array(list(cells), pa.list_(pa.int32())), pa.array(packed, pa.binary())], names=["rep", "copies", "dims", "cells", "packed"])
-
-    marked = settle(distinct.select("rep", "copies", "v").mapInArrow(project, "rep long, copies long, dims int, cells array<int>, packed binary"))
+                    made.setdefault(d, directions(d, m, bits))
+                    cells[at] = signatures(unit_rows(flat[starts[at][:, None] + np.arange(d)]), *made[d])[1]
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, m, dtype=np.int32)), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dims.astype(np.int32)), listed, part.column(2)], names=["rep", "copies", "dims", "cells", "v"])
+
+    kind = distinct.schema["v"].dataType.simpleString()
+    marked = settle(distinct.select("rep", "copies", "v").mapInArrow(project, f"rep long, copies long, dims int, cells array<int>, v {kind}"))
     keys = ["dims", "j", "cell"]
-    dealt = marked.select("rep", "copies", "dims", "packed", F.posexplode("cells").alias("j", "cell"))
+    dealt = marked.select("rep", "copies", "dims", "v", F.posexplode("cells").alias("j", "cell"))
     big = settle(marked.select("dims", F.posexplode("cells").alias("j", "cell")).groupBy(*keys).count().where(F.col("count") > chunk).select(*keys, F.ceil(F.col("count") / chunk).cast("int").alias("g")))
     n_big = big.count()
     if n_big:
         dealt = dealt.join(F.broadcast(big) if n_big <= BROADCAST_CELLS else big, keys, "left")
-        own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
-        dealt = dealt.withColumn("own", F.when(F.col("g").isNull(), F.lit(0)).otherwise(own))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g"), F.lit(1)) - 1)))
     else:
-        dealt = dealt.withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
-    tiles = dealt.select("rep", "copies", "packed", "own", *keys, F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
+        dealt = dealt.withColumn("g", F.lit(None).cast("int"))
+    own = F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g"), F.lit(1)) - 1)))
+    tile = F.when(F.col("g").isNull(), F.expr(f"cell div {TOGETHER}")).otherwise(-1 - F.col("cell").cast("long"))  # large cells by themselves
+    tiles = dealt.select("rep", "copies", "v", "own", *keys, tile.alias("tile"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
+    made: dict = {}
 
     def compare(key: tuple, tile: pa.Table) -> pa.Table:
         dims, j = key[0].as_py(), key[1].as_py()
-        raw = np.frombuffer(b"".join(tile.column("packed").to_pylist()), np.uint8).reshape(tile.num_rows, -1)
-        line = raw[:, : 4 * m].copy().view(np.float32)
-        cells = raw[:, 4 * m : 8 * m].copy().view(np.int32)
-        unit = unit_rows(raw[:, 8 * m :].copy().view(stored).reshape(-1, dims))
-        rep = tile.column("rep").to_numpy()
-        side = tile.column("own").to_numpy()
-        copies = tile.column("copies").to_numpy()
+        made.setdefault(dims, directions(dims, m, bits))
+        unit = unit_rows(by_length(tile.column("v"), stored)[0].reshape(-1, dims))
+        line, cells = signatures(unit, *made[dims])
+        rep, side, copies, cell = (tile.column(c).to_numpy() for c in ("rep", "own", "copies", "cell"))
         if key[3].as_py() != key[4].as_py() and side.min() == side.max():  # by chance, a chunk got nothing
-            links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+            links, pairs = np.zeros(len(rep), np.int64), np.zeros((2, 0), np.int64)
         else:
-            links, label = sweep(j, side, line, cells, unit, copies, window, threshold, cosine)
+            links, pairs = sweep(j, cell, side, line, cells, unit, copies, window, threshold, cosine)
         some = np.flatnonzero(links)
-        return pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some]), "label": pa.array(rep[label[some]])})
+        found = pa.table({"rep": pa.array(rep[some]), "links": pa.array(links[some]), "other": pa.nulls(len(some), pa.int64())})
+        joined = pa.table({"rep": pa.array(rep[pairs[0]]), "links": pa.array(np.zeros(pairs.shape[1], np.int64)), "other": pa.array(rep[pairs[1]])})
+        return pa.concat_tables([found, joined])
 
-    return tiles.groupBy(*keys, "t1", "t2").applyInArrow(compare, "rep long, links long, label long")
+    return tiles.groupBy("dims", "j", "tile", "t1", "t2").applyInArrow(compare, "rep long, links long, other long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -210,7 +224,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     distinct = settle(good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "v"))
     parts = settle(near_links(distinct, distinct.count(), cosine, recall))
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connect(parts.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    components = connect(parts.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     found = distinct.join(links, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
     found = found.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = good.join(found, "v").select("id", "n_links", "component_id")

@@ -32,16 +32,18 @@ def brute(ids, v, cosine=0.95):
         comp = new
 
 
-@pytest.mark.parametrize("cell,chunk", [(1024, 2048), (64, 40)])
-def test_links_against_brute_force(spark, monkeypatch, cell, chunk):
+@pytest.mark.parametrize("cell,chunk,recall", [(1024, 2048, None), (64, 40, None), (256, 200, 1.0)])
+def test_links_against_brute_force(spark, monkeypatch, cell, chunk, recall):
     monkeypatch.setattr(vectors, "CELL", cell)
     v = clustered()
     bad = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [], 1), (5003, [float("nan")] * 24, 1), (5004, [None] + [1.0] * 23, 1), (5005, [float("inf")] * 24, 1), (5006, v[0].tolist()[:23], 1)]
     df = frame(spark, v, bad).selectExpr("*", "1 as id", "2 as links")
     monkeypatch.setattr(vectors, "near_links", (lambda f: lambda d, n, c, r: f(d, n, c, r, chunk))(vectors.near_links))
-    got = {r.vec_id: r for r in vectors.deduplicate_embeddings(df).collect()}
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, recall=recall or vectors.RECALL).collect()}
     links, comp = brute(range(len(v)), v)
     assert len(got) == len(v) + len(bad)
+    if recall:  # the exact way
+        assert [got[i].n_links for i in range(len(v))] == links.tolist() and [got[i].component_id for i in range(len(v))] == comp.tolist()
     found = sum(got[i].n_links for i in range(len(v)))
     assert found >= 0.999 * links.sum()
     assert all(got[i].n_links <= links[i] for i in range(len(v)))  # none below the bound
@@ -61,7 +63,8 @@ def test_calibration():
     for n in (10, 1000, 10**5, 10**9):
         plan = vectors.calibrate(n)
         assert vectors.tail(plan["m"], plan["p"], plan["threshold"]) >= vectors.RECALL
-        assert plan["bits"] <= 30
+        assert plan["bits"] <= 30 and plan["threshold"] >= vectors.LEAST
+        assert vectors.tail(plan["m"], plan["p"], plan["threshold"] + 1) < vectors.RECALL  # the greatest count that keeps the recall
 
 
 def plain_top(ids, ints, q, k=10):
@@ -72,6 +75,7 @@ def plain_top(ids, ints, q, k=10):
 @pytest.mark.parametrize("scale", [1.0, 5e4])
 def test_top_k_against_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK", 100)
+    monkeypatch.setattr(topk, "PIVOTS", 40)
     monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(2)
     v = (rng.normal(size=(450, 37)) * scale).astype(np.float32)
