@@ -78,3 +78,17 @@ def join_spread(rows: DataFrame, info: DataFrame, key: str, by: str, ways: int =
     dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
     copies = info.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return dealt.join(copies, [key, "_way"]).drop("_way")
+
+
+def repeated(df: DataFrame, times: str, into: str, at_once: int = 4096) -> DataFrame:
+    """Each row of ``df`` as often as ``times`` says, numbered from 1 in ``into``.
+
+    Repeats beyond ``at_once`` are dealt to tasks in blocks of so many.
+    """
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / at_once))).alias("_block")
+    inside = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(at_once), F.col(times) - F.col("_block") * at_once))).alias("_in")
+    few = df.where(F.col(times).between(1, at_once)).select("*", F.lit(0).cast("long").alias("_block"))
+    many = df.where(F.col(times) > at_once).select("*", block)
+    number = (F.col("_block") * at_once + F.col("_in")).alias(into)
+    spread = [part.select("*", inside).select(*df.columns, number) for part in (few, many.repartition(F.xxhash64("_block")))]
+    return spread[0].unionByName(spread[1])

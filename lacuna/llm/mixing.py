@@ -6,29 +6,36 @@ prefix sum of sizes in key order reaches the rest of the budget; the row on the
 cut gives only the words still wanted, so the words taken of a source are its
 target rounded down.
 
-The prefix sum is distributed.  Keys are uniform, so equal key ranges hold
-about equal numbers of rows: each (source, range) is summed, the sums are
-accumulated per source, and a window inside a range adds the rest.  A source
-that holds a third of all rows is spread over as many ranges as there are
-(about one for each ``ROWS_A_RANGE`` rows), each a window of its own.
-
-Defined cases: a null source is a source (the last one); a null key is the text
-``null``; repeated rows are ranked by size and then interchangeably; texts
-without words have size 0 and give nothing; an empty table gives no rows.
+The prefix sum is distributed.  A row's key is the md5 of what it is (id, source
+and text) and of its number among equal rows, so keys are uniform whatever ids
+or texts repeat, and equal key ranges hold about equal numbers of rows: each
+(source, range) is summed, the sums are accumulated per source, and a window
+inside a range adds the rest.  A source that holds a third of all rows is spread
+over as many ranges as there are (one for each ``ROWS_A_RANGE`` rows), each a
+window of its own.  Equal rows are counted, never ranked: their numbers are
+written out from the count.
+
+Texts take no part in this; ``mixed_rows`` sends each text once, to its uses.
+
+Defined cases: a null source is a source (the last one); a null key is a key of
+its own; equal rows are interchangeable; texts without words have size 0 and
+give nothing; an empty table gives no rows; other columns, whatever their names,
+stay as they are (of rows equal in id, source and text ``mixed_rows`` uses one).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, n_words, settle
+from .common import id_text, n_words, repeated, settle
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = "mix-1"
-ROWS_A_RANGE = 256
+ROWS_A_RANGE = 16_384
+LEAST_RANGES = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -56,37 +63,49 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.withColumn("target", target).select("_source", "source_size", "target")
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """key, source, ``carry`` columns, size, source_size, target and taken.
+def identity(key: Column, source: Column, text: Column) -> Column:
+    """md5 of id, source and text, nulls told from every text."""
+    flag = lambda c: c.isNull().cast("string")
+    return F.md5(F.concat_ws("|", id_text(key), flag(key), id_text(source), flag(source), F.coalesce(F.md5(text.cast("binary")), F.lit("null"))).cast("binary"))
 
-    ``taken`` counts words, repeats included; a row is used
-    ``ceil(taken / size)`` times, at most ``most``.
-    """
-    ordering = F.md5(F.concat(id_text(F.col(key)), F.lit(f"|{seed}")))
-    cols = [F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), ordering.alias("_order")]
-    narrow = settle(df.select(*cols))
-    count = narrow.count()
-    n_ranges = max(16, count // ROWS_A_RANGE)
+
+def takes(df: DataFrame, key: str, source: str, text: str, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+    """One row for each of ``df``: _what (``identity``), _key, _source, _size, source_size, target and taken."""
+    what = identity(F.col(key), F.col(source), F.col(text))
+    cols = [what.alias("_what"), F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size")]
+    equal = df.select(*cols).groupBy("_what", "_key", "_source", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    rows = repeated(settle(equal), "_n", "_number").drop("_n")
+    n_ranges = max(LEAST_RANGES, rows.count() // ROWS_A_RANGE)
+    order = F.md5(F.concat_ws("|", "_what", F.col("_number").cast("string"), F.lit(seed)).cast("binary"))
     spot = F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.lit(n_ranges) / F.lit(1 << 32)).cast("long")
-    same = [F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_s"), F.col("_source").isNull().alias("_none"), spot.alias("_range")]
+    same = [F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_s"), F.col("_source").isNull().alias("_none")]
+    rows = rows.withColumn("_order", order).select("*", *same, spot.alias("_range"))
     keys = ["_s", "_none", "_range"]
 
-    ranges = settle(narrow.select("_source", "_size", *same).groupBy("_source", *keys).agg(F.sum("_size").alias("_sum")))
+    ranges = settle(rows.groupBy("_source", *keys).agg(F.sum("_size").alias("_sum")))
     budget = targets(ranges.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
-    budget = budget.select(F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_s"), F.col("_source").isNull().alias("_none"), "source_size", "target")
+    budget = budget.select(*same, "source_size", "target")
     before = F.sum("_sum").over(Window.partitionBy("_s", "_none").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranges.withColumn("_offset", F.coalesce(before, F.lit(0))).drop("_source", "_sum").join(budget, ["_s", "_none"])
 
-    rows = df.select(*cols, *(F.col(c).alias(f"_carry_{c}") for c in carry)) if carry else narrow
-    rows = rows.select("*", *same)
-    inside = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, keys)
     budget_words = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
     rest = budget_words - F.col("_whole") * F.col("source_size") - F.col("_offset") - F.col("_inside")
     taken = F.col("_whole") * F.col("_size") + F.greatest(F.lit(0), F.least(rest, F.col("_size")))
     rows = rows.withColumn("_whole", whole).withColumn("taken", taken.cast("long"))
-    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), *(F.col(f"_carry_{c}").alias(c) for c in carry), F.col("_size").alias("size"), "source_size", "target", "taken")
+    return rows.select("_what", "_key", "_source", "_size", "source_size", "target", "taken")
+
+
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """key, source, size, source_size, target and taken of every row.
+
+    ``taken`` counts words, repeats included; a row is used
+    ``ceil(taken / size)`` times, at most ``most``.
+    """
+    rows = takes(df, key, source, text, weights, share, most, seed)
+    return rows.select(F.col("_key").alias(key), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -99,8 +118,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     Columns stay those of ``docs``; the row on a cut is used whole.
     """
-    inner = docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns))  # no name can clash with a result's
-    carry = tuple(c for c in inner.columns if c not in ("_in_doc_id", "_in_source"))
-    used = mix(inner, "_in_doc_id", "_in_source", "_in_text", carry).where("taken > 0")
-    copies = used.withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
-    return copies.select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))
+    used = takes(docs, "doc_id", "source", "text", WEIGHTS, SHARE, MOST_EPOCHS, SEED).where("taken > 0")
+    uses = used.groupBy("_what").agg(F.sum(F.ceil(F.col("taken") / F.col("_size"))).alias("_uses"))
+    whole = docs.select(F.struct("*").alias("_row"), identity(F.col("doc_id"), F.col("source"), F.col("text")).alias("_what"), F.xxhash64(*docs.columns).alias("_hash"))
+    one = whole.groupBy("_what").agg(F.min_by("_row", "_hash").alias("_row"))  # equal rows meet before they are sent
+    return repeated(one.join(uses, "_what"), "_uses", "_number").select("_row.*")

@@ -1,15 +1,17 @@
 """Consistent-hash ring with virtual nodes and bounded loads (native).
 
-Every shard owns ``vnodes`` points of a ring of ``cells`` cells.  A key falls
-into a cell by its hash and belongs to the shard whose point comes next,
-clockwise.  A shard holds at most its capacity; keys that find it full go on to
-the next *distinct* shard clockwise.  Keys are admitted in rounds (first
-choices before second choices, and so on) and in hash order within a round, so
-the outcome depends on nothing but the keys and the parameters.
+Every shard owns ``vnodes`` points of a ring of ``cells`` cells.  A row falls
+into a cell by the hash of its key, of its tie columns and of its number among
+equal rows, so rows that repeat a key (or have none) are spread, and belongs to
+the shard whose point comes next, clockwise.  A shard holds at most its
+capacity; rows that find it full go on to the next *distinct* shard clockwise.
+Rows are admitted in rounds (first choices before second choices, and so on) and
+in hash order within a round, so the outcome depends on nothing but the rows and
+the parameters.
 
 Capacities add up to exactly the number of rows and differ by one at most, so
 the law that holds is ``rows``: shard counts are at most one apart.  Adding a
-shard only moves the keys of the arcs it takes over and the overflow that the
+shard only moves the rows of the arcs it takes over and the overflow that the
 smaller capacities push on.
 
 The admission runs on counts per cell (``cells`` rows, a constant), never on
@@ -17,20 +19,21 @@ rows: a round is a running sum per shard over the cells.  Rows meet the result
 in one join on the cell, which is also the partitioning of the ranking window,
 so rows are shuffled once, without their texts.
 
-Defined cases: a null key hashes as the text ``null``; repeated keys are ranked
-by the tie columns and then interchangeably; an empty table gives no rows;
-other columns never enter the plan.
+Equal rows are counted, never ranked: they are written out again from the count.
+
+Defined cases: a null key hashes as the text ``null``; equal rows are
+interchangeable; an empty table gives no rows; columns ``shard`` and ``slot`` of
+the input are replaced by the result's, all others stay.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Settled, id_text, settle
+from .common import Settled, id_text, repeated, settle
 
 #: Cells of the ring.  A constant, so the admission table never grows with the data.
 CELLS = 1 << 14
@@ -98,19 +101,23 @@ def admit(counts: DataFrame, n_shards: int, vnodes: int, cells: int) -> DataFram
 def bounded_ring(df: DataFrame, key: str, ties: list[str] | None = None, n_shards: int = 8, vnodes: int = 64, cells: int = CELLS) -> DataFrame:
     """``df`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
-    ``df`` should hold narrow columns only; it is written once to the shared
-    folder, so the source is scanned once.  ``ties`` order rows of one key.
+    ``df`` should hold narrow columns only, of kinds that can be grouped; it is
+    written to the shared folder, so the source is scanned once.  ``ties`` tell
+    rows of one key apart.
     """
-    ties = ties or []
     names = [c for c in df.columns if c not in ("shard", "slot")]
+    inner = {c: f"_in_{i}" for i, c in enumerate(names)}  # no name can clash
     bits = cells.bit_length() - 1
-    hashed = F.xxhash64(id_text(F.col(key)))
-    rows = settle(df.select(*names, hashed.alias("_hash")).withColumn("_cell", F.shiftrightunsigned("_hash", 64 - bits).cast("int")))
+    equal = df.select(*(F.col(c).alias(x) for c, x in inner.items())).groupBy(*inner.values()).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = F.xxhash64(id_text(F.col(inner[key])), *(inner[c] for c in ties or []), "_number")
+    rows = repeated(settle(equal), "_n", "_number").withColumn("_hash", hashed)
+    rows = settle(rows.select(*inner.values(), "_number", "_hash", F.shiftrightunsigned("_hash", 64 - bits).cast("int").alias("_cell")))
     parts = admit(rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")), n_shards, vnodes, cells)
-    order = list(chain(["_hash", key], ties))
+    order = [F.col("_hash"), *(F.col(x) for x in inner.values()), F.col("_number")]
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)).cast("long") - 1)
     part = F.element_at(F.filter("parts", lambda p: (F.col("_rank") >= p["lo"]) & (F.col("_rank") < p["lo"] + p["n"])), 1)
-    return ranked.join(parts, "_cell").withColumn("_part", part).select(*names, F.col("_part.shard").alias("shard"), (F.col("_part.slot") + F.col("_rank") - F.col("_part.lo")).alias("slot"))
+    placed = ranked.join(parts, "_cell").withColumn("_part", part)
+    return placed.select(*(F.col(x).alias(c) for c, x in inner.items()), F.col("_part.shard").alias("shard"), (F.col("_part.slot") + F.col("_rank") - F.col("_part.lo")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:

@@ -3,7 +3,8 @@
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|mix-1') AS k
+         md5(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || (doc_id IS NULL) || '|' || coalesce(source, 'null') || '|' || (source IS NULL) || '|' || coalesce(md5(text), 'null'))
+             || '|' || row_number() OVER (PARTITION BY doc_id, source, text) || '|mix-1') AS k
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (
@@ -22,7 +23,7 @@ budget AS (
   FROM flagged),
 placed AS (
   SELECT s.doc_id, s.size, b.source_size, b.target,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead,
          CASE WHEN b.source_size > 0 THEN CAST(floor(b.target) AS BIGINT) // b.source_size ELSE 0 END AS whole
   FROM sized s JOIN budget b ON s.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,

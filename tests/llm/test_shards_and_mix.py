@@ -106,7 +106,7 @@ def test_mix_meets_targets(frame):
 
 
 def test_a_hot_source_is_spread(frame, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 8)
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 4)
     rows = [(i, "a b c", "en", "hot" if i % 3 else "cold") for i in range(400)]
     got = mixing.mix_documents(frame(rows)).collect()
     target = plain_targets({"hot": 3 * sum(i % 3 > 0 for i in range(400)), "cold": 3 * sum(i % 3 == 0 for i in range(400))})
@@ -126,3 +126,36 @@ def test_targets_against_the_loop(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "_source string, source_size long")
     got = {r["_source"]: r["target"] for r in mixing.targets(df).collect()}
     assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_repeated_and_keyless_rows_are_spread(frame):
+    """A third of the rows have no id, a third are equal: neither makes a large cell, range or source window."""
+    rows = [(None, f"t {i}", "en", "s") for i in range(300)] + [(7, "the same text", "en", "s")] * 300 + [(100 + i, "a b", "en", "r") for i in range(300)]
+    placed = sharding.shard_documents(frame(rows)).collect()
+    assert len(placed) == 900
+    check_law(placed, 8)
+    for key in (None, 7):
+        assert len({r.shard for r in placed if r.doc_id == key}) == 8
+    mixed = mixing.mix_documents(frame(rows)).collect()
+    assert Counter(r.doc_id if r.doc_id in (None, 7) else 0 for r in mixed) == {None: 300, 7: 300, 0: 300}
+    target = plain_targets({"s": 300 * 2 + 300 * 3, "r": 600})
+    assert sum(r.taken for r in mixed) == sum(map(int, target.values()))
+    used = Counter(r.doc_id if r.doc_id in (None, 7) else 0 for r in mixing.mixed_rows(frame(rows)).collect())
+    assert used[7] == sum(-(-r.taken // r.size) for r in mixed if r.doc_id == 7)
+
+
+def test_repeats_beyond_a_block(spark):
+    from lacuna.llm.common import repeated
+
+    got = repeated(spark.createDataFrame([("a", 10), ("b", 3), ("c", 8), ("d", 0)], "k string, n long"), "n", "i", at_once=4).collect()
+    assert sorted((r.k, r.i) for r in got) == [(k, i) for k, n in (("a", 10), ("b", 3), ("c", 8)) for i in range(1, n + 1)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"c{i}", 5) for i in range(40)], "doc_id long, _cell string, shard int").selectExpr("*", "'h' as _hash", "1 as _number")
+    got = sharding.bounded_ring(df, "doc_id").collect()
+    assert {(r.doc_id, r["_cell"], r["_hash"]) for r in got} == {(i, f"c{i}", "h") for i in range(40)}
+    check_law(got, 8)
+    docs = spark.createDataFrame([(1, "a b", "s", "x"), (2, "c", "s", "y")], "doc_id long, text string, source string, _what string").selectExpr("*", "'k' as _key", "9 as taken", "'r' as _row")
+    rows = mixing.mixed_rows(docs)
+    assert rows.columns == docs.columns and {r["_what"] for r in rows.collect()} == {"x", "y"}
