@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,16 +59,40 @@ RATE = 0.2
 #: Least batches in a round of training.
 STEPS = 120
 REMEMBERED = 400_000
-WORDS_AT_ONCE = 1 << 18
+WORDS_AT_ONCE = 1 << 16
+PRIME, GOLDEN = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 THRESHOLD = 0.5
 EDGES = re.compile(r"^\W+|\W+$")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams; punctuation at its ends doesn't count."""
-    w = f"<{EDGES.sub('', word)}>"
-    grams = [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in (*grams, w)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of words and of the words themselves, and how many each word has.
+
+    Punctuation at a word's ends doesn't count.  A gram hashes as a polynomial of
+    its characters, so all words are hashed at once.
+    """
+    line = "".join(f"<{EDGES.sub('', w)}>" for w in words)
+    size = np.fromiter((len(EDGES.sub("", w)) + 2 for w in words), np.int64, len(words))
+    cps = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(size)
+    first = ends - size
+    rest = np.repeat(ends, size) - np.arange(len(cps))  # characters to the end of the word
+    owner = np.repeat(np.arange(len(words)), size)
+    hashes, owners, h = [], [], np.zeros(len(cps), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        h = h[: max(0, len(cps) - n + 1)] * PRIME + cps[n - 1 :]
+        if n in GRAMS:
+            at = np.flatnonzero(rest[: len(h)] >= n)
+            hashes.append(h[at])
+            owners.append(owner[at])
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(size.max(initial=0)), PRIME))])
+    terms = cps * power[rest - 1]  # the same polynomial over the whole word
+    hashes.append(np.add.reduceat(terms, first) if len(words) else np.zeros(0, np.uint64))
+    owners.append(np.arange(len(words)))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    bucket = ((np.concatenate(hashes) * GOLDEN) >> np.uint64(48)).astype(np.int64)
+    return bucket[order], np.bincount(owner, minlength=len(words))
 
 
 def starts(n: int, stride: int = STRIDE) -> np.ndarray:
@@ -84,19 +108,10 @@ class Model:
     def __init__(self, bucket: np.ndarray, bias: float, slope: float, shift: float):
         self.bucket, self.bias, self.slope, self.shift = bucket, bias, slope, shift
 
-    def logit(self, words: list[str], known: dict[str, float]) -> float:
-        """Mean of the two highest window means of word scores, plus the bias."""
-        if not words:
+    def logit(self, scores: np.ndarray) -> float:
+        """Of word scores: the mean of the two highest window means, plus the bias."""
+        if not len(scores):
             return self.bias
-        scores = np.empty(len(words))
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = words[at : at + WORDS_AT_ONCE]
-            new = {w for w in part if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(part)
-            known.update((w, self.word(w)) for w in new)
-            scores[at : at + len(part)] = [known[w] for w in part]
         sums = np.concatenate([[0.0], np.cumsum(scores)])
         first = starts(len(scores))
         size = min(WINDOW, len(scores))
@@ -106,11 +121,34 @@ class Model:
         second = others.max() if len(others) else means[best]
         return float(means[best] + second) / 2 + self.bias
 
-    def word(self, word: str) -> float:
-        return float(self.bucket[subwords(word)].mean())
-
-    def scores(self, texts: pd.Series, known: dict[str, float]) -> np.ndarray:
-        logits = np.array([self.logit(t.lower().split() if t else [], known) for t in texts], float)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Mean n-gram score of each word."""
+        out = np.zeros(len(words))
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            bucket, size = subwords(words[at : at + WORDS_AT_ONCE])
+            out[at : at + WORDS_AT_ONCE] = np.add.reduceat(self.bucket[bucket], np.cumsum(size) - size) / size
+        return out
+
+    def logits(self, texts: list[list[str]], known: dict[str, float]) -> list[float]:
+        """Of the words of texts; ``known`` remembers word scores."""
+        new = list({w for words in texts for w in words if w not in known})
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list({w for words in texts for w in words})
+        known.update(zip(new, self.words(new).tolist()))
+        return [self.logit(np.fromiter(map(known.__getitem__, words), float, len(words))) for words in texts]
+
+    def scores(self, texts: Iterable[str | None], known: dict[str, float]) -> np.ndarray:
+        out: list[float] = []
+        block: list[list[str]] = []
+        size = 0
+        for text in texts:
+            block.append(text.lower().split() if text else [])
+            size += len(block[-1])
+            if size >= WORDS_AT_ONCE:
+                out += self.logits(block, known)
+                block, size = [], 0
+        logits = np.array(out + self.logits(block, known), float)
         return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -40, 40)))
 
 
@@ -130,9 +168,7 @@ class Trainer:
             windows.append(ids[first[:, None] + np.arange(WINDOW)])
             owner.append(np.full(len(first), d))
         self.windows, self.doc = np.concatenate(windows), np.concatenate(owner)
-        bags = [subwords(w) for w in numbers]
-        self.flat = np.array([b for bag in bags for b in bag], np.int64)
-        self.size = np.array([len(b) for b in bags], np.int64)
+        self.flat, self.size = subwords(list(numbers))
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.table = self.rng.uniform(-0.1, 0.1, (BUCKETS, DIMS))
         self.soft = self.rng.uniform(-0.1, 0.1, (DIMS, 2))
@@ -242,8 +278,7 @@ def fit_rows(texts: list[str], toxic: np.ndarray, held: np.ndarray, share: float
     trainer.train(toxic[~held])
     model = Model(*trainer.result(), 1.0, 0.0)
     check = held if held.any() else ~held
-    seen: dict[str, float] = {}
-    logits = np.array([model.logit(w, seen) for w, h in zip(words, check) if h])
+    logits = np.array(model.logits([w for w, h in zip(words, check) if h], {}))
     model.slope, model.shift = calibrate(logits, toxic[check], share)
     return model
 

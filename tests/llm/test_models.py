@@ -175,12 +175,18 @@ def test_score_against_plain_recomputation():
     rng = np.random.default_rng(9)
     model = toxicity.Model(rng.standard_normal(toxicity.BUCKETS), -0.3, 1.7, 0.4)
 
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = h * 1_000_003 + ord(c)
+        return (h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48
+
     def word(w):
         w = "<" + re.sub(r"^\W+|\W+$", "", w) + ">"
         grams = [w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)] + [w]
-        return sum(model.bucket[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams)
+        return sum(model.bucket[bucket(g)] for g in grams) / len(grams)
 
-    for text in ("", "one", "Two words!", "a b c d e", "The quick (brown) f\u00f6x jumps over 3 lazy dogs, and so on until the end."):
+    for text in ("", "one", "Two words!", "a b c d e", "-- ab ??", "The quick (brown) f\u00f6x jumps over 3 lazy dogs, and so on until the end."):
         words = text.lower().split()
         size = min(4, len(words))
         first = sorted({*range(0, max(1, len(words) - 4), 2), max(0, len(words) - 4)})
@@ -202,7 +208,7 @@ def test_training_step_against_plain_gradients():
     def loss(table, soft, bias):
         total = 0.0
         for window, y in zip(trainer.windows[rows], labels):
-            vectors = [np.mean([table[b] for b in toxicity.subwords(names[w])], 0) for w in window if w >= 0]
+            vectors = [np.mean([table[b] for b in toxicity.subwords([names[w]])[0]], 0) for w in window if w >= 0]
             out = np.mean(vectors, 0) @ soft + bias
             total -= out[y] - np.log(np.exp(out).sum())
         return total / len(rows)
@@ -214,7 +220,7 @@ def test_training_step_against_plain_gradients():
         moved[2][d] += 1e-6
         g = (loss(*moved) - loss(*before)) / 1e-6
         assert trainer.bias[d] - before[2][d] == pytest.approx(-toxicity.RATE * g / math.sqrt(1e-6 + g * g), abs=1e-4)
-    bucket_ab = toxicity.subwords("ab")[0]
+    bucket_ab = int(toxicity.subwords(["ab"])[0][0])
     g = []
     for d in range(toxicity.DIMS):
         moved = [x.copy() for x in before]
