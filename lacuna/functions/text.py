@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONGEST_WORD = 900
-SENTENCE_END = r"([.!?])\s+"
-TOKEN = r"\w+(?:[-']\w+)*|[^\s\w]"
+WHITE = r"[ \t\n\x0B\f\r]"
+SENTENCE_END = rf"(?<=[.!?]){WHITE}+"
+#: A word of letters, marks, digits and underscores, inner hyphens and apostrophes included, or any other sign.
+WORD = r"[\p{L}\p{M}\p{N}_]"
+TOKEN = rf"{WORD}+(?:[-']{WORD}+)*|[^\s\p{{L}}\p{{M}}\p{{N}}_]"
 
 
 def strip_title_brackets(title: Column) -> Column:
@@ -32,8 +35,8 @@ def normalise(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences: cut after ``.``, ``!`` or ``?`` before white space."""
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
+    """Array of sentences: cut at white space after ``.``, ``!`` or ``?``; empty pieces are left out."""
+    return keep_nonempty(F.split(text, SENTENCE_END))
 
 
 def tokens(sentence: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .matrix import canonical, ids_of, merge_counts, merge_pairs, merge_scalars
 
+#: Negatives: draws for each pair wanted, and the multiple of these below which all pairs are listed.
+DRAWS, DENSE = 4, 2
+
 
 def known_pairs(cooccurrence: DataFrame, last_year: int) -> DataFrame:
     """(x, y, n) up to and with ``last_year``."""
@@ -51,29 +55,51 @@ def holdout(cooccurrence: DataFrame, ids: DataFrame, year: int, later: bool = Fa
 
 
 def draw(df: DataFrame, size: int, seed: str = "draw", keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """``size`` rows without replacement, in the order of md5(keys and seed)."""
-    text = F.concat_ws("_", *(F.col(k).cast("string") for k in keys), F.lit(seed))
-    return df.withColumn("_order", F.md5(text)).orderBy("_order", *keys).limit(size).drop("_order")
-
+    """``size`` rows without replacement, in the order of md5(keys and seed).
 
-def negatives(ids: DataFrame, truth: DataFrame, size: int, tries: int, seed: str = "negative") -> DataFrame:
-    """Up to ``size`` distinct pairs x < y of known ids that aren't true, as (x, y, n = 0).
-
-    ``tries`` seeded uniform draws of two ranks are made at once (choose it
-    above ``size``; pairs drawn twice, equal ends and true pairs fall away).
+    A histogram of the first four digits tells up to where rows are taken whole;
+    only rows of the digits on the cut are sorted.
+    """
+    text = F.concat_ws("_", *(F.col(k).cast("string") for k in keys), F.lit(seed))
+    ordered = settled(df.withColumn("_order", F.md5(text)).withColumn("_bin", F.substring("_order", 1, 4)))
+    ahead = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # 65,536 bins at most
+    bins = ordered.groupBy("_bin").count().withColumn("_sum", F.sum("count").over(ahead))
+    cut = bins.where(F.col("_sum") >= size).orderBy("_bin").first()
+    if cut is None:
+        return ordered.select(*df.columns)
+    rest = size - (cut["_sum"] - cut["count"])
+    last = ordered.where(F.col("_bin") == cut["_bin"]).orderBy("_order", *keys).limit(rest)
+    return ordered.where(F.col("_bin") < cut["_bin"]).select(*df.columns).unionByName(last.select(*df.columns))
+
+
+def negatives(ids: DataFrame, truth: DataFrame, size: int, seed: str = "negative") -> DataFrame:
+    """``size`` distinct pairs x < y of ids that aren't true (all there are, if fewer), as (x, y, n = 0).
+
+    Seeded uniform draws of two ranks are repeated until there are enough.  Where
+    most of what could be drawn is wanted, all pairs are listed instead; they
+    are then fewer than true pairs and twice ``size`` together.
     """
-    spark = ids.sparkSession
-    from pyspark.sql import Window
-
-    ranked = ids.select("x", (F.row_number().over(Window.orderBy("x")) - 1).alias("_r"))  # a vocabulary, not data
-    count = ids.count()
-    if not count:
-        return ids.select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("n")).limit(0)
-    rank = lambda side: F.conv(F.substring(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(side), F.lit(seed))), 1, 8), 16, 10).cast("long") % count
-    drawn = spark.range(tries).select(rank("a").alias("_a"), rank("b").alias("_b"))
-    pairs = drawn.join(ranked.select(F.col("_r").alias("_a"), F.col("x").alias("p")), "_a").join(ranked.select(F.col("_r").alias("_b"), F.col("x").alias("q")), "_b")
-    pairs = pairs.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-    return draw(unknown_pairs(pairs, truth), size, seed).select("x", "y", F.lit(0).cast("long").alias("n"))
+    ranked = settled(ids.select("x", (F.row_number().over(Window.orderBy("x")) - 1).cast("long").alias("_r")))  # a vocabulary, not data
+    true_pairs = settled(both_accepted(canonical(truth.select("x", "y")), ids).where("x < y").distinct())
+    count, known = ranked.count(), true_pairs.count()
+    possible = count * (count - 1) // 2 - known
+    size = min(size, possible)
+    one, two = ranked.select(F.col("_r").alias("_a"), F.col("x").alias("p")), ranked.select(F.col("_r").alias("_b"), F.col("x").alias("q"))
+    pair = [F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")]
+    zero = F.lit(0).cast("long").alias("n")
+    if possible < DENSE * size:
+        listed = one.where(F.col("_a") < count - 1).withColumn("_b", F.explode(F.sequence(F.col("_a") + 1, F.lit(count - 1).cast("long")))).join(two, "_b")
+        return draw(unknown_pairs(listed.select(*pair), true_pairs), size, seed).select("x", "y", zero)
+    rank = lambda side: F.conv(F.substring(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(side), F.lit(seed))), 1, 8), 16, 10).cast("long") % max(1, count)
+    tries, found, drawn = DRAWS * size, None, 0
+    while found is None or drawn < size:
+        first = 0 if found is None else tries
+        tries = tries if found is None else 2 * tries
+        trial = ids.sparkSession.range(first, tries).select(rank("a").alias("_a"), rank("b").alias("_b")).join(one, "_a").join(two, "_b")
+        fresh = unknown_pairs(trial.where("p <> q").select(*pair).distinct(), true_pairs)
+        found = settled(fresh if found is None else found.unionByName(fresh).distinct())
+        drawn = found.count()
+    return draw(found, size, seed).select("x", "y", zero)
 
 
 def labelled(positive: DataFrame, negative: DataFrame) -> DataFrame:

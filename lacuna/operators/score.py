@@ -1,9 +1,12 @@
 """Neighbourhood scores of candidate pairs.
 
-Candidates are joined with the adjacency of their end of lower degree, then
-with the other end's on two keys, so what is made grows with the candidates'
-smaller neighbourhoods and not with the squares of hub degrees.  One
-aggregation gives all sums.
+Shared neighbours are found first.  Candidates of two ends of at most ``PACKED``
+neighbours meet both neighbour lists and intersect them, so only shared
+neighbours become rows.  A candidate with a hub is joined with the neighbours of
+its end of lower degree, then with the hub's on two keys: what is made grows with
+the smaller neighbourhood, never with the squares of hub degrees.  Weights are
+joined to the shared neighbours, and one aggregation gives all sums.  A method
+joins only what it needs.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .matrix import mirror
 
 #: Scores in the order of the wide table.
@@ -18,21 +22,37 @@ METHODS = ("factaplus", "bitola", "arrowsmith", "jaccard", "prefattach", "amw",
 #: Names for figures (fixed values).
 TITLES = {"anni": "ANNI", "prefattach": "Preferential Attachment", "factaplus": "FACTA+", "jaccard": "Jaccard", "arrowsmith": "Arrowsmith", "bitola": "BITOLA", "amw": "AMW", "ltc_amw": "LTC-AMW"}
 MOST_AMW = 1000
+#: Most neighbours of a concept whose list travels with candidates.
+PACKED = 1024
 
 
 def degrees(adjacency: DataFrame) -> DataFrame:
-    """(x, degree) of a mirrored matrix."""
-    return adjacency.groupBy("x").agg(F.count_distinct("y").alias("degree"))
+    """(x, degree) of a mirrored matrix of distinct pairs."""
+    return adjacency.groupBy("x").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def wedges(candidates: DataFrame, adjacency: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y, link, n1, n2 and ``carried`` of both sides) for every common neighbour of (x, y).
+def shared(ends: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(x, y, links): the common neighbours of candidates, those without any left out; a candidate with a hub has a row for each.
 
-    ``candidates`` need ``first`` and ``second``, the ends in the order of joining.
+    ``ends`` need degrees dx and dy and first/second, see ``ordered_ends``.
     """
-    one = adjacency.select(F.col("x").alias("first"), F.col("y").alias("link"), F.col("n").alias("n1"), *(F.col(c).alias(f"{c}_1") for c in carried))
-    two = adjacency.select(F.col("x").alias("second"), F.col("y").alias("link"), F.col("n").alias("n2"), *(F.col(c).alias(f"{c}_2") for c in carried))
-    return candidates.join(one, "first").join(two, ["second", "link"])
+    packed = adjacency.groupBy("x").agg(F.collect_list("y").alias("near"))
+    hub = F.greatest("dx", "dy") > PACKED
+    lists = packed.where(F.size("near") <= PACKED)
+    small = ends.where(~hub & (F.least("dx", "dy") > 0)).select("x", "y")
+    small = small.join(lists.withColumnRenamed("near", "_a"), "x").join(lists.select(F.col("x").alias("y"), F.col("near").alias("_b")), "y")
+    met = small.select("x", "y", F.array_intersect("_a", "_b").alias("links")).where(F.size("links") > 0)
+    one = adjacency.select(F.col("x").alias("first"), F.col("y").alias("link"))
+    two = adjacency.select(F.col("x").alias("second"), F.col("y").alias("link"))
+    large = ends.where(hub).select("x", "y", "first", "second").join(one, "first").join(two, ["second", "link"])
+    return met.unionByName(large.select("x", "y", F.array("link").alias("links")))
+
+
+def wedges(ends: DataFrame, adjacency: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y, link, n1, n2 and ``carried`` of both sides) for every common neighbour of (x, y)."""
+    links = shared(ends, adjacency).select("x", "y", F.explode("links").alias("link"))
+    side = lambda end, k: adjacency.select(F.col("x").alias(end), F.col("y").alias("link"), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in carried))
+    return links.join(side("x", 1), ["x", "link"]).join(side("y", 2), ["y", "link"])
 
 
 def ordered_ends(candidates: DataFrame, degree: DataFrame) -> DataFrame:
@@ -43,48 +63,53 @@ def ordered_ends(candidates: DataFrame, degree: DataFrame) -> DataFrame:
     return out.withColumns({"first": F.when(swap, F.col("y")).otherwise(F.col("x")), "second": F.when(swap, F.col("x")).otherwise(F.col("y"))})
 
 
-def score_all(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFrame) -> DataFrame:
-    """(x, y) distinct candidates -> x, y and every score of ``METHODS``.
+def score_all(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFrame | None, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """(x, y) distinct candidates -> x, y and the scores of ``methods``.
 
     Pairs without a linking term get the scores of an empty set.  A missing
     occurrence counts as no association; AMW of 1000 or more is an error, as
-    LTC-AMW would no longer sort by linking terms.
+    LTC-AMW would no longer sort by linking terms.  Occurrences matter to FACTA+
+    only, counts of pairs to it, BITOLA and AMW.
     """
     pairs = candidates.select("x", "y").distinct()
     adjacency = mirror(cooccurrence.select("x", "y", "n"))
-    degree = degrees(adjacency)
-    ends = ordered_ends(pairs, degree)
-    weighted = adjacency.join(occurrence.select("x", F.col("n").alias("ox")), "x", "left").join(occurrence.select(F.col("x").alias("y"), F.col("n").alias("oy")), "y", "left")
-    strength = F.coalesce(F.try_divide(F.col("n").cast("double"), F.least("ox", "oy")), F.lit(0.0))
-    weighted = weighted.select("x", "y", "n", strength.alias("d"))
-    linked = wedges(ends.select("x", "y", "first", "second"), weighted, ("d",))
-    sums = linked.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("arrowsmith"),
-        F.sum(F.col("n1") * F.col("n2")).alias("bitola"),
-        F.sum(F.least("n1", "n2")).alias("least"),
-        F.product(1 - F.col("d_1") * F.col("d_2")).alias("apart"),
-    )
-    out = ends.select("x", "y", "dx", "dy").join(sums, ["x", "y"], "left")
-    shared = F.coalesce("arrowsmith", F.lit(0))
-    either = F.col("dx") + F.col("dy") - shared
-    amw = F.when(shared > 0, F.col("least") / shared).otherwise(0.0)
-    amw = F.when(amw < MOST_AMW, amw).otherwise(F.raise_error(F.lit("AMW must be below 1000 for LTC-AMW")).cast("double"))
-    out = out.withColumn("amw", amw)
-    return out.select(
-        "x", "y",
-        (1 - F.coalesce("apart", F.lit(1.0))).alias("factaplus"),
-        F.coalesce("bitola", F.lit(0)).cast("long").alias("bitola"),
-        shared.cast("long").alias("arrowsmith"),
-        F.when(either > 0, shared / either).otherwise(0.0).alias("jaccard"),
-        (F.col("dx") + F.col("dy")).cast("long").alias("prefattach"),
-        "amw",
-        (shared + 0.001 * F.col("amw")).alias("ltc_amw"),
-    )
-
-
-def score(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFrame, method: str) -> DataFrame:
-    """(x, y, score) by one method; columns of the others are pruned from the plan."""
-    return score_all(candidates, cooccurrence, occurrence).select("x", "y", F.col(method).alias("score"))
+    ends = ordered_ends(pairs, degrees(adjacency))
+    out = ends.select("x", "y", "dx", "dy")
+    weighted = {"factaplus", "bitola", "amw", "ltc_amw"} & set(methods)
+    if weighted:
+        carried = ()
+        if "factaplus" in methods:
+            joined = adjacency.join(occurrence.select("x", F.col("n").alias("ox")), "x", "left").join(occurrence.select(F.col("x").alias("y"), F.col("n").alias("oy")), "y", "left")
+            strength = F.coalesce(F.try_divide(F.col("n").cast("double"), F.least("ox", "oy")), F.lit(0.0))
+            adjacency, carried = settled(joined.select("x", "y", "n", strength.alias("d"))), ("d",)  # read five times
+        sums = [F.count(F.lit(1)).alias("arrowsmith"), F.sum(F.col("n1") * F.col("n2")).alias("bitola"), F.sum(F.least("n1", "n2")).alias("least")]
+        sums += [F.product(1 - F.col("d_1") * F.col("d_2")).alias("apart")] if carried else []
+        out = out.join(wedges(ends, adjacency, carried).groupBy("x", "y").agg(*sums), ["x", "y"], "left")
+    elif {"arrowsmith", "jaccard"} & set(methods):
+        counted = shared(ends, adjacency).groupBy("x", "y").agg(F.sum(F.size("links")).alias("arrowsmith"))
+        out = out.join(counted, ["x", "y"], "left")
+    else:
+        out = out.withColumn("arrowsmith", F.lit(0))
+    links = F.coalesce("arrowsmith", F.lit(0))
+    either = F.col("dx") + F.col("dy") - links
+    if {"amw", "ltc_amw"} & set(methods):
+        amw = F.when(links > 0, F.col("least") / links).otherwise(0.0)
+        out = out.withColumn("_amw", F.when(amw < MOST_AMW, amw).otherwise(F.raise_error(F.lit("AMW must be below 1000 for LTC-AMW")).cast("double")))
+    every = {
+        "factaplus": lambda: 1 - F.coalesce("apart", F.lit(1.0)),
+        "bitola": lambda: F.coalesce("bitola", F.lit(0)).cast("long"),
+        "arrowsmith": lambda: links.cast("long"),
+        "jaccard": lambda: F.when(either > 0, links / either).otherwise(0.0),
+        "prefattach": lambda: (F.col("dx") + F.col("dy")).cast("long"),
+        "amw": lambda: F.col("_amw"),
+        "ltc_amw": lambda: links + 0.001 * F.col("_amw"),
+    }
+    return out.select("x", "y", *(every[m]().alias(m) for m in METHODS if m in methods))
+
+
+def score(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFrame | None, method: str) -> DataFrame:
+    """(x, y, score) by one method."""
+    return score_all(candidates, cooccurrence, occurrence, (method,)).select("x", "y", F.col(method).alias("score"))
 
 
 def melt(scores: DataFrame, methods: tuple[str, ...] = METHODS, keep: tuple[str, ...] = ("x", "y")) -> DataFrame:

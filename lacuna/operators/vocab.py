@@ -65,17 +65,22 @@ def greedy(hits: Column) -> Column:
 def tag(sentences: DataFrame, words: DataFrame, longest: int, key: tuple[str, ...] = ("doc_id", "sentence"), tokens: str = "tokens") -> DataFrame:
     """``key`` and ids: all dictionary ids of each sentence with a hit, longest terms first.
 
-    Every n-gram up to ``longest`` (the dictionary's longest key) is looked up in
-    one equi-join; what overlaps is settled per sentence.
+    Single tokens are looked up in one equi-join.  Longer terms are looked up
+    where the first two tokens of one begin, and only at the lengths that terms
+    with this beginning have; what overlaps is settled per sentence.  No term may
+    be longer than ``longest``, the dictionary's longest key.
     """
-    ids = words.groupBy("tokens").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).withColumn("_gram", F.array_join("tokens", "\u0001")).select("_gram", "ids")
-    low = T.lowered(F.col(tokens))
-
-    def grams_of(n: int) -> Column:
-        places = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.lit(n).alias("length"), i.alias("start"), F.array_join(F.slice("_t", i, F.lit(n)), "\u0001").alias("_gram")))
-
-    grams = [grams_of(n) for n in range(1, longest + 1)]
-    spread = sentences.select(*key, low.alias("_t")).select(*key, F.explode(F.flatten(F.array(*grams))).alias("g")).select(*key, "g.*")
-    hits = spread.join(ids, "_gram").groupBy(*key).agg(F.collect_list(F.struct("length", "start", "ids")).alias("_hits"))
-    return hits.select(*key, greedy(F.col("_hits")).alias("ids"))
+    mark = "\u0001"
+    ids = words.groupBy("tokens").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).withColumn("length", F.size("tokens"))
+    ids = ids.withColumn("gram", F.array_join("tokens", mark)).withColumn("two", F.array_join(F.slice("tokens", 1, 2), mark))
+    low = sentences.select(*key, T.lowered(F.col(tokens)).alias("_t"))
+    single = low.select(*key, F.posexplode("_t").alias("start", "gram")).join(ids.where("length = 1").select("gram", "ids"), "gram")
+    hits = single.select(*key, F.lit(1).alias("length"), (F.col("start") + 1).alias("start"), "ids")
+    places = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_t", i, F.lit(2)), mark).alias("two"), F.slice("_t", i, F.lit(longest)).alias("rest")))
+    lengths = ids.where("length > 1").groupBy("two").agg(F.collect_set("length").alias("lengths"))
+    begun = low.where(F.size("_t") > 1).select(*key, F.explode(places).alias("p")).select(*key, "p.*").join(lengths, "two")
+    spread = begun.select(*key, "start", "rest", F.explode("lengths").alias("length")).where(F.size("rest") >= F.col("length"))
+    spread = spread.select(*key, "start", "length", F.array_join(F.slice("rest", F.lit(1), F.col("length")), mark).alias("gram"))
+    hits = hits.unionByName(spread.join(ids.where("length > 1").select("gram", "ids"), "gram").select(*key, "length", "start", "ids"))
+    found = hits.groupBy(*key).agg(F.collect_list(F.struct("length", "start", "ids")).alias("_hits"))
+    return found.select(*key, greedy(F.col("_hits")).alias("ids"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import anni, dataset, evaluate, matrix, mine, predict, score, svd, vocab
+from ..operators.dataset import DENSE, DRAWS
 from ..session import settled
 from ..sources import markup
-from .fixtures import K, SAMPLE, SIGMA, SPLIT, TRIES, Factors, Graph, graded, table
+from .fixtures import K, SAMPLE, SIGMA, SPLIT, Factors, Graph, graded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,11 +33,14 @@ CTE = {
     "test": f"SELECT * FROM seen WHERE year > {SPLIT} AND x IN (SELECT x FROM tvids) AND y IN (SELECT x FROM tvids)",
     "pos": f"SELECT * FROM test ORDER BY md5(x || '_' || y || '_draw'), x, y LIMIT {SAMPLE}",
     "ranked": "SELECT x, row_number() OVER (ORDER BY x) - 1 AS r FROM tvids",
-    "drawn": f"SELECT CAST('0x' || substr(md5(id || '_a_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS a, CAST('0x' || substr(md5(id || '_b_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS b FROM range({TRIES}) AS g(id)",
-    "tried": "SELECT DISTINCT least(p.x, q.x) AS x, greatest(p.x, q.x) AS y FROM drawn JOIN ranked p ON p.r = a JOIN ranked q ON q.r = b WHERE p.x <> q.x",
     "truth": "SELECT x, y FROM tv UNION ALL SELECT x, y FROM test",
-    "neg": f"SELECT x, y, CAST(0 AS BIGINT) AS n FROM tried t WHERE NOT EXISTS (SELECT 1 FROM truth k WHERE k.x = t.x AND k.y = t.y) ORDER BY md5(x || '_' || y || '_negative'), x, y LIMIT {SAMPLE}",
-    "cand": 'SELECT x, y, 1 AS "class" FROM pos UNION ALL SELECT x, y, 0 AS "class" FROM neg',
+    "room": "SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM tvids) - (SELECT count(*) FROM truth) AS n",
+    "drawn": f"SELECT CAST('0x' || substr(md5(id || '_a_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS a, CAST('0x' || substr(md5(id || '_b_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS b FROM (SELECT unnest(range({DRAWS} * least((SELECT n FROM room), {SAMPLE}))) AS id) WHERE (SELECT n FROM room) >= {DENSE} * least((SELECT n FROM room), {SAMPLE}) UNION ALL SELECT p.r, q.r FROM ranked p JOIN ranked q ON p.r < q.r WHERE (SELECT n FROM room) < {DENSE} * least((SELECT n FROM room), {SAMPLE})",
+    "neg": f"SELECT x, y, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT least(p.x, q.x) AS x, greatest(p.x, q.x) AS y FROM drawn JOIN ranked p ON p.r = a JOIN ranked q ON q.r = b WHERE p.x <> q.x) t WHERE NOT EXISTS (SELECT 1 FROM truth k WHERE k.x = t.x AND k.y = t.y) ORDER BY md5(x || '_' || y || '_negative'), x, y LIMIT least((SELECT n FROM room), {SAMPLE})",
+    "drawn_all": f"SELECT CAST('0x' || substr(md5(id || '_a_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS a, CAST('0x' || substr(md5(id || '_b_negative'), 1, 8) AS BIGINT) % (SELECT count(*) FROM tvids) AS b FROM (SELECT unnest(range({DRAWS} * least((SELECT n FROM room), (SELECT count(*) FROM test)))) AS id) WHERE (SELECT n FROM room) >= {DENSE} * least((SELECT n FROM room), (SELECT count(*) FROM test)) UNION ALL SELECT p.r, q.r FROM ranked p JOIN ranked q ON p.r < q.r WHERE (SELECT n FROM room) < {DENSE} * least((SELECT n FROM room), (SELECT count(*) FROM test))",
+    "neg_all": f"SELECT x, y, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT least(p.x, q.x) AS x, greatest(p.x, q.x) AS y FROM drawn_all JOIN ranked p ON p.r = a JOIN ranked q ON q.r = b WHERE p.x <> q.x) t WHERE NOT EXISTS (SELECT 1 FROM truth k WHERE k.x = t.x AND k.y = t.y) ORDER BY md5(x || '_' || y || '_negative'), x, y LIMIT least((SELECT n FROM room), (SELECT count(*) FROM test))",
+    "cand": 'SELECT x, y, 1 AS "class" FROM test UNION ALL SELECT x, y, 0 AS "class" FROM neg_all',
+    "cand_few": 'SELECT x, y, 1 AS "class" FROM pos UNION ALL SELECT x, y, 0 AS "class" FROM neg',
     "adj": "SELECT x, y, n FROM tv UNION ALL SELECT y AS x, x AS y, n FROM tv",
     "deg": "SELECT x, count(*) AS d FROM adj GROUP BY x",
     "stren": "SELECT a.x, a.y, a.n, a.n / CAST(least(p.n, q.n) AS DOUBLE) AS d FROM adj a JOIN tvocc p ON p.x = a.x JOIN tvocc q ON q.x = a.y",
@@ -55,7 +59,7 @@ CTE = {
 }
 NEEDS = {
     "co": ["m"], "occ": ["m"], "tr": ["co"], "tv": ["co"], "trids": ["tr"], "tvids": ["tv"], "tvocc": ["occ", "tvids"], "seen": ["co"], "val": ["seen", "trids"], "test": ["seen", "tvids"],
-    "pos": ["test"], "ranked": ["tvids"], "drawn": ["tvids"], "tried": ["drawn", "ranked"], "truth": ["tv", "test"], "neg": ["tried", "truth"], "cand": ["pos", "neg"], "adj": ["tv"], "deg": ["adj"],
+    "pos": ["test"], "ranked": ["tvids"], "truth": ["tv", "test"], "room": ["tvids", "truth"], "drawn": ["ranked", "room"], "neg": ["drawn"], "drawn_all": ["ranked", "room"], "neg_all": ["drawn_all"], "cand": ["test", "neg_all"], "cand_few": ["pos", "neg"], "adj": ["tv"], "deg": ["adj"],
     "stren": ["adj", "tvocc"], "sums": ["cand", "stren"], "scores": ["sums", "deg"], "melted": ["scores"], "by_score": ["graded"], "counted": ["by_score"],
 }
 
@@ -228,8 +232,14 @@ def negatives(spark, sf):
     return Graph(spark, sf, at_rest=True).negatives()
 
 
-@query(sql('SELECT x, y, "class" FROM cand', "cand"))
+@query(sql('SELECT x, y, "class" FROM cand_few', "cand_few"))
 def labelled_candidates(spark, sf):
+    return Graph(spark, sf, at_rest=True).sampled_candidates()
+
+
+@query(sql('SELECT x, y, "class" FROM cand', "cand"))
+def all_candidates(spark, sf):
+    """Every test pair and as many negatives: what the scoring queries take."""
     return Graph(spark, sf, at_rest=True).candidates()
 
 
@@ -285,10 +295,11 @@ def anni_vectors(spark, sf):
     return anni.concept_vectors(g.known(), g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
-@query(sql(f"SELECT oi, oj, round({_u('oi', 'oj', '0')}, 6) AS u FROM (SELECT p.n AS oi, q.n AS oj, (SELECT n FROM total) AS t FROM k p, k q)", "tvocc", "total", k="SELECT DISTINCT n FROM tvocc"))
+@query(sql(f"SELECT oi, oj, round({_u('oi', 'oj', '0')}, 6) AS u FROM (SELECT oi, oj, (SELECT n FROM total) AS t FROM k)", "tvocc", "cand", "total", k="SELECT DISTINCT least(p.n, q.n) AS oi, greatest(p.n, q.n) AS oj FROM cand c JOIN tvocc p ON p.x = c.x JOIN tvocc q ON q.x = c.y"))
 def anni_background(spark, sf):
+    """Values of the pairs of counts that candidates have."""
     g = Graph(spark, sf, at_rest=True)
-    return anni.background(g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
+    return anni.background(g.candidates(), g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
 @query(sql("SELECT c.x, c.y, round(sum(a.u * b.u), 6) + 0.0 AS anni FROM cand c JOIN uu a ON a.z = c.x JOIN uu b ON b.z = c.y AND b.y = a.y GROUP BY c.x, c.y", "cand", "adj", "tvocc", "total",

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..operators import dataset, mine
 from ..operators.matrix import ids_of
 from ..session import settled
+from ..sources.tables import by_year
 
 SPLIT = 1998
+#: Rows of the sampling queries; scoring queries take every test pair and as many negatives.
 SAMPLE = 1000
-TRIES = 4000
 K = 32
 SIGMA = [1.0 / (i + 1) for i in range(K)]
 
@@ -56,7 +57,7 @@ class Graph:
             return make()
         if (name, year) not in self.done:
             made = make()
-            self.done[name, year] = settled(made.repartition(*partition_by) if partition_by else made, *partition_by)
+            self.done[name, year] = settled(by_year(made) if partition_by else made, *partition_by)
         return self.done[name, year]
 
     def known(self, last: int = SPLIT) -> DataFrame:
@@ -80,12 +81,24 @@ class Graph:
     def positives(self) -> DataFrame:
         return dataset.draw(self.testing(), SAMPLE)
 
-    def negatives(self) -> DataFrame:
-        truth = self.known().select("x", "y").unionByName(self.testing().select("x", "y"))
-        return dataset.negatives(self.ids(), truth, SAMPLE, TRIES)
+    def truth(self) -> DataFrame:
+        return self.known().select("x", "y").unionByName(self.testing().select("x", "y"))
+
+    def negatives(self, size: int = SAMPLE) -> DataFrame:
+        return dataset.negatives(self.ids(), self.truth(), size)
+
+    def sampled_candidates(self) -> DataFrame:
+        return dataset.labelled(self.positives(), self.negatives())
 
     def candidates(self) -> DataFrame:
-        return self.once("candidates", SPLIT, lambda: dataset.labelled(self.positives(), self.negatives()))
+        """Every test pair and as many negatives (all there are, if fewer)."""
+        return self.once("candidates", SPLIT, lambda: dataset.labelled(self.testing(), self.negatives(self.testing().count())))
+
+    def validation_candidates(self) -> DataFrame:
+        """Every pair of the validation year and as many negatives, of what was known before it."""
+        pairs = self.once("validation", SPLIT, self.validation)
+        truth = self.known(SPLIT - 1).select("x", "y").unionByName(pairs.select("x", "y"))
+        return self.once("validation_candidates", SPLIT, lambda: dataset.labelled(pairs, dataset.negatives(self.ids(SPLIT - 1), truth, pairs.count())))
 
 
 class Factors:

@@ -165,12 +165,22 @@ def _unescaped(df: DataFrame) -> DataFrame:
     return df.withColumn("blocks", F.transform(unescape("blocks"), T.drop_wordless_brackets))
 
 
+def _parsed(source: str | bytes):
+    """The root element and no error, or None and what is wrong with the source."""
+    try:
+        return ET.fromstring(source), None
+    except ET.ParseError as e:
+        return None, str(e)
+
+
 def read_citations(spark: SparkSession, path) -> DataFrame:
     """Citation files -> documents (``schemas.DOCUMENT``), one row for each citation.
 
-    Files are split at the closing tag, so a large file is many records.
+    Files are split at the closing tag, so a large file is many records.  A
+    malformed citation is a row with nothing but ``error``.
     """
     close = "</MedlineCitation>"
+    columns = ["pmid", "year", "free_date", "titles", "texts", "error"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,29 +189,38 @@ def read_citations(spark: SparkSession, path) -> DataFrame:
                 at = value.find("<MedlineCitation>")
                 at = value.find("<MedlineCitation ") if at < 0 else at
                 if at >= 0:
-                    rows.append(citation_record(ET.fromstring(value[at:] + close)))
-            yield pd.DataFrame(rows, columns=["pmid", "year", "free_date", "titles", "texts"])
+                    root, error = _parsed(value[at:] + close)
+                    found = {"titles": [], "texts": [], "error": error} if error else citation_record(root)
+                    rows.append([found.get(c) for c in columns])
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    parts = spark.read.text(path, lineSep=close).mapInPandas(parse, "pmid string, year string, free_date string, titles array<string>, texts array<string>")
-    out = parts.select(F.col("pmid").alias("doc_id"), "pmid", F.lit("").alias("pmcid"), F.lit("").alias("doi"), T.simple_year(F.col("year"), F.col("free_date")).alias("pub_year"), "year", "free_date", _finish(F.col("titles"), F.col("texts")).alias("blocks"))
+    parts = spark.read.text(path, lineSep=close).mapInPandas(parse, "pmid string, year string, free_date string, titles array<string>, texts array<string>, error string")
+    out = parts.select(F.col("pmid").alias("doc_id"), "pmid", F.lit("").alias("pmcid"), F.lit("").alias("doi"), T.simple_year(F.col("year"), F.col("free_date")).alias("pub_year"), "year", "free_date", _finish(F.col("titles"), F.col("texts")).alias("blocks"), "error")
     return _unescaped(out)
 
 
-def read_articles(spark: SparkSession, path) -> DataFrame:
-    """Article files -> documents with ``part`` (MAIN or SUB), ``path`` and ``article_type``."""
+def read_articles(spark: SparkSession, path, pattern: str = "*.nxml") -> DataFrame:
+    """Article files -> documents with ``part`` (MAIN or SUB), ``path`` and ``article_type``.
+
+    Files whose name doesn't fit ``pattern`` are left alone; a malformed one is a
+    row with nothing but ``path`` and ``error``.
+    """
+
+    columns = ["pmid", "pmc", "doi", "year", "kind", "lang", "type", "titles", "texts", "path", "error"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for where, content in zip(batch["path"], batch["content"]):
-                root = ET.fromstring(bytes(content))
-                for article in [root] if root.tag == "article" else list(root.iter("article")):
-                    rows += [d | {"path": where} for d in article_documents(article)]
-            yield pd.DataFrame(rows, columns=["pmid", "pmc", "doi", "year", "kind", "lang", "type", "titles", "texts", "path"])
-
-    schema = "pmid string, pmc string, doi string, year string, kind string, lang string, type string, titles array<string>, texts array<string>, path string"
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(parse, schema)
-    out = parts.select(F.coalesce(F.nullif("pmid", F.lit("")), "pmc").alias("doc_id"), "pmid", F.col("pmc").alias("pmcid"), "doi", F.col("year").try_cast("int").alias("pub_year"), _finish(F.col("titles"), F.col("texts")).alias("blocks"), F.col("kind").alias("part"), "path", F.col("type").alias("article_type"), "lang")
+                root, error = _parsed(bytes(content))
+                articles = [] if error else [root] if root.tag == "article" else list(root.iter("article"))
+                found = [{"titles": [], "texts": [], "error": error}] if error else [d for article in articles for d in article_documents(article)]
+                rows += [[(d | {"path": where}).get(c) for c in columns] for d in found]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    schema = "pmid string, pmc string, doi string, year string, kind string, lang string, type string, titles array<string>, texts array<string>, path string, error string"
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(parse, schema)
+    out = parts.select(F.coalesce(F.nullif("pmid", F.lit("")), "pmc").alias("doc_id"), "pmid", F.col("pmc").alias("pmcid"), "doi", F.col("year").try_cast("int").alias("pub_year"), _finish(F.col("titles"), F.col("texts")).alias("blocks"), F.col("kind").alias("part"), "path", F.col("type").alias("article_type"), "lang", "error")
     return _unescaped(out)
 
 

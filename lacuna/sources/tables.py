@@ -129,9 +129,15 @@ def write_matrix(df: DataFrame, path: str) -> None:
     df.orderBy(*df.columns[:-1]).write.csv(path, sep="\t")
 
 
+def by_year(df: DataFrame, year: str = "year", ways: int = 16) -> DataFrame:
+    """``df`` dealt so that a year is written by ``ways`` tasks, not by one."""
+    rest = [c for c in df.columns if c != year]
+    return df.repartition(year, F.pmod(F.xxhash64(*rest), F.lit(ways)))
+
+
 def write_by_year(df: DataFrame, path: str, most_rows: int = 30_000, year: str = "year") -> None:
     """One folder for each year, files of at most ``most_rows`` rows."""
-    df.repartition(year).write.partitionBy(year).option("maxRecordsPerFile", most_rows).parquet(path)
+    by_year(df, year).write.partitionBy(year).option("maxRecordsPerFile", most_rows).parquet(path)
 
 
 def article_lists(summary: DataFrame, path: str, most_rows: int = 2000) -> None:

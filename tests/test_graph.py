@@ -1,5 +1,6 @@
 """Mining, merging, splits and scores on small graphs worked out by hand or by plain Python."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -76,11 +77,33 @@ def test_holdout_is_the_growing_set_year_by_year(spark):
 def test_negatives_are_unknown_pairs(spark):
     ids = spark.range(30).withColumnRenamed("id", "x")
     truth = pairs(spark, [(1, 2, 1), (9, 4, 1)])
-    got = rows(dataset.negatives(ids, truth, 50, 400), "x", "y", "n")
-    assert len(got) == len(set(got)) == 50
-    assert all(0 <= x < y < 30 and n == 0 and (x, y) not in {(1, 2), (4, 9)} for x, y, n in got)
-    assert got == rows(dataset.negatives(ids, truth, 50, 400), "x", "y", "n")
-    assert dataset.negatives(ids.limit(0), truth, 5, 10).isEmpty()
+    for size in (50, 300):  # few of all pairs, most of them
+        got = rows(dataset.negatives(ids, truth, size), "x", "y", "n")
+        assert len(got) == len(set(got)) == size
+        assert all(0 <= x < y < 30 and n == 0 and (x, y) not in {(1, 2), (4, 9)} for x, y, n in got)
+        assert got == rows(dataset.negatives(ids, truth, size), "x", "y", "n")
+    assert dataset.negatives(ids.limit(0), truth, 5).isEmpty()
+
+
+@pytest.mark.parametrize("wanted", [14, 100])
+def test_negatives_are_as_many_as_there_can_be(spark, wanted):
+    ids = spark.range(6).withColumnRenamed("id", "x")
+    got = rows(dataset.negatives(ids, pairs(spark, [(5, 0, 1), (0, 5, 2), (0, 99, 1)]), wanted), "x", "y")
+    assert got == [p for p in itertools.combinations(range(6), 2) if p != (0, 5)]
+
+
+def test_draws_go_on_until_there_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "DRAWS", 1)  # a first round that can't do
+    got = rows(dataset.negatives(spark.range(20).withColumnRenamed("id", "x"), pairs(spark, [(0, 1, 1)]), 90), "x", "y")
+    assert len(set(got)) == 90 and (0, 1) not in got
+
+
+def test_draw_is_the_head_of_the_hash_order(spark):
+    data = [(i % 40, i) for i in range(500)]
+    df = pairs(spark, data, "x long, y long")
+    order = sorted(data, key=lambda p: (hashlib.md5(f"{p[0]}_{p[1]}_draw".encode()).hexdigest(), p))
+    for size in (0, 1, 77, 500, 900):
+        assert sorted(rows(dataset.draw(df, size))) == sorted(order[:size])
 
 
 def plain_scores(co, occ, x, z):
@@ -104,7 +127,9 @@ def plain_scores(co, occ, x, z):
     }
 
 
-def test_scores_against_plain_python(spark):
+@pytest.mark.parametrize("packed", [score.PACKED, 4, 0])
+def test_scores_against_plain_python(spark, monkeypatch, packed):
+    monkeypatch.setattr(score, "PACKED", packed)
     co = [(a, b, n) for y, a, b, n in random_graph(years=(2000,))]
     occ = Counter()
     for a, b, n in co:
@@ -117,6 +142,9 @@ def test_scores_against_plain_python(spark):
         expected = plain_scores(co, occ, r.x, r.y)
         for m in score.METHODS:
             assert r[m] == pytest.approx(expected[m], abs=1e-9), (m, r)
+    for m in ("arrowsmith", "jaccard", "prefattach", "bitola"):  # by themselves, without what others need
+        alone = {(r.x, r.y): r.score for r in score.score(spark.createDataFrame(cand, "x long, y long"), pairs(spark, co), None, m).collect()}
+        assert alone == pytest.approx({(r.x, r.y): r[m] for r in got})
 
 
 def test_amw_over_the_limit_is_an_error(spark):
