@@ -35,3 +35,9 @@ def is_star(edges: DataFrame) -> bool:
     """No node has two centres or is both a centre and a leaf."""
     ends = edges.select(F.col("b").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("a").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
     return ends.groupBy("n").agg(F.sum("leaf").alias("leaves"), F.max("centre").alias("centre")).where("leaves > 1 or (leaves = 1 and centre = 1)").isEmpty()
+
+
+def members_of(edges: DataFrame, into: str) -> DataFrame:
+    """(node, ``into``) for every node of an edge, its component's smallest one included."""
+    found = connect(edges).withColumnRenamed("component", into)
+    return found.unionByName(found.select(F.col(into).alias("node"), into).distinct())

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import join_spread, settle
-from .components import connect
+from .components import connect, members_of
 from .forest import Forest
 
 SHINGLE = 5
@@ -158,18 +158,12 @@ def checked(items: DataFrame) -> DataFrame:
     return ways.groupBy("group", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def components_of(pairs: DataFrame, into: str) -> DataFrame:
-    """(node, ``into``) for every node of a pair, its component's smallest one included."""
-    found = connect(pairs).withColumnRenamed("component", into)
-    return found.unionByName(found.select(F.col(into).alias("node"), into).distinct())
-
-
 def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, size, words of bits, row) and (row, text) -> (a, b), pairs of nodes that connect all similar ones."""
     size_class = F.floor(F.ln(F.greatest("size", F.lit(1))) * F.lit(STEPS / math.log(SIMILAR[1] / SIMILAR[0]))).cast("short")
     found = simhash.links(nodes.select("fp", F.col("node").alias("rep"), "w1", "w2", "w3", "size"), {"_size": size_class}, RADIUS, STEPS + 1, wide=WORDS[1:], wide_radius=WIDE_RADIUS)
     pairs = settle(found)
-    groups = settle(components_of(pairs, "group"))
+    groups = settle(members_of(pairs, "group"))
     wanted = nodes.join(groups, "node").select("node", "group", *WORDS, "row")
     items = settle(texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "group", *WORDS, "text"))  # rows may repeat
     results = settle(verified(pairs, items))
@@ -177,7 +171,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     missed = results.where("not holds").select(F.col("a").alias("node")).distinct().join(groups, "node").select("group").distinct()
     sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     unsettled = join_spread(groups, sizes.join(missed, "group", "left_semi"), "group", "node").select("node", "blocks")
-    rest = items.join(unsettled, "node").join(components_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    rest = items.join(unsettled, "node").join(members_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
     return held.unionByName(checked(settle(rest)))
 
 

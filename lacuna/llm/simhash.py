@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_spread, settle
-from .components import connect
+from .components import members_of
 from .forest import Forest
 
 RADIUS = 3
@@ -186,9 +186,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """(key, fp, component): the smallest key each row reaches over links."""
     rows = settle(fingerprints(df, key, text))
     distinct = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    found = connect(links(distinct.select("fp", F.col("fp").alias("rep")), quarter_counts(), radius, radius))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = join_spread(rooted, rooted.groupBy("root").agg(F.min("least").alias("component")), "root", "fp").select("fp", "component")
+    members = members_of(links(distinct.select("fp", F.col("fp").alias("rep")), quarter_counts(), radius, radius), "root")
+    inside = settle(distinct.join(members.withColumnRenamed("node", "fp"), "fp"))  # linked fingerprints only
+    least = inside.groupBy("root").agg(F.min("least").alias("component"))
+    linked = join_spread(inside.select("fp", "root"), least, "root", "fp").select("fp", "component")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
