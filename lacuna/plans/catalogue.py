@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import anni, dataset, evaluate, matrix, mine, predict, score, svd, vocab
 from ..operators.dataset import DENSE, DRAWS
-from ..session import settled
-from ..sources import markup
-from .fixtures import K, SAMPLE, SIGMA, SPLIT, Factors, Graph, graded, table
+from ..session import new_folder, settled
+from ..sources import markup, tables
+from .fixtures import GRAPH_K, K, SAMPLE, SIGMA, SPLIT, Factors, Graph, graded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -514,11 +515,35 @@ def cuid_mapping(spark, sf):
     return vocab.cuid_mapping(*_concepts(spark, sf))
 
 
-@query("SELECT doc_id, CAST(len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS INT) AS n_sentences FROM documents")
+#: White space, words and tokens in RE2, as in ``functions.text``.
+_WHITE = "[ \\t\\n\\x0B\\f\\r]"
+_WORD = "[\\p{L}\\p{M}\\p{N}_]"
+_TOKEN = f"{_WORD}+(?:[-'']{_WORD}+)*|[^\\s\\x0B\\p{{L}}\\p{{M}}\\p{{N}}_]"
+
+
+def _sentences(text: str) -> str:
+    """Pieces between white space that follows an end sign, empty ones left out; chr(1) is in no text."""
+    return f"list_filter(string_split(regexp_replace({text}, '([.!?]){_WHITE}+', '\\1' || chr(1), 'g'), chr(1)), lambda p: length(p) > 0)"
+
+
+def _tokens(sentence: str) -> str:
+    """Tokens in lower case; none if a word has 900 bytes or more."""
+    return f"CASE WHEN len(list_filter(string_split_regex(trim({sentence}), '{_WHITE}+'), lambda w: strlen(w) >= 900)) > 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(regexp_extract_all({sentence}, '{_TOKEN}'), lambda w: lower(w)) END"
+
+
+@query(f"SELECT doc_id, CAST(len({_sentences('text')}) AS INT) AS n_sentences FROM documents")
 def sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
+@query(f"SELECT doc_id, sentence, CAST(len(t) AS INT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, sentence, {_tokens('s')} AS t FROM (SELECT doc_id, unnest(range(len(p))) AS sentence, unnest(p) AS s FROM (SELECT doc_id, {_sentences('text')} AS p FROM documents)))")
+def tokens(spark, sf):
+    """Tokens of every sentence of every document."""
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "s"))
+    found = T.lowered(T.tokens(F.col("s")))
+    return rows.select("doc_id", F.col("sentence").cast("long").alias("sentence"), F.size(found).alias("n_tokens"), F.md5(F.array_join(found, " ").cast("binary")).alias("tokens"))
+
+
 _BRACKETS = "regexp_replace(regexp_replace(regexp_replace({0}, '\\([\\W\\s]*\\)', ' ', 'g'), '\\[[\\W\\s]*\\]', ' ', 'g'), '\\{{[\\W\\s]*\\}}', ' ', 'g')"
 
 
@@ -527,6 +552,24 @@ def normalise_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalise(F.col("text")).cast("binary")).alias("normal"))
 
 
+_MINE = {
+    "texts": f"SELECT CAST(1995 + doc_id % 7 AS INT) AS year, doc_id, sentence, {_tokens('s')} AS t FROM (SELECT doc_id, unnest(range(len(p))) AS sentence, unnest(p) AS s FROM (SELECT doc_id, {_sentences('normal')} AS p FROM normals))",
+    "words": f"SELECT t, row_number() OVER (ORDER BY t) - 1 AS term_id FROM (SELECT DISTINCT unnest({_tokens('text')}) AS t FROM benchmark)",
+    "hits": "SELECT DISTINCT year, doc_id, sentence, term_id FROM (SELECT year, doc_id, sentence, unnest(t) AS t FROM texts) JOIN words USING (t)",
+}
+_NORMAL = f"SELECT doc_id, trim(regexp_replace({_BRACKETS.format("replace(text, chr(10), ' ')")}, '\\p{{C}}', '', 'g')) AS normal FROM documents"
+
+
+@query(sql("""SELECT 'COOCCURRENCE' AS kind, a.year, a.term_id AS x, b.term_id AS y, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sentence = b.sentence AND a.term_id < b.term_id GROUP BY ALL
+  UNION ALL SELECT 'OCCURRENCE', year, term_id, NULL, count(*) FROM hits GROUP BY ALL UNION ALL SELECT 'SENTENCECOUNT', year, NULL, NULL, count(*) FROM texts GROUP BY ALL""", normals=_NORMAL, **_MINE))
+def mined_texts(spark, sf):
+    """Whole documents to merged records, with the benchmark's words as dictionary; a document's year is made of its id."""
+    words = table(spark, sf, "benchmark").select(F.explode(T.lowered(T.tokens(F.col("text")))).alias("t")).distinct()
+    ranked = words.select(F.array("t").alias("tokens"), (F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("term_id"))  # a vocabulary
+    texts = table(spark, sf, "documents").select("doc_id", (1995 + F.col("doc_id") % 7).cast("int").alias("year"), F.array("text").alias("blocks"))
+    return mine.mine_texts(texts, settled(ranked), 1)
+
+
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z]+')"
 
 
@@ -542,11 +585,13 @@ def tag_terms_unigram(spark, sf):
 
 @query(None)
 def tag_terms_longest(spark, sf):
-    """Longest-match tagging of every sentence with the first words of the benchmark's items."""
-    first = F.slice(T.lowered(T.tokens(F.col("text"))), 1, 3)
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("term_id"), F.explode(F.transform(F.sequence(F.lit(1), F.size(first)), lambda n: F.slice(first, F.lit(1), n))).alias("tokens"))
+    """Longest-match tagging of every sentence with the benchmark's sentences and words, whole terms of any length."""
+    items = table(spark, sf, "benchmark").select(F.explode(T.sentences(F.col("text"))).alias("s")).select(T.lowered(T.tokens(F.col("s"))).alias("t"))
+    terms = items.unionByName(items.select(F.explode("t").alias("w")).select(F.array("w").alias("t"))).where(F.size("t") > 0).distinct()
+    words = settled(terms.select(F.col("t").alias("tokens"), F.xxhash64("t").alias("term_id")))
+    longest = words.agg(F.max(F.size("tokens"))).first()[0] or 1
     docs = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "s"))
-    return vocab.tag(docs.select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens")), items.distinct(), 3)
+    return vocab.tag(docs.select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens")), words, longest)
 
 
 @query(None)
@@ -555,6 +600,153 @@ def html_blocks(spark, sf):
     return markup.html_to_blocks(table(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "blocks")
 
 
+_DATES = "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE year(o_orderdate) + 1 END AS VARCHAR) AS y, CASE WHEN o_orderkey % 3 = 1 THEN NULL WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y %b') ELSE strftime(o_orderdate, '%m/%d/%y') END AS d FROM orders"
+
+
+@query(f"""SELECT o_orderkey, coalesce(TRY_CAST(substr(d, 1, 4) AS INT), TRY_CAST(y AS INT), 0) AS simple, CAST(robust AS INT) AS robust, robust BETWEEN 1800 AND 1999 AS valid FROM (
+  SELECT *, CASE WHEN d IS NULL THEN CAST(y AS INT) WHEN d LIKE '%/%/%' THEN CASE WHEN CAST(substr(d, 7, 2) AS INT) <= 25 THEN 2000 ELSE 1900 END + CAST(substr(d, 7, 2) AS INT) ELSE CAST(substr(d, 1, 4) AS INT) END AS robust FROM ({_DATES}))""")
+def years(spark, sf):
+    """Years of dates as citations spell them; ``valid`` is judged as of 1998."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    rows = table(spark, sf, "orders").select(
+        key,
+        F.when(key % 3 != 0, (F.year(date) + 1).cast("string")).alias("y"),
+        F.when(key % 3 == 1, None).when(key % 2 == 0, F.date_format(date, "yyyy MMM")).otherwise(F.date_format(date, "MM/dd/yy")).alias("d"),
+    )
+    found = rows.select("o_orderkey", T.simple_year(F.col("y"), F.col("d")).alias("simple"), T.robust_year(F.col("y"), F.col("d"), 2024).alias("robust"))
+    return found.withColumn("valid", T.valid_year(F.col("robust"), 1998))
+
+
+@query(f"""SELECT DISTINCT p_partkey AS term_id, array_to_string(k, ' ') AS tokens FROM (SELECT p_partkey, {_tokens('s')} AS k FROM (SELECT p_partkey, unnest([p_name, p_type, p_brand, substr(p_type, 1, 2)]) AS s FROM part))
+  WHERE len(k) > 0 AND strlen(array_to_string(k, '')) > 2 AND array_to_string(k, ' ') NOT IN (SELECT lower(p_type) FROM part WHERE p_size = 1)""")
+def dictionary(spark, sf):
+    """Keys of names, types and brands; types of the smallest size are stop-words, short keys are dropped."""
+    part = table(spark, sf, "part")
+    terms = part.select(F.col("p_partkey").alias("term_id"), F.concat_ws("|", "p_name", "p_type", "p_brand", F.substring("p_type", 1, 2)).alias("synonyms"))
+    stop = part.where("p_size = 1").select(F.lower("p_type").alias("term")).distinct()
+    return vocab.dictionary(terms, stop, drop_short=True).select("term_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT DISTINCT p_type AS type_id FROM part WHERE p_brand <> 'Brand#1' AND p_type NOT LIKE '%SMALL%'")
+def selected_types(spark, sf):
+    """Types whose group is among the kept ones and whose name is no finding."""
+    part = table(spark, sf, "part")
+    group = F.when(F.col("p_brand") == "Brand#1", "OCCU").otherwise("CHEM").alias("group")
+    name = F.when(F.col("p_type").contains("SMALL"), "Finding").otherwise("Drug").alias("type_name")
+    return vocab.selected_types(part.select(group, F.lit("n").alias("name"), F.col("p_type").alias("type_id"), name))
+
+
+@query(sql("SELECT 'cooccurrence' AS what, x, y, n FROM tv UNION ALL SELECT 'occurrence', x, NULL, n FROM tvocc UNION ALL SELECT 'ids', x, NULL, NULL FROM tvids UNION ALL SELECT 'relations', x, y, NULL FROM tv UNION ALL SELECT 'sentences', NULL, NULL, CAST(n AS BIGINT) FROM total", "tv", "tvocc", "tvids", "total"))
+def matrix_files(spark, sf):
+    """Matrices written as sorted text files and read again."""
+    g = Graph(spark, sf, at_rest=True)
+    empty = F.lit(None).cast("long")
+    sentences = dataset.known_sentences(g.sentences, SPLIT)
+    written = {"cooccurrence": g.known().select("x", "y", "n"), "occurrence": g.counts().select("x", "n"), "ids": g.ids(), "sentences": sentences}
+    at = {name: new_folder(spark) for name in written}
+    for name, df in written.items():
+        tables.write_matrix(df, at[name]) if len(df.columns) > 1 else df.write.csv(at[name], sep="\t")
+    read = {
+        "cooccurrence": tables.read_cooccurrences(spark, at["cooccurrence"]),
+        "occurrence": tables.read_occurrences(spark, at["occurrence"]).select("x", empty.alias("y"), "n"),
+        "ids": tables.read_ids(spark, at["ids"]).select("x", empty.alias("y"), empty.alias("n")),
+        "relations": tables.read_relations(spark, at["cooccurrence"]).select("x", "y", empty.alias("n")),
+        "sentences": tables.read_sentence_count(spark, at["sentences"]).select(empty.alias("x"), empty.alias("y"), "n"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("what"), "x", "y", "n") for name, df in read.items()])
+
+
+@query(sql("SELECT 'COOCCURRENCE' AS kind, x, y, n FROM co UNION ALL SELECT 'OCCURRENCE', x, NULL, n FROM occ UNION ALL SELECT 'SENTENCECOUNT', NULL, NULL, count(*) FROM orders GROUP BY year(o_orderdate)", "co", "occ"))
+def record_files(spark, sf):
+    """Tagged lines written as text, read and routed by kind."""
+    g = Graph(spark, sf)
+    line = lambda *c: F.concat_ws("\t", *c).alias("value")
+    lines = g.cooccurrence.select(line(F.lit("COOCCURRENCE"), "x", "y", "n")).unionByName(g.occurrence.select(line(F.lit("OCCURRENCE"), "x", "n"))).unionByName(g.sentences.select(line(F.lit("SENTENCECOUNT"), "n")))
+    at = new_folder(spark)
+    lines.write.text(at)
+    kinds = tables.read_mined(spark, at)
+    column = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("long").alias(c)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), *(column(df, c) for c in ("x", "y", "n"))) for kind, df in kinds.items()])
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS term_id, p_brand AS cuid, list_sort(list(DISTINCT p_type)) AS types, list_sort(list(DISTINCT lower(p_name))) AS terms FROM part GROUP BY p_brand")
+def vocabulary_files(spark, sf):
+    """Concept and type files between bars, read into a word-list, written and read again."""
+    part = table(spark, sf, "part")
+    concepts, types, words = (new_folder(spark) for _ in range(3))
+    part.select(F.concat_ws("|", "p_brand", F.lit("ENG"), *(F.lit("-") for _ in range(12)), "p_name", F.lit("-")).alias("value")).write.text(concepts)
+    part.select(F.concat_ws("|", "p_brand", "p_type").alias("value")).write.text(types)
+    tables.write_wordlist(vocab.wordlist(tables.read_rrf_concepts(spark, concepts), tables.read_rrf_types(spark, types)), words)
+    return tables.read_wordlist(spark, words)
+
+
+@query("SELECT vec_id AS x, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6) + 0.0) AS f FROM embeddings")
+def factor_files(spark, sf):
+    """Factors written as blank-separated lines under a comment, and read again."""
+    rows = table(spark, sf, "embeddings").select(F.concat_ws(" ", F.col("vec_id").cast("string"), *(F.col("embedding")[i].cast("double").cast("string") for i in range(2 * K))).alias("value"))
+    at = new_folder(spark)
+    rows.unionByName(spark.createDataFrame([("% rows of U",)], "value string")).write.text(at)
+    return tables.read_factors(spark, at).select("x", F.transform("f", lambda v: F.round(v, 6) + 0.0).alias("f"))
+
+
+@query("SELECT a.vec_id AS x, a.vec_id + 1 AS y, CASE WHEN b.vec_id IS NULL THEN -1.0 ELSE round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 END AS anni FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def score_dense_vectors(spark, sf):
+    """Products of vectors given; -1 where one is missing."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("vec"))
+    return anni.score_dense(Factors(spark, sf).neighbours, rows).withColumn("anni", F.round("anni", 6) + 0.0)
+
+
+@query(sql("SELECT methods, count(*) AS pairs FROM (SELECT x, y, string_agg(method, '+' ORDER BY method) AS methods FROM melted JOIN best USING (method) WHERE score > threshold AND \"class\" = 1 GROUP BY x, y) GROUP BY methods", "melted",
+    by_score='SELECT method, score AS threshold, sum("class") AS pos, sum(1 - "class") AS neg FROM melted GROUP BY ALL', counted=CTE["counted"], curve=_curve(_RATIO), best=_BEST))
+def correct_prediction_overlap(spark, sf):
+    """As ``prediction_overlap``, of true pairs only."""
+    long = settled(score.melt(all_scores(spark, sf), keep=("x", "y", "class")))
+    curve = evaluate.sweep(long, 0.2).withColumn("f1", F.round("f1", 9))
+    return evaluate.overlap(evaluate.predicted_pairs(long, evaluate.best_threshold(curve), correct_only=True))
+
+
+# Decomposition of the graph: train, choose, predict.
+
+
+def _graph_factors(spark, sf, last: int, k: int):
+    """Factors of the mirrored binary matrix up to a year, at rest."""
+    g = Graph(spark, sf, at_rest=True)
+    u, sigma, v = svd.train(settled(matrix.transform(g.known(last), mirrored=True, values="binary")), k)
+    return g, settled(u), sigma, settled(v)
+
+
+@query(None)
+def svd_graph_scores(spark, sf):
+    """Scores of every candidate by ``GRAPH_K`` factors trained on the graph."""
+    g, u, sigma, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
+    return g.candidates().join(svd.score_pairs(g.candidates(), u, sigma, v), ["x", "y"])
+
+
+@query(None)
+def svd_chain(spark, sf):
+    """Train on the years before the split, choose k and threshold on the validation year, train again and predict each test year."""
+    g, u, sigma, v = _graph_factors(spark, sf, SPLIT - 1, GRAPH_K)
+    held = g.validation_candidates()
+    scored = settled(svd.score_all_k(held, u, sigma, v).join(held, ["x", "y"]).select(F.col("k").cast("string").alias("method"), "score", "class"))
+    curve = settled(evaluate.sweep(scored, 0.2))
+    areas = evaluate.pr_auc(curve).select(F.col("method").cast("int").alias("k"), F.round("auc", 9).alias("auc"))
+    k = evaluate.best_k(areas).first()["k"]
+    threshold = evaluate.best_threshold(curve.where(F.col("method") == str(k))).first()["threshold"]
+    g, u, sigma, v = _graph_factors(spark, sf, SPLIT, k)
+    tested = g.testing().select("year", "x", "y").join(svd.score_pairs(g.testing(), u, sigma, v), ["x", "y"])
+    return evaluate.yearly_recall(tested, threshold).select(F.lit(k).alias("k"), F.lit(threshold).alias("threshold"), "year", "total", "predicted", "recall")
+
+
+@query(None)
+def nine_methods_auc(spark, sf):
+    """Area under precision and recall of all nine methods over every candidate."""
+    g, u, sigma, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
+    candidates = g.candidates()
+    wide = score.score_all(candidates, g.known(), g.counts()).join(anni.score_anni(candidates, g.known(), g.counts(), g.sentence_total()), ["x", "y"], "left").join(svd.score_pairs(candidates, u, sigma, v).withColumnRenamed("score", "svd"), ["x", "y"], "left")
+    long = settled(score.melt(candidates.join(wide, ["x", "y"]), (*score.METHODS, "anni", "svd"), ("class",)).where("score is not null"))
+    return evaluate.pr_auc(evaluate.sweep(long, 0.2)).select(score.title().alias("method"), "auc")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph, holdout, candidates and all neighbourhood scores, end to end."""
     return all_scores(spark, sf_dir)

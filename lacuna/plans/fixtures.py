@@ -19,6 +19,8 @@ SPLIT = 1998
 #: Rows of the sampling queries; scoring queries take every test pair and as many negatives.
 SAMPLE = 1000
 K = 32
+#: Factors trained on the graph.
+GRAPH_K = 16
 SIGMA = [1.0 / (i + 1) for i in range(K)]
 
 

@@ -34,12 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and reread: a stage boundary.
 
     Later plans reuse the result (and prune its partitions), and a lost executor
     costs a reread instead of a recomputation.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = f"{new_folder(df.sparkSession)}.parquet"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
