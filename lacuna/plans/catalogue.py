@@ -46,9 +46,9 @@ CTE = {
     "deg": "SELECT x, count(*) AS d FROM adj GROUP BY x",
     "stren": "SELECT a.x, a.y, a.n, a.n / CAST(least(p.n, q.n) AS DOUBLE) AS d FROM adj a JOIN tvocc p ON p.x = a.x JOIN tvocc q ON q.x = a.y",
     "sums": "SELECT c.x, c.y, count(*) AS s, sum(a.n * b.n) AS b, sum(least(a.n, b.n)) AS l, product(1 - a.d * b.d) AS p FROM cand c JOIN stren a ON a.x = c.x JOIN stren b ON b.x = c.y AND b.y = a.y GROUP BY c.x, c.y",
-    "scores": """SELECT c.x, c.y, c."class", round(1 - coalesce(p, 1.0), 6) AS factaplus, CAST(coalesce(b, 0) AS BIGINT) AS bitola, CAST(coalesce(s, 0) AS BIGINT) AS arrowsmith,
-      round(CASE WHEN coalesce(dx.d, 0) + coalesce(dy.d, 0) - coalesce(s, 0) > 0 THEN coalesce(s, 0) / CAST(coalesce(dx.d, 0) + coalesce(dy.d, 0) - coalesce(s, 0) AS DOUBLE) ELSE 0 END, 6) AS jaccard,
-      CAST(coalesce(dx.d, 0) + coalesce(dy.d, 0) AS BIGINT) AS prefattach, round(coalesce(l / CAST(s AS DOUBLE), 0.0), 6) AS amw, round(coalesce(s, 0) + 0.001 * coalesce(l / CAST(s AS DOUBLE), 0.0), 6) AS ltc_amw
+    "scores": """SELECT c.x, c.y, c."class", round(1 - coalesce(p, 1.0), 9) AS factaplus, CAST(coalesce(b, 0) AS BIGINT) AS bitola, CAST(coalesce(s, 0) AS BIGINT) AS arrowsmith,
+      round(CASE WHEN coalesce(dx.d, 0) + coalesce(dy.d, 0) - coalesce(s, 0) > 0 THEN coalesce(s, 0) / CAST(coalesce(dx.d, 0) + coalesce(dy.d, 0) - coalesce(s, 0) AS DOUBLE) ELSE 0 END, 9) AS jaccard,
+      CAST(coalesce(dx.d, 0) + coalesce(dy.d, 0) AS BIGINT) AS prefattach, round(coalesce(l / CAST(s AS DOUBLE), 0.0), 9) AS amw, round(coalesce(s, 0) + 0.001 * coalesce(l / CAST(s AS DOUBLE), 0.0), 9) AS ltc_amw
       FROM cand c LEFT JOIN sums USING (x, y) LEFT JOIN deg dx ON dx.x = c.x LEFT JOIN deg dy ON dy.x = c.y""",
     "melted": """SELECT x, y, "class", method, score FROM (UNPIVOT (SELECT x, y, "class", CAST(factaplus AS DOUBLE) AS factaplus, CAST(bitola AS DOUBLE) AS bitola, CAST(arrowsmith AS DOUBLE) AS arrowsmith, CAST(jaccard AS DOUBLE) AS jaccard, CAST(prefattach AS DOUBLE) AS prefattach, CAST(amw AS DOUBLE) AS amw, CAST(ltc_amw AS DOUBLE) AS ltc_amw FROM scores) ON factaplus, bitola, arrowsmith, jaccard, prefattach, amw, ltc_amw INTO NAME method VALUE score)""",
     "total": f"SELECT CAST(count(*) AS DOUBLE) AS n FROM orders WHERE year(o_orderdate) <= {SPLIT}",
@@ -257,7 +257,7 @@ def all_scores(spark, sf):
     g = Graph(spark, sf, at_rest=True)
     candidates = g.candidates()
     found = score.score_all(candidates, g.known(), g.counts())
-    rounded = {m: F.round(m, 6) for m in ("factaplus", "jaccard", "amw", "ltc_amw")}
+    rounded = {m: F.round(m, 9) for m in ("factaplus", "jaccard", "amw", "ltc_amw")}  # many scores end in a 5 at the seventh decimal
     return candidates.join(found.withColumns(rounded), ["x", "y"])
 
 
@@ -271,7 +271,7 @@ def _register_methods() -> None:
 
         def one(spark, sf, method=method):
             g = Graph(spark, sf, at_rest=True)
-            return score.score(g.candidates(), g.known(), g.counts(), method).withColumn("score", F.round(F.col("score").cast("double"), 6))
+            return score.score(g.candidates(), g.known(), g.counts(), method).withColumn("score", F.round(F.col("score").cast("double"), 9))
 
         one.__name__ = f"score_{method}"
         query(sql(f"SELECT x, y, CAST({method} AS DOUBLE) AS score FROM scores", "scores"))(one)
@@ -303,10 +303,10 @@ def anni_background(spark, sf):
     return anni.background(g.candidates(), g.counts(), g.sentence_total()).withColumn("u", F.round("u", 6))
 
 
-@query(sql("SELECT c.x, c.y, round(sum(a.u * b.u), 6) + 0.0 AS anni FROM cand c JOIN uu a ON a.z = c.x JOIN uu b ON b.z = c.y AND b.y = a.y GROUP BY c.x, c.y", "cand", "adj", "tvocc", "total",
+@query(sql("SELECT c.x, c.y, round(list_inner_product(a.v, b.v), 6) + 0.0 AS anni FROM cand c JOIN vec a ON a.z = c.x JOIN vec b ON b.z = c.y", "cand", "adj", "tvocc", "total",
     ends="SELECT x AS z FROM cand UNION SELECT y FROM cand",
     pairs="SELECT e.z, p.n AS oi, o.x AS y, o.n AS oj, coalesce(a.n, 0) AS n, (SELECT n FROM total) AS t FROM ends e JOIN tvocc p ON p.x = e.z CROSS JOIN tvocc o LEFT JOIN adj a ON a.x = e.z AND a.y = o.x",
-    uu=f"SELECT z, y, {_u('oi', 'oj', 'n')} AS u FROM pairs"))
+    uu=f"SELECT z, y, {_u('oi', 'oj', 'n')} AS u FROM pairs", vec="SELECT z, list(u ORDER BY y) AS v FROM uu GROUP BY z"))
 def score_anni(spark, sf):
     g = Graph(spark, sf, at_rest=True)
     return anni.score_anni(g.candidates(), g.known(), g.counts(), g.sentence_total()).withColumn("anni", F.round("anni", 6) + 0.0)
