@@ -23,9 +23,8 @@ of 1 asks for the exact way: no cells, no windows, every pair is verified.
 A projection's cells, some to a task, are sorted by cell and projection and swept
 once.  A pair is counted and verified where it collides *first*, so links are
 found once each and only sums leave a task: for each vector its links, and the
-pairs of a spanning forest.  Rows of the sweep hold a vector's id, copies and
-stored components; its other projections are made again in the task, which is
-cheaper than sending them along.
+pairs of a spanning forest.  Rows of the sweep hold a vector's id, copies, stored
+components and signs (a bit each); its projections are made again in the task.
 
 Skew: equal vectors are one vector with a multiplicity.  Cells above ``CHUNK``
 vectors (near copies of one vector) are dealt into chunks by hash and compared
@@ -97,14 +96,11 @@ def directions(dims: int, m: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dims, m)), rng.standard_normal((dims, m * bits))
 
 
-def signatures(unit: np.ndarray, lines: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Projections (n, m) and cells (n, m) of unit vectors."""
-    m = lines.shape[1]
-    bits = signs.shape[1] // m
-    cells = np.zeros((len(unit), m), np.int32)
-    if bits:
-        cells = ((unit @ signs > 0).reshape(len(unit), m, bits) << np.arange(bits)).sum(2).astype(np.int32)
-    return unit @ lines, cells
+def cells_of(signs: np.ndarray, m: int, bits: int) -> np.ndarray:
+    """Cells (n, m) of the signs (n, m * bits) of vectors."""
+    if not bits:
+        return np.zeros((len(signs), m), np.int32)
+    return signs.reshape(len(signs), m, bits).astype(np.int32) @ (1 << np.arange(bits, dtype=np.int32))
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -174,18 +170,19 @@ def near_links(distinct: DataFrame, n: int, cosine: float = COSINE, recall: floa
         for batch in batches:
             for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
                 flat, starts, dims = by_length(part.column(2), stored)
-                cells = np.zeros((len(dims), m), np.int32)
+                cells, packed = np.zeros((len(dims), m), np.int32), np.zeros((len(dims), -(-m * bits // 8)), np.uint8)
                 for d in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == d)
                     made.setdefault(d, directions(d, m, bits))
-                    cells[at] = signatures(unit_rows(flat[starts[at][:, None] + np.arange(d)]), *made[d])[1]
+                    signs = unit_rows(flat[starts[at][:, None] + np.arange(d)]) @ made[d][1] > 0
+                    cells[at], packed[at] = cells_of(signs, m, bits), np.packbits(signs, axis=1)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, m, dtype=np.int32)), pa.array(cells.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dims.astype(np.int32)), listed, part.column(2)], names=["rep", "copies", "dims", "cells", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dims.astype(np.int32)), listed, part.column(2), pa.array([x.tobytes() for x in packed], pa.binary())], names=["rep", "copies", "dims", "cells", "v", "signs"])
 
     kind = distinct.schema["v"].dataType.simpleString()
-    marked = settle(distinct.select("rep", "copies", "v").mapInArrow(project, f"rep long, copies long, dims int, cells array<int>, v {kind}"))
+    marked = settle(distinct.select("rep", "copies", "v").mapInArrow(project, f"rep long, copies long, dims int, cells array<int>, v {kind}, signs binary"))
     keys = ["dims", "j", "cell"]
-    dealt = marked.select("rep", "copies", "dims", "v", F.posexplode("cells").alias("j", "cell"))
+    dealt = marked.select("rep", "copies", "dims", "v", "signs", F.posexplode("cells").alias("j", "cell"))
     big = settle(marked.select("dims", F.posexplode("cells").alias("j", "cell")).groupBy(*keys).count().where(F.col("count") > chunk).select(*keys, F.ceil(F.col("count") / chunk).cast("int").alias("g")))
     n_big = big.count()
     if n_big:
@@ -195,14 +192,16 @@ def near_links(distinct: DataFrame, n: int, cosine: float = COSINE, recall: floa
     own = F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g"), F.lit(1)) - 1)))
     tile = F.when(F.col("g").isNull(), F.expr(f"cell div {TOGETHER}")).otherwise(-1 - F.col("cell").cast("long"))  # large cells by themselves
-    tiles = dealt.select("rep", "copies", "v", "own", *keys, tile.alias("tile"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
+    tiles = dealt.select("rep", "copies", "v", "signs", "own", *keys, tile.alias("tile"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
     made: dict = {}
 
     def compare(key: tuple, tile: pa.Table) -> pa.Table:
         dims, j = key[0].as_py(), key[1].as_py()
         made.setdefault(dims, directions(dims, m, bits))
         unit = unit_rows(by_length(tile.column("v"), stored)[0].reshape(-1, dims))
-        line, cells = signatures(unit, *made[dims])
+        line = unit @ made[dims][0]
+        packed = np.frombuffer(b"".join(tile.column("signs").to_pylist()), np.uint8).reshape(len(unit), -1)
+        cells = cells_of(np.unpackbits(packed, axis=1, count=m * bits) if bits else packed, m, bits)
         rep, side, copies, cell = (tile.column(c).to_numpy() for c in ("rep", "own", "copies", "cell"))
         if key[3].as_py() != key[4].as_py() and side.min() == side.max():  # by chance, a chunk got nothing
             links, pairs = np.zeros(len(rep), np.int64), np.zeros((2, 0), np.int64)
