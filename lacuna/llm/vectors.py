@@ -133,15 +133,15 @@ def sweep(j: int, cell: np.ndarray, side: np.ndarray, line: np.ndarray, cells: n
             pair &= side[a:b, None] != side[None, a:end]
         i, k = np.nonzero(pair)
         i, k = i + a, k + a
-        for t in range(j):  # a collision on an earlier projection: found there
-            new = (cells[i, t] != cells[k, t]) | (np.abs(line[i, t] - line[k, t]) > window)
-            i, k = i[new], k[new]
-        count = np.ones(len(i), np.int16)
-        for t in range(j + 1, line.shape[1]):
-            count += (cells[i, t] == cells[k, t]) & (np.abs(line[i, t] - line[k, t]) <= window)
-        i, k = i[count >= threshold], k[count >= threshold]
         for c in range(0, len(i), 1 << 14):
             x, y = i[c : c + (1 << 14)], k[c : c + (1 << 14)]
+            hit = cells[x] == cells[y]
+            some = np.count_nonzero(hit, axis=1) >= threshold  # sharing cells is rarer than lying in a window
+            x, y, hit = x[some], y[some], hit[some]
+            hit &= np.abs(line[x] - line[y]) <= window
+            hit[:, j] = True
+            passed = (np.count_nonzero(hit, axis=1) >= threshold) & (hit.argmax(1) == j)  # an earlier collision: found there
+            x, y = x[passed], y[passed]
             near = np.einsum("nd,nd->n", unit[x], unit[y]) >= cosine
             x, y = x[near], y[near]
             links += np.bincount(x, copies[y], n).astype(np.int64) + np.bincount(y, copies[x], n).astype(np.int64)
