@@ -80,6 +80,24 @@ def join_spread(rows: DataFrame, info: DataFrame, key: str, by: str, ways: int =
     return dealt.join(copies, [key, "_way"]).drop("_way")
 
 
+#: A key with 1/HOT_SHARE or more of all rows is hot; there are HOT_SHARE such keys at most.
+HOT_SHARE = 4096
+
+
+def join_hot(rows: DataFrame, info: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``info`` has for each of ``keys``, ``n`` being the number of rows with it.
+
+    Hot keys (``HOT_SHARE`` at most, whatever the data) are broadcast, all others meet theirs in a shuffle.
+    ``info`` is read three times, ``rows`` twice: settle what isn't cheap.
+    """
+    total = info.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.broadcast(info.where(F.col(n) * HOT_SHARE >= total).drop(n))
+    cold = info.where(F.col(n) * HOT_SHARE < total).drop(n)
+    here = rows.join(hot, keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how)
+    return here.unionByName(rest)
+
+
 def repeated(df: DataFrame, times: str, into: str, at_once: int = 4096) -> DataFrame:
     """Each row of ``df`` as often as ``times`` says, numbered from 1 in ``into``.
 

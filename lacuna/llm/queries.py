@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, sharding, simhash, sql, tokencount, topk, toxicity, url_lm, vectors
+from . import langid, mixing, pieces, sharding, simhash, sql, tokencount, topk, toxicity, trie, url_lm, vectors
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_vectors, op2_url_filter, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op7_language_id, op8_toxicity, op9_token_counts, op10_sample_pieces)
+    for f in (op1_near_vectors, op2_url_filter, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op7_language_id, op8_toxicity, op9_token_counts, op10_sample_pieces, op13_prefix_trie)
 }
 ORACLES: dict[str, str] = sql.ORACLES

@@ -59,4 +59,37 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
-ORACLES = {"op1_near_vectors": OP1, "op3_mix_sources": OP3, "op5_top_k": OP5}
+OP13 = """
+WITH tables AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda crc, k: xor(crc >> 1, 3988292384 * (crc & 1)), i)) AS t),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 5 AS first,
+         xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda crc, x: xor(crc >> 8, t[(xor(crc, x) & 255) + 1]), 4294967295), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns), tables),
+made AS (
+  SELECT v.c, 0 AS own, t.pos, role, text FROM convs v JOIN turns t ON t.c = v.first AND t.pos <= v.h
+  UNION ALL SELECT v.c, 1, t.pos, role, text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+steps AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, md5(md5(role) || md5(text)) AS k, strlen(text) AS n FROM made),
+lengths AS (SELECT v.c, count(s.d) AS len FROM convs v LEFT JOIN steps s ON s.c = v.c GROUP BY v.c),
+paths AS (
+  SELECT c, d, n, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS node FROM steps
+  UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+steps_up AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent FROM paths),
+nodes AS (
+  SELECT p.node, p.d, min(p.c) AS owner, count(*) AS m, min(p.n) AS n, min(p.parent) AS parent,
+         string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (l.len = p.d) AS ends
+  FROM steps_up p JOIN lengths l ON l.c = p.c GROUP BY p.node, p.d),
+children AS (SELECT parent, count(*) AS k FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+under AS (
+  SELECT up.node, CAST(sum((u.m - 1) * u.n) AS BIGINT) AS saved, count(*) FILTER (k.k IS NULL) AS leaves
+  FROM nodes u JOIN paths up ON up.c = u.owner AND up.d <= u.d LEFT JOIN children k ON k.parent = u.node GROUP BY up.node)
+SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, p.owner AS parent_conv_id, CAST(v.m AS BIGINT) AS n_convs,
+       CAST(coalesce(k.k, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, u.saved AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN under u ON u.node = v.node LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children k ON k.parent = v.node
+"""
+
+ORACLES = {"op1_near_vectors": OP1, "op3_mix_sources": OP3, "op5_top_k": OP5, "op13_prefix_trie": OP13}
