@@ -30,6 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of any store; only what no later plan reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 class Settled:
     """A DataFrame written once to the shared folder; ``df`` rereads it.
 
@@ -38,16 +49,14 @@ class Settled:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}.parquet"
+        self.path = f"{new_folder(self.spark)}.parquet"
         schema = df.schema
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only for tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -59,6 +59,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
 
+OP12 = """
+WITH paid AS (SELECT page_id, url, coalesce(html, '') AS p FROM pages),
+least AS (SELECT p, min(page_id) AS first FROM paid WHERE strlen(p) >= 100 GROUP BY p)
+SELECT page_id, CAST(strlen(paid.p) AS BIGINT) AS payload_bytes, sha256(paid.p) AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
+       replace(replace(replace(replace(url, ' ', '%20'), chr(9), '%09'), chr(13), '%0D'), chr(10), '%0A') AS target_uri
+FROM paid LEFT JOIN least ON least.p = paid.p
+"""
+
 OP13 = """
 WITH tables AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda crc, k: xor(crc >> 1, 3988292384 * (crc & 1)), i)) AS t),
 turns AS (
@@ -92,4 +102,4 @@ SELECT v.owner AS conv_id, CAST(v.d AS BIGINT) AS depth, p.owner AS parent_conv_
 FROM nodes v JOIN under u ON u.node = v.node LEFT JOIN nodes p ON p.node = v.parent LEFT JOIN children k ON k.parent = v.node
 """
 
-ORACLES = {"op1_near_vectors": OP1, "op3_mix_sources": OP3, "op5_top_k": OP5, "op13_prefix_trie": OP13}
+ORACLES = {"op1_near_vectors": OP1, "op3_mix_sources": OP3, "op5_top_k": OP5, "op12_warc": OP12, "op13_prefix_trie": OP13}
