@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, sharding, simhash, sql, tokencount, topk, toxicity, trie, url_lm, vectors, warc
+from . import align, langid, mixing, pieces, sharding, simhash, sql, tokencount, topk, toxicity, trie, url_lm, vectors, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_vectors, op2_url_filter, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op7_language_id, op8_toxicity, op9_token_counts, op10_sample_pieces, op12_warc, op13_prefix_trie)
+    for f in (op1_near_vectors, op2_url_filter, op3_mix_sources, op4_shard_ring, op5_top_k, op6_simhash, op7_language_id, op8_toxicity, op9_token_counts, op10_sample_pieces, op11_align, op12_warc, op13_prefix_trie)
 }
 ORACLES: dict[str, str] = sql.ORACLES

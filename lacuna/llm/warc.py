@@ -50,6 +50,8 @@ TRAILER = "\r\n\r\n"
 #: Profile of a revisit record (fixed value of the format).
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Compressed bytes that a reading task is dealt, about.
+SPLIT = 1 << 24
 LEVEL = 6
 
 
@@ -275,7 +277,8 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
         kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    places = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    places = index.select("archive", "offset", "length").repartitionByRange(int(size // SPLIT) + 1, "archive", "offset").sortWithinPartitions("archive", "offset")
     found = places.mapInArrow(read, RECORDS)
     return found if payload else found.drop("payload")
 
