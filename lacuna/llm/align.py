@@ -357,7 +357,7 @@ class Alignment:
             items, times = numbers(docs, "items"), numbers(docs, "times")
             sizes = docs.column("items").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
             for name, column in (("n_best", "top"), ("count_sum", "count")):
-                of_pair = np.zeros(len(at), np.int64)
+                of_pair = np.zeros(places.max(initial=-1) + 1, np.int64)
                 of_pair[at] = right.column(column).to_numpy()
                 out[name] = pa.array(between(between(of_pair[places], ends(lengths))[items] * times, ends(sizes)).astype(np.int64))
             return pa.table(out | {"groups_sha256": docs.column("groups_sha256")})
