@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,21 @@ from .common import settle
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A chunk closes when it holds so many parts or characters.
-PARTS, CHARS = 300_000, 1 << 24
+PARTS, CHARS = 250_000, 1 << 24
 #: Texts are encoded in blocks of so many characters, longer ones in parts of that size.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Transitions remembered before the transducer starts anew.
-TRANSITIONS = 1 << 20
+TRANSITIONS = 1 << 18
 MARK = "▁"
 #: Where both sides end a token: a blank between two characters that aren't white space.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: A blank beside other white space or at an end, where the seams need a closer look.
 UNEVEN = re.compile(r"\s | \s|^ | \Z")
+#: How A cuts a text before it merges (fixed value of the format).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters before it have been the same in all versions of Unicode that libraries know.
+AFTER_LATIN = "\u0250"
+PROBES = ("the end", "a b  c d", " x y", "x y ", "it 's we 'll I'd don't", "1 2 3.5 6", "! ! ?! x", "é è ß\n\n ü ö", "end\nof\tline is", "<s> </s> <|endoftext|> x", "\xa0a \x85 b\x1c c²½ ªº·")
 DOCUMENT, PARTS_OF_CHUNK, PAIR = 0, 1, 2
 
 
@@ -65,7 +71,11 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class Tokenizers:
-    """The two tokenizers, and the bytes of their ids."""
+    """The two tokenizers, and the bytes of their ids.
+
+    Texts of Latin letters are encoded by the same merges in a faster library, where
+    the vocabulary allows it (every merge makes the next id) and probes agree.
+    """
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
         import sentencepiece
@@ -81,84 +91,124 @@ class Tokenizers:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         signs = byte_of_sign()
-        self.bytes_a = {i: bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode()
         self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.fast = self.faster(path_a, vocabulary)
+
+    def faster(self, path: str, vocabulary: dict[str, int]):
+        import json
+
+        import tiktoken
+
+        merges = json.load(open(path, encoding="utf-8"))["model"].get("merges", [])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        if any(vocabulary.get("".join(m)) != 256 + k for k, m in enumerate(pairs)):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(pairs))}
+        if len(ranks) != 256 + len(pairs) or any(len(self.bytes_a[i]) != 1 for i in range(256)):
+            return None
+        encode = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        same = all(encode(" " + p) == x.ids for p, x in zip(PROBES, self.a.encode_batch([" " + p for p in PROBES], add_special_tokens=False)))
+        return encode if same else None
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a blank and each text by A, and of the text by B, which puts a blank before it."""
-        of_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return zip((x.ids for x in of_a), self.b.encode(texts, num_threads=1))
+        of_a: list = [None] * len(texts)
+        slow = []
+        for k, text in enumerate(texts):
+            if self.fast and (text.isascii() or max(text) < AFTER_LATIN):
+                of_a[k] = self.fast(" " + text)
+            else:
+                slow.append(k)
+        for k, found in zip(slow, self.a.encode_batch_fast([" " + texts[k] for k in slow], add_special_tokens=False)):
+            of_a[k] = found.ids
+        return of_a, self.b.encode(texts, num_threads=1)
 
     def spell(self, text: str, a: list[int], b: list[int]) -> bool:
         data = b" " + text.encode()
         return b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
 
+    def spelt(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """``spell`` of each; all at once if nothing differs."""
+        data = [b" " + t.encode() for t in texts]
+        whole, sizes, same = b"".join(data), np.array(list(map(len, data)), np.int64), True
+        for ids, spelling, lengths in ((a, self.bytes_a, self.lengths_a), (b, self.bytes_b, self.lengths_b)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(lengths[flat])]) if flat else np.zeros(1, np.int64)
+            upto = np.cumsum([0, *map(len, ids)])
+            same = same and b"".join([spelling[i] for i in flat]) == whole and (np.diff(ends[upto]) == sizes).all()
+        return [True] * len(texts) if same else [self.spell(*x) for x in zip(texts, a, b)]
+
     def separable(self) -> bool:
         """Whether tokens never span a seam."""
         inner = any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.get_piece_size()))
-        probes = ["the end", "a b  c d", " x y", "x y ", "it 's we 'll", "1 2 3.5 6", "! ! ?! x", "é è ß\n\n ü ö", "end\nof\tline is", "<s> </s> <|endoftext|> x"]
-        whole = list(self.encode(probes))
-        apart = [[sum(ids, []) for ids in zip(*self.encode(SEAM.split(p)))] for p in probes]
-        return not inner and all(list(w) == p for w, p in zip(whole, apart))
+        apart = [tuple(sum(ids, []) for ids in self.encode(SEAM.split(p))) for p in PROBES]
+        return not inner and list(zip(*self.encode(list(PROBES)))) == apart
 
 
 class Transducer:
-    """States are (side that leads, its unmatched bytes), numbered as they are met; 0 is none."""
+    """States are (side that leads, its unmatched bytes), numbered as they are met; 0 is none.
 
-    def __init__(self, bytes_a, bytes_b):
+    Transitions are remembered as state and token in one number.
+    """
+
+    def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.bytes = (None, bytes_a, bytes_b)
+        self.text_a, self.text_b = list(map(str, range(len(bytes_a)))), list(map(str, range(len(bytes_b))))
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[tuple[int, bytes]] = [(0, b"")]
-        self.number = {(0, b""): 0}
-        self.memo: dict[tuple[int, int], int] = {}
+        self.side, self.rest = [0], [b""]
+        self.number: dict[tuple[int, bytes], int] = {}
+        self.memo: dict[int, int] = {}
 
     def step(self, state: int, token: int) -> int:
         """The state after the next token of the side that doesn't lead (of A, if none does)."""
-        side, rest = self.states[state]
+        side, rest = self.side[state], self.rest[state]
         other = 2 if side == 1 else 1
         new = self.bytes[other][token]
         if not (new.startswith(rest) or rest.startswith(new)):
             raise ValueError("the two sides spell different bytes")
         left = (side, rest[len(new) :]) if len(new) < len(rest) else (other, new[len(rest) :])
-        to = self.number.setdefault(left if left[1] else (0, b""), len(self.states))
-        if to == len(self.states):
-            self.states.append(left)
-        self.memo[state, token] = to
+        to = self.number.setdefault(left, len(self.side)) if left[1] else 0
+        if to == len(self.side):
+            self.side.append(left[0])
+            self.rest.append(left[1])
+        self.memo[state << 20 | token] = to
         return to
 
-    def walk(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """(groups, links): the end of each group in ``a`` and ``b``, and linked (A id, B id) in order."""
+    def walk(self, a: list[int], b: list[int], links: list[int]) -> tuple[str, int]:
+        """Groups as ``a1,a2|b1;a3|b2,b3`` and their number; linked ids (A << 32 | B) go to ``links``."""
         if len(self.memo) > TRANSITIONS:
             self.forget()
-        memo, states = self.memo, self.states
-        groups, links = [], []
-        i = j = state = 0
-        while i < len(a) or j < len(b):
-            side = states[state][0]
-            if side == 1:
-                token, j = b[j], j + 1
-                links.append((a[i - 1], token))
-            else:
-                token, i = a[i], i + 1
-                if side:
-                    links.append((token, b[j - 1]))
-            to = memo.get((state, token))
-            state = self.step(state, token) if to is None else to
-            if not state:
-                groups.append((i, j))
-        return groups, links
-
-
-def group_text(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for p, q in groups:
-        out.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-        i, j = p, q
-    return ";".join(out)
+        known, side, text_a, text_b = self.memo.get, self.side, self.text_a, self.text_b
+        groups = []
+        i = j = y = 0
+        while i < len(a):
+            p, q, x = i, j, a[i]
+            i += 1
+            state = known(x)
+            if state is None:
+                state = self.step(0, x)
+            while state:
+                if side[state] == 1:
+                    token = y = b[j]
+                    j += 1
+                else:
+                    token = x = a[i]
+                    i += 1
+                links.append(x << 32 | y)
+                to = known(state << 20 | token)
+                state = self.step(state, token) if to is None else to
+            one = text_a[x] if i - p == 1 else ",".join([text_a[t] for t in a[p:i]])
+            two = text_b[y] if j - q == 1 else ",".join([text_b[t] for t in b[q:j]])
+            groups.append(f"{one}|{two}")
+        return ";".join(groups), len(groups)
 
 
 def parts_of(text: str, separable: bool) -> Iterator[list[str]]:
@@ -181,25 +231,26 @@ class Chunk:
         self.tokenizers, self.transducer = tokenizers, transducer
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # spelt, tokens of A, of B, groups
-        self.links: list[np.ndarray] = []
+        self.sizes = np.zeros((0, 5), np.int64)  # spelt, tokens of A, of B, groups, links
+        self.links = [np.zeros(0, np.int64)]
         self.chars = 0
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.number]
+        number = self.number
+        new = [p for p in parts if p not in number]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            for part, (a, b) in zip(some, self.tokenizers.encode(some)):
-                self.number[part] = len(self.texts)
-                if not self.tokenizers.spell(part, a, b):
-                    self.texts.append("")
-                    self.sizes.append((0, 0, 0, 0))
-                    self.links.append(np.zeros(0, np.int64))
-                    continue
-                groups, links = self.transducer.walk(a, b)
-                self.texts.append(group_text(a, b, groups))
-                self.sizes.append((1, len(a), len(b), len(groups)))
-                self.links.append(np.array([x << 32 | y for x, y in links], np.int64))
+            a, b = self.tokenizers.encode(some)
+            links: list[int] = []
+            sizes, before = [], 0
+            for part, x, y, good in zip(some, a, b, self.tokenizers.spelt(some, a, b)):
+                number[part] = len(self.texts)
+                text, n = self.transducer.walk(x, y, links) if good else ("", 0)
+                self.texts.append(text)
+                sizes.append((1, len(x), len(y), n, len(links) - before) if good else (0, 0, 0, 0, 0))
+                before = len(links)
+            self.links.append(np.array(links, np.int64))
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
 
     def full(self) -> bool:
         return len(self.texts) >= PARTS or self.chars >= CHARS
@@ -222,7 +273,7 @@ class Builder:
 
     def document(self, blocks: Iterator[list[str]], keep: list[str] | None = None) -> tuple:
         """(n_a, n_b, n_groups, n_links, groups_sha256, parts, times); ``keep`` gets the groups' text."""
-        chunk, digest, total = self.chunk, hashlib.sha256(), np.zeros(4, np.int64)
+        chunk, digest = self.chunk, hashlib.sha256()
         ids, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for k, parts in enumerate(blocks):
             chunk.learn(set(parts))
@@ -232,17 +283,19 @@ class Builder:
             if keep is not None:
                 keep.append(text)
             here, n = np.unique(np.array(numbers, np.int64), return_counts=True)
-            ids, back = np.unique(np.concatenate([ids, here]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([times, n])).astype(np.int64)
-        sizes = np.array([chunk.sizes[i] for i in ids], np.int64).reshape(-1, 4)
-        total = times @ sizes
+            if k:
+                here, back = np.unique(np.concatenate([ids, here]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([times, n])).astype(np.int64)
+            ids, times = here, n
+        sizes = chunk.sizes[ids]
         if not len(ids) or not sizes[:, 0].all():
             if keep is not None:
                 keep.clear()
             return 0, 0, 0, 0, "", ids[:0], times[:0]
-        self.times = np.concatenate([self.times, np.zeros(len(chunk.texts) - len(self.times), np.int64)]) if len(chunk.texts) > len(self.times) else self.times
+        if len(self.times) < len(chunk.texts):
+            self.times = np.concatenate([self.times, np.zeros(len(chunk.texts) - len(self.times), np.int64)])
         self.times[ids] += times
-        return int(total[1]), int(total[2]), int(total[3]), int(total[1] + total[2] - total[3]), digest.hexdigest(), ids, times
+        return *map(int, (times @ sizes)[1:]), digest.hexdigest(), ids, times
 
     def documents(self, texts: list[str | None], keep: bool = False) -> list[tuple]:
         """``document`` of each text, the new parts of all of them encoded at once."""
@@ -260,9 +313,9 @@ class Builder:
     def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(links of each part, their pairs' places, pairs, times) of the chunk; a new one is opened."""
         chunk = self.chunk
-        lengths = np.array([len(x) for x in chunk.links], np.int64)
+        lengths = chunk.sizes[:, 4]
         times = np.concatenate([self.times, np.zeros(len(lengths) - len(self.times), np.int64)])
-        pairs, places = np.unique(np.concatenate([np.zeros(0, np.int64), *chunk.links]), return_inverse=True)
+        pairs, places = np.unique(np.concatenate(chunk.links), return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, places, np.repeat(times, lengths))
         self.open()

@@ -40,7 +40,7 @@ def plain(texts):
     tokens = align.Tokenizers()
     docs = []
     for text in texts:
-        a, b = (next(iter(tokens.encode([text]))) if text else ([], []))
+        a, b = (tokens.a.encode(" " + text, add_special_tokens=False).ids, tokens.b.encode(text)) if text else ([], [])
         if text and not tokens.spell(text, a, b):
             a, b = [], []
         sa, sb = spans(a, {i: len(tokens.bytes_a[i]) for i in a}), spans(b, {i: len(tokens.bytes_b[i]) for i in b})
@@ -107,9 +107,19 @@ def test_empty_table(frame):
 
 def test_transducer_remembers():
     machine = align.Transducer([b" ab", b"c", b"d e"], [b" a", b"bcd", b" e"])
-    assert machine.walk([0, 1, 2], [0, 1, 2]) == ([(3, 3)], [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2)])
+    links = []
+    assert machine.walk([0, 1, 2], [0, 1, 2], links) == ("0,1,2|0,1,2", 1)
+    assert [(x >> 32, x & 0xFFFF) for x in links] == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 2)]
     seen = len(machine.memo)
-    machine.walk([0, 1, 2] * 5, [0, 1, 2] * 5)
+    assert machine.walk([0, 1, 2] * 5, [0, 1, 2] * 5, [])[1] == 5
     assert len(machine.memo) == seen == 6
     with pytest.raises(ValueError, match="different bytes"):
-        machine.walk([0, 1], [0, 2])
+        machine.walk([0, 1], [0, 2], [])
+
+
+def test_faster_library_gives_the_same_ids():
+    tokens = align.Tokenizers()
+    assert tokens.fast
+    texts = [f"{x}{y} {z}{x}" for x in ("é", "it's", "1a", "--", "Ab", "\n\t") for y in ("", "'ll", "²", "ÿ", "\x85") for z in ("q", "'S", "00", "ɏ", "\x1d")]
+    assert all(max(t) < align.AFTER_LATIN for t in texts)
+    assert tokens.encode(texts)[0] == [x.ids for x in tokens.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
