@@ -332,7 +332,7 @@ def svd_reconstruction(spark, sf):
     """A decomposition at full rank gives back the matrix (brands by sizes) it is of."""
     cells = table(spark, sf, "part").groupBy(F.substring("p_brand", 7, 9).cast("long").alias("x"), F.col("p_size").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     rank = min(cells.select("x").distinct().count(), cells.select("y").distinct().count())
-    u, sigma, v = svd.train(cells, rank)
+    u, sigma, v, _ = svd.train(cells, rank)
     values = F.array(*(F.lit(s) for s in sigma))
     dot = F.aggregate(F.zip_with(F.zip_with("p", values, lambda a, b: a * b), "q", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     both = cells.select("x", "y").join(u.withColumnRenamed("f", "p"), "x").join(v.select(F.col("x").alias("y"), F.col("f").alias("q")), "y")
@@ -711,8 +711,28 @@ def correct_prediction_overlap(spark, sf):
 def _graph_factors(spark, sf, last: int, k: int):
     """Factors of the mirrored binary matrix up to a year, at rest."""
     g = Graph(spark, sf, at_rest=True)
-    u, sigma, v = svd.train(settled(matrix.transform(g.known(last), mirrored=True, values="binary")), k)
-    return g, settled(u), sigma, settled(v)
+    u, sigma, v, _ = svd.train(_binary(g, last), k)
+    return g, u, sigma, v
+
+
+def _binary(g: Graph, last: int) -> DataFrame:
+    return g.once("binary", last, lambda: matrix.transform(g.known(last), mirrored=True, values="binary"))
+
+
+@query(f"SELECT CAST(factor AS INT) AS factor, 0.0 AS left_residual, 0.0 AS right_residual FROM range({GRAPH_K}) AS r(factor)")
+def svd_residuals(spark, sf):
+    """Of each factor trained on the graph, how far products of matrix and factor are from sigma times the other one."""
+    g, u, sigma, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
+    found = svd.residuals(_binary(g, SPLIT), u, sigma, v)
+    return found.select("factor", F.round("left", 4).alias("left_residual"), F.round("right", 4).alias("right_residual"))
+
+
+@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS left_dot, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS right_dot FROM range({GRAPH_K}) AS a(i), range({GRAPH_K}) AS b(j)")
+def svd_orthonormal(spark, sf):
+    """Products of all pairs of factors trained on the graph."""
+    _, u, _, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
+    both = svd.gram(u, GRAPH_K).withColumnRenamed("dot", "l").join(svd.gram(v, GRAPH_K).withColumnRenamed("dot", "r"), ["i", "j"])
+    return both.select("i", "j", (F.round("l", 6) + 0.0).alias("left_dot"), (F.round("r", 6) + 0.0).alias("right_dot"))
 
 
 @query(None)
@@ -739,11 +759,11 @@ def svd_chain(spark, sf):
 
 @query(None)
 def nine_methods_auc(spark, sf):
-    """Area under precision and recall of all nine methods over every candidate."""
+    """Area under precision and recall of all nine methods over every candidate; ends without an occurrence or factor score 0."""
     g, u, sigma, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
     candidates = g.candidates()
     wide = score.score_all(candidates, g.known(), g.counts()).join(anni.score_anni(candidates, g.known(), g.counts(), g.sentence_total()), ["x", "y"], "left").join(svd.score_pairs(candidates, u, sigma, v).withColumnRenamed("score", "svd"), ["x", "y"], "left")
-    long = settled(score.melt(candidates.join(wide, ["x", "y"]), (*score.METHODS, "anni", "svd"), ("class",)).where("score is not null"))
+    long = settled(score.melt(candidates.join(wide, ["x", "y"]), (*score.METHODS, "anni", "svd"), ("class",)).withColumn("score", F.coalesce("score", F.lit(0.0))))
     return evaluate.pr_auc(evaluate.sweep(long, 0.2)).select(score.title().alias("method"), "auc")
 
 
