@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Words are runs of anything but ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,6 +90,16 @@ def join_spread(rows: DataFrame, info: DataFrame, key: str, by: str, ways: int =
     return dealt.join(copies, [key, "_way"]).drop("_way")
 
 
+def holds_map(kind: DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, MapType) or any(map(holds_map, inner))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """Every column as hash functions take it: one that holds a map goes as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if holds_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+
+
 #: A key with 1/HOT_SHARE or more of all rows is hot; there are HOT_SHARE such keys at most.
 HOT_SHARE = 4096
 

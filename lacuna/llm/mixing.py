@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, n_words, repeated, settle
+from .common import hashable, id_text, n_words, repeated, settle
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -120,6 +120,6 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """
     used = takes(docs, "doc_id", "source", "text", WEIGHTS, SHARE, MOST_EPOCHS, SEED).where("taken > 0")
     uses = used.groupBy("_what").agg(F.sum(F.ceil(F.col("taken") / F.col("_size"))).alias("_uses"))
-    whole = docs.select(F.struct("*").alias("_row"), identity(F.col("doc_id"), F.col("source"), F.col("text")).alias("_what"), F.xxhash64(*docs.columns).alias("_hash"))
+    whole = docs.select(F.struct("*").alias("_row"), identity(F.col("doc_id"), F.col("source"), F.col("text")).alias("_what"), F.xxhash64(*hashable(docs)).alias("_hash"))
     one = whole.groupBy("_what").agg(F.min_by("_row", "_hash").alias("_row"))  # equal rows meet before they are sent
     return repeated(one.join(uses, "_what"), "_uses", "_number").select("_row.*")

@@ -19,7 +19,7 @@ pipeline's stage has parameters of its own:
 3. Tiles return spanning forests of pairs, and each of these pairs is checked by
    its exact Jaccard similarity.  Groups in which all pairs hold are done.  In
    the others, *every* pair within the radii that isn't linked yet is checked,
-   in blocks of ``BLOCK`` nodes a side.
+   in blocks of ``BLOCK`` nodes and ``SHINGLES`` shingles a side.
 
 Defined cases: fewer than five words are one shingle; texts that are null or
 without words are copies of each other; of a group, the row of the smallest id
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import join_spread, settle
+from .common import hashable, join_spread, settle
 from .components import connect, members_of
 from .forest import Forest
 
@@ -48,6 +48,8 @@ SIMILAR = (4, 5)  # 0.8, in whole numbers
 RADIUS = 22
 WIDE_RADIUS = 60
 BLOCK = 1024
+#: Shingles of a block's texts, about: with a block's nodes, what a task holds.
+SHINGLES = 1 << 22
 #: Size classes for each factor of 5/4; one more is compared, for rounding.
 STEPS = 8
 WORDS = ("fp", "w1", "w2", "w3")
@@ -169,7 +171,8 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     results = settle(verified(pairs, items))
     held = results.where("holds").select("a", "b")
     missed = results.where("not holds").select(F.col("a").alias("node")).distinct().join(groups, "node").select("group").distinct()
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(SHINGLES)))
+    sizes = nodes.select("node", "size").join(groups, "node").groupBy("group").agg(blocks.cast("int").alias("blocks"))
     unsettled = join_spread(groups, sizes.join(missed, "group", "left_semi"), "group", "node").select("node", "blocks")
     rest = items.join(unsettled, "node").join(members_of(held, "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
     return held.unionByName(checked(settle(rest)))
@@ -177,7 +180,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def row_identity(df: DataFrame) -> Column:
     """128 bits of all columns and of which are null."""
-    parts = [*df.columns, *(F.col(c).isNull() for c in df.columns)]
+    parts = [*hashable(df), *(F.col(f"`{c}`").isNull() for c in df.columns)]
     return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("row"), *parts).alias("h2"))
 
 

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_hot, settle
 
 ORDER = 5
 SMOOTHING = 2.0
@@ -114,8 +114,10 @@ def log_chance(cell, context) -> Column:
 def window_ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
     """(w, n) distinct windows -> with log-ratios ``s0`` (without the fold's counts) and ``s`` (with all)."""
     asked = seen.select("w", F.explode(grams(F.col("w"))).alias("g")).select("w", "g.kind", "g.gram")
+    # The empty context is part of every window: grams of a large share of all are sent to every task instead.
+    info = settle(counts.join(asked.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("_n")), ["kind", "gram"]))
     kinds = [f"{t}{k}" for k in range(ORDER + 1) for t in "cx"]
-    found = asked.join(counts, ["kind", "gram"]).groupBy("w").agg(*(F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in kinds for c in COUNTS))
+    found = join_hot(asked, info, ["kind", "gram"], "_n").groupBy("w").agg(*(F.sum(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}") for kind in kinds for c in COUNTS))
     n = lambda kind, *cs: sum((F.coalesce(F.col(f"{kind}_{c}"), F.lit(0)) for c in cs), F.lit(0))
     by = lambda *cs: log_chance(lambda k: n(f"c{k}", *cs), lambda k: n(f"x{k}", *cs))
     return seen.join(found, "w", "left").select("w", "n", (by("a0") - by("r0")).alias("s0"), (by("a0", "a1") - by("r0", "r1")).alias("s"))
@@ -123,7 +125,8 @@ def window_ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
 
 def ratios(texts: DataFrame, counts: DataFrame) -> DataFrame:
     """(text) distinct -> (key, ratio0, ratio): means over all positions, without and with the fold's counts."""
-    at = texts.select(text_key(F.col("text")).alias("key"), F.explode(windows(F.col("text"))).alias("w"))
+    keyed = settle(texts.select(text_key(F.col("text")).alias("key"), "text"))  # beside the windows, the key would be computed for each
+    at = keyed.select("key", F.explode(windows(F.col("text"))).alias("w"))
     seen = settle(at.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     valued = settle(window_ratios(seen, counts))
     total = valued.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

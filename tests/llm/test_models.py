@@ -357,3 +357,17 @@ def test_one_class_only(spark, seen, verdict):
     url = "https://a.org/" if seen else "https://a.com/de/"
     df = spark.createDataFrame([(1, url), (2, "https://x.net/")], "page_id long, url string")
     assert {r.verdict for r in url_lm.judge_pages(df).where("rule is null").collect()} == {verdict}
+
+
+def test_long_urls_in_proportion(spark):
+    """Eight times the length takes far less than the square of it."""
+    import time
+
+    def seconds(n):
+        urls = ["https://a.org/x", "https://b.com/de/q", "https://c.net/" + "ab3/x" * (n // 5), "https://d.net/q", "https://e.org/yy", "https://f.com/de/w"]
+        began = time.time()
+        assert len(url_lm.judge_pages(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()) == 6
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 8 * seconds(50_000)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from lacuna.llm import nearcopies, simhash
+from lacuna.llm import mixing, nearcopies, simhash
 
 
 def plain(text):
@@ -37,6 +37,31 @@ def groups(sets):
     return comp, pairs
 
 
+def test_columns_of_any_kind(spark, frame):
+    """Maps and names with dots; blocks of few shingles."""
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + (f" x{i}" if i else ""), "en", "s") for i in range(6)] + [(9, "all by itself here it is", "en", "s")]
+    docs = frame(rows).selectExpr("*", "map('k', doc_id) as m", "array(named_struct('v', map(doc_id, 'x'))) as deep")
+    kept = nearcopies.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 9]
+    mixed = mixing.mixed_rows(docs).collect()
+    assert mixed and all(r["m"] == {"k": r["doc_id"]} for r in mixed)
+
+
+def test_blocks_by_shingles(spark, frame, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SHINGLES", 60)
+    rng = random.Random(5)
+    base = [f"w{j}" for j in range(60)]
+    texts = []
+    for _ in range(25):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    kept, _ = groups([plain(t) for t in texts])
+    assert {r["doc_id"] for r in nearcopies.one_of_each_group(frame([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()} == set(kept)
+
+
 @pytest.mark.parametrize("block", [nearcopies.BLOCK, 2])
 def test_stage_drops_near_copies_of_five_words(spark, frame, monkeypatch, block):
     monkeypatch.setattr(nearcopies, "BLOCK", block)

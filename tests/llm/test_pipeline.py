@@ -50,6 +50,28 @@ def test_run(spark):
     assert rows and all(r.lossless and segmenter.decode(r.pieces) == texts[r.doc_id] for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["empty", "awkward"])
+def test_run_on_awkward_tables(spark, tmp_path, kind):
+    """No rows at all; ids that are null or repeat; null and empty texts; a map among the columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    if kind == "empty":
+        docs, labels = docs.limit(0), labels.limit(0)
+    else:
+        rows = docs.selectExpr("case when doc_id % 7 = 0 then null when doc_id % 7 = 1 then 1 else doc_id end as doc_id", "case when doc_id % 11 = 0 then null when doc_id % 11 = 1 then '' else text end as text", "lang", "case when doc_id % 5 = 0 then null else source end as source", "n_chars")
+        docs = rows.unionByName(rows.where("doc_id < 40")).selectExpr("*", "map('k', lang) as extra")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert out == []
+        return
+    texts = {r["text"] for r in docs.collect()}
+    segmenter = pieces.Segmenter(pieces.read_model(pieces.default_path()))
+    assert len(out) > 50 and any(r["doc_id"] is None for r in out)
+    assert all(r["lossless"] and segmenter.decode(r["pieces"]) in texts for r in out)
+
+
 def plain(v):
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 
@@ -57,7 +79,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     found = con.execute(queries.ORACLES[name])
