@@ -19,16 +19,15 @@ rows weigh ``MISSED`` times their share there, as a toxic document missed costs
 that much more than a clean one rejected.
 
 The fit runs on the driver, on a sample of at most ``POSITIVES`` + ``NEGATIVES``
-labelled rows, drawn by a hash of the id, with their whole texts; a clean text
-of more than ``CLEAN_WINDOWS`` windows gives so many, drawn at random from all of
-it.  The model is ``BUCKETS`` numbers.  As window logits are means of word scores,
+labelled rows, drawn by a hash of the id, with their whole texts: in the order of
+that hash, as many of either label as ``SAMPLE_BYTES`` hold.  The model is ``BUCKETS`` numbers.  As window logits are means of word scores,
 a word is scored once for each task and remembered.
 
 Defined cases: a null or wordless text gets the calibrated score of an empty
 window (logit of the bias alone); with no labels, or only one class of them,
 every score is the share of toxic labels (0 without labels); an id labelled
 more than once is toxic if any label is, and learned with the least of its texts
-if it has several; labels without a document and null labels are ignored; very
+if it has several; a text that ``SAMPLE_BYTES`` can't hold isn't learned; labels without a document and null labels are ignored; very
 long texts are scored in blocks; other columns, whatever their names, stay.
 """
 
@@ -40,9 +39,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
 from .langid import remainder
 
 BUCKETS = 1 << 16
@@ -52,8 +52,9 @@ STRIDE = 2
 POSITIVES = 1000
 NEGATIVES = 1400
 GRAMS = (3, 4, 5, 6)
-CLEAN_WINDOWS = 4000
-MISSED = 1.5
+#: UTF-8 bytes of the sample's texts of either label that the driver gets at most; rows are taken whole.
+SAMPLE_BYTES = 1 << 26
+MISSED = 2.0
 ROUNDS = 6
 RATE = 0.2
 #: Least batches in a round of training.
@@ -160,13 +161,11 @@ class Trainer:
         numbers: dict[str, int] = {}
         windows, owner = [], []
         for d, words in enumerate(docs):
-            ids = np.array([numbers.setdefault(w, len(numbers)) for w in words] or [-1])
-            ids = np.append(ids, np.full(max(0, WINDOW - len(ids)), -1))
+            ids = np.array([numbers.setdefault(w, len(numbers)) for w in words] or [-1], np.int32)
+            ids = np.append(ids, np.full(max(0, WINDOW - len(ids)), -1, np.int32))
             first = starts(len(words), STRIDE)
-            if not toxic[d] and len(first) > CLEAN_WINDOWS:
-                first = self.rng.choice(first, CLEAN_WINDOWS, replace=False)
             windows.append(ids[first[:, None] + np.arange(WINDOW)])
-            owner.append(np.full(len(first), d))
+            owner.append(np.full(len(first), d, np.int32))
         self.windows, self.doc = np.concatenate(windows), np.concatenate(owner)
         self.flat, self.size = subwords(list(numbers))
         self.at = np.concatenate([[0], np.cumsum(self.size)])
@@ -260,7 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64(F.col("id").cast("string"), F.lit("toxicity"))
     sample = known.where("toxic = 1").orderBy(order, "id").limit(positives).unionByName(known.where("toxic = 0").orderBy(order, "id").limit(negatives))
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas()  # both bounded by the sample
+    sizes = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.max(F.octet_length("text")).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(order, "id"))  # over the sample only
+    sample = settle(sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "toxic"))
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas()  # rows and bytes are bounded by the sample
     found = found.sort_values("id")
     held = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in found.id], bool)
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
