@@ -1,12 +1,7 @@
 """Neighbourhood scores of candidate pairs.
 
-Shared neighbours are found first.  Candidates of two ends of at most ``PACKED``
-neighbours meet both neighbour lists and intersect them, so only shared
-neighbours become rows.  A candidate with a hub is joined with the neighbours of
-its end of lower degree, then with the hub's on two keys: what is made grows with
-the smaller neighbourhood, never with the squares of hub degrees.  Weights are
-joined to the shared neighbours, and one aggregation gives all sums.  A method
-joins only what it needs.
+Sums over shared neighbours come from tiles (see ``neighbours``); a method asks for
+the sums it needs only.
 """
 
 from __future__ import annotations
@@ -16,14 +11,13 @@ from pyspark.sql import functions as F
 
 from ..session import settled
 from .matrix import mirror
+from .neighbours import APART, LEAST, LINKS, PRODUCT, shared_sums
 
 #: Scores in the order of the wide table.
 METHODS = ("factaplus", "bitola", "arrowsmith", "jaccard", "prefattach", "amw", "ltc_amw")
 #: Names for figures (fixed values).
 TITLES = {"anni": "ANNI", "prefattach": "Preferential Attachment", "factaplus": "FACTA+", "jaccard": "Jaccard", "arrowsmith": "Arrowsmith", "bitola": "BITOLA", "amw": "AMW", "ltc_amw": "LTC-AMW"}
 MOST_AMW = 1000
-#: Most neighbours of a concept whose list travels with candidates.
-PACKED = 1024
 
 
 def degrees(adjacency: DataFrame) -> DataFrame:
@@ -31,36 +25,10 @@ def degrees(adjacency: DataFrame) -> DataFrame:
     return adjacency.groupBy("x").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def shared(ends: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(x, y, links): the common neighbours of candidates, those without any left out; a candidate with a hub has a row for each.
-
-    ``ends`` need degrees dx and dy and first/second, see ``ordered_ends``.
-    """
-    packed = adjacency.groupBy("x").agg(F.collect_list("y").alias("near"))
-    hub = F.greatest("dx", "dy") > PACKED
-    lists = packed.where(F.size("near") <= PACKED)
-    small = ends.where(~hub & (F.least("dx", "dy") > 0)).select("x", "y")
-    small = small.join(lists.withColumnRenamed("near", "_a"), "x").join(lists.select(F.col("x").alias("y"), F.col("near").alias("_b")), "y")
-    met = small.select("x", "y", F.array_intersect("_a", "_b").alias("links")).where(F.size("links") > 0)
-    one = adjacency.select(F.col("x").alias("first"), F.col("y").alias("link"))
-    two = adjacency.select(F.col("x").alias("second"), F.col("y").alias("link"))
-    large = ends.where(hub).select("x", "y", "first", "second").join(one, "first").join(two, ["second", "link"])
-    return met.unionByName(large.select("x", "y", F.array("link").alias("links")))
-
-
-def wedges(ends: DataFrame, adjacency: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y, link, n1, n2 and ``carried`` of both sides) for every common neighbour of (x, y)."""
-    links = shared(ends, adjacency).select("x", "y", F.explode("links").alias("link"))
-    side = lambda end, k: adjacency.select(F.col("x").alias(end), F.col("y").alias("link"), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{c}_{k}") for c in carried))
-    return links.join(side("x", 1), ["x", "link"]).join(side("y", 2), ["y", "link"])
-
-
-def ordered_ends(candidates: DataFrame, degree: DataFrame) -> DataFrame:
-    """``candidates`` with degrees (0 if unknown) and first/second, the end of lower degree first."""
+def with_degrees(candidates: DataFrame, degree: DataFrame) -> DataFrame:
+    """``candidates`` with the degrees dx and dy of their ends, 0 if unknown."""
     out = candidates.join(degree.select("x", F.col("degree").alias("dx")), "x", "left").join(degree.select(F.col("x").alias("y"), F.col("degree").alias("dy")), "y", "left")
-    out = out.withColumns({"dx": F.coalesce("dx", F.lit(0)), "dy": F.coalesce("dy", F.lit(0))})
-    swap = F.col("dx") > F.col("dy")
-    return out.withColumns({"first": F.when(swap, F.col("y")).otherwise(F.col("x")), "second": F.when(swap, F.col("x")).otherwise(F.col("y"))})
+    return out.withColumns({"dx": F.coalesce("dx", F.lit(0)), "dy": F.coalesce("dy", F.lit(0))})
 
 
 def score_all(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFrame | None, methods: tuple[str, ...] = METHODS) -> DataFrame:
@@ -71,33 +39,27 @@ def score_all(candidates: DataFrame, cooccurrence: DataFrame, occurrence: DataFr
     LTC-AMW would no longer sort by linking terms.  Occurrences matter to FACTA+
     only, counts of pairs to it, BITOLA and AMW.
     """
-    pairs = candidates.select("x", "y").distinct()
+    pairs = settled(candidates.select("x", "y").distinct())
     adjacency = mirror(cooccurrence.select("x", "y", "n"))
-    ends = ordered_ends(pairs, degrees(adjacency))
-    out = ends.select("x", "y", "dx", "dy")
-    weighted = {"factaplus", "bitola", "amw", "ltc_amw"} & set(methods)
-    if weighted:
-        carried = ()
-        if "factaplus" in methods:
-            joined = adjacency.join(occurrence.select("x", F.col("n").alias("ox")), "x", "left").join(occurrence.select(F.col("x").alias("y"), F.col("n").alias("oy")), "y", "left")
-            strength = F.coalesce(F.try_divide(F.col("n").cast("double"), F.least("ox", "oy")), F.lit(0.0))
-            adjacency, carried = settled(joined.select("x", "y", "n", strength.alias("d"))), ("d",)  # read five times
-        sums = [F.count(F.lit(1)).alias("arrowsmith"), F.sum(F.col("n1") * F.col("n2")).alias("bitola"), F.sum(F.least("n1", "n2")).alias("least")]
-        sums += [F.product(1 - F.col("d_1") * F.col("d_2")).alias("apart")] if carried else []
-        out = out.join(wedges(ends, adjacency, carried).groupBy("x", "y").agg(*sums), ["x", "y"], "left")
-    elif {"arrowsmith", "jaccard"} & set(methods):
-        counted = shared(ends, adjacency).groupBy("x", "y").agg(F.sum(F.size("links")).alias("arrowsmith"))
-        out = out.join(counted, ["x", "y"], "left")
-    else:
-        out = out.withColumn("arrowsmith", F.lit(0))
-    links = F.coalesce("arrowsmith", F.lit(0))
+    asked = {"factaplus": (APART,), "bitola": (PRODUCT,), "arrowsmith": (LINKS,), "jaccard": (LINKS,), "prefattach": (), "amw": (LINKS, LEAST), "ltc_amw": (LINKS, LEAST)}
+    sums = tuple(s for s in (LINKS, PRODUCT, LEAST, APART) if any(s in asked[m] for m in methods))
+    if APART in sums:
+        joined = adjacency.join(occurrence.select("x", F.col("n").alias("ox")), "x", "left").join(occurrence.select(F.col("x").alias("y"), F.col("n").alias("oy")), "y", "left")
+        adjacency = joined.select("x", "y", "n", F.coalesce(F.try_divide(F.col("n").cast("double"), F.least("ox", "oy")), F.lit(0.0)).alias("d"))
+    adjacency = settled(adjacency)
+    out = with_degrees(pairs, degrees(adjacency)).select("x", "y", "dx", "dy")
+    if sums:
+        out = out.join(shared_sums(pairs, adjacency, sums), ["x", "y"], "left")
+    if LINKS not in sums:
+        out = out.withColumn(LINKS, F.lit(0))
+    links = F.coalesce(LINKS, F.lit(0))
     either = F.col("dx") + F.col("dy") - links
     if {"amw", "ltc_amw"} & set(methods):
-        amw = F.when(links > 0, F.col("least") / links).otherwise(0.0)
+        amw = F.when(links > 0, F.col(LEAST) / links).otherwise(0.0)
         out = out.withColumn("_amw", F.when(amw < MOST_AMW, amw).otherwise(F.raise_error(F.lit("AMW must be below 1000 for LTC-AMW")).cast("double")))
     every = {
-        "factaplus": lambda: 1 - F.coalesce("apart", F.lit(1.0)),
-        "bitola": lambda: F.coalesce("bitola", F.lit(0)).cast("long"),
+        "factaplus": lambda: 1 - F.coalesce(APART, F.lit(1.0)),
+        "bitola": lambda: F.coalesce(PRODUCT, F.lit(0)).cast("long"),
         "arrowsmith": lambda: links.cast("long"),
         "jaccard": lambda: F.when(either > 0, links / either).otherwise(0.0),
         "prefattach": lambda: (F.col("dx") + F.col("dy")).cast("long"),

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lacuna.operators import anni, dataset, matrix, mine, score
+from lacuna.operators import anni, dataset, matrix, mine, neighbours, score
 
 
 def rows(df, *cols):
@@ -127,9 +127,10 @@ def plain_scores(co, occ, x, z):
     }
 
 
-@pytest.mark.parametrize("packed", [score.PACKED, 4, 0])
-def test_scores_against_plain_python(spark, monkeypatch, packed):
-    monkeypatch.setattr(score, "PACKED", packed)
+@pytest.mark.parametrize("sizes", [(1 << 21, 1 << 16, 1 << 18, 1 << 21), (40, 20, 3, 7)], ids=["one tile", "small tiles, cut lists"])
+def test_scores_against_plain_python(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "TILE", "LIST", "AT_ONCE"), sizes):
+        monkeypatch.setattr(neighbours, name, size)
     co = [(a, b, n) for y, a, b, n in random_graph(years=(2000,))]
     occ = Counter()
     for a, b, n in co:
@@ -154,7 +155,10 @@ def test_amw_over_the_limit_is_an_error(spark):
         score.score_all(spark.createDataFrame([(1, 2)], "x long, y long"), co, occ).collect()
 
 
-def test_sparse_anni_is_the_dense_product(spark):
+@pytest.mark.parametrize("sizes", [(256, 256, 1 << 18), (3, 4, 10)], ids=["one tile", "small tiles"])
+def test_sparse_anni_is_the_dense_product(spark, monkeypatch, sizes):
+    for name, size in zip(("COUNTS", "IDS", "PAIRS"), sizes):
+        monkeypatch.setattr(anni, name, size)
     co = [(a, b, n) for y, a, b, n in random_graph(years=(2000,), ids=20)]
     occ = {i: 3 + 2 * i for i in range(20)}
     total = 120
