@@ -61,16 +61,20 @@ def split_records(records: DataFrame) -> dict[str, DataFrame]:
     return {kind: records.where(F.col("kind") == kind).select(*year, *cols) for kind, cols in kinds.items()}
 
 
-def mine_texts(texts: DataFrame, words: DataFrame, longest: int, key: str = "doc_id", year: str = "year", blocks: str = "blocks") -> DataFrame:
+def mine_texts(texts: DataFrame, words: DataFrame, longest: int, key: str = "doc_id", year: str = "year", blocks: str = "blocks", level: str = "sentence") -> DataFrame:
     """Texts (key, year, blocks) and a dictionary (tokens, term_id) -> merged records (kind, year, x, y, n).
 
     Blocks are normalised and cut into sentences, sentences into tokens; each
     sentence is tagged with the longest terms and gives its pairs, occurrences and
-    a count of one.  Rows of one key must be of one year.
+    a count of one.  Rows of one key must be of one year.  At ``level`` document, all
+    sentences of a key are one unit, and units are counted instead of sentences.
     """
     block = texts.select(F.col(key).alias("doc"), F.col(year).alias("year"), F.posexplode(F.transform(blocks, lambda b: T.normalise(F.translate(b, "\n", " ")))).alias("block", "text"))
     sentences = block.select("doc", "year", "block", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "s"))
     tagged = vocab.tag(sentences.select("doc", "year", "block", "sentence", T.tokens(F.col("s")).alias("tokens")), words, longest, ("doc", "year", "block", "sentence"))
+    if level == "document":
+        tagged = tagged.groupBy("doc", "year").agg(F.flatten(F.collect_set("ids")).alias("ids"))  # distinct lists of a document's sentences
+        sentences = texts.select(F.col(key).alias("doc"), F.col(year).alias("year")).distinct()
     sets = tagged.select("year", F.lit(0).alias("n_sentences"), F.array(F.array_sort(F.array_distinct("ids"))).alias("term_sets"))
     counts = sentences.groupBy("year").agg(F.count(F.lit(1)).alias("n_sentences"))
     bare = counts.select("year", "n_sentences", F.expr("cast(array() as array<array<bigint>>)").alias("term_sets"))

@@ -458,6 +458,22 @@ def prediction_overlap(spark, sf):
     return evaluate.overlap(evaluate.predicted_pairs(long, evaluate.best_threshold(curve)))
 
 
+_GRADINGS = """SELECT d.doc_id AS x, d.doc_id AS y, l.quality AS "class", unnest(['length', 'lines', 'remainder']) AS method,
+  unnest([CAST(n_chars AS DOUBLE), CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS DOUBLE), CAST(n_chars % 97 AS DOUBLE)]) AS score FROM labels l JOIN documents d USING (doc_id)"""
+
+
+@query(sql("SELECT methods, count(*) AS pairs FROM (SELECT x, y, string_agg(method, '+' ORDER BY method) AS methods FROM melted JOIN best USING (method) WHERE score > threshold GROUP BY x, y) GROUP BY methods",
+    melted=_GRADINGS, by_score='SELECT method, score AS threshold, sum("class") AS pos, sum(1 - "class") AS neg FROM melted GROUP BY ALL', counted=CTE["counted"], curve=_curve(_RATIO), best=_BEST))
+def graded_overlap(spark, sf):
+    """Which of three unlike scores of documents predict the same ones."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("")))
+    wide = docs.select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("quality").alias("class"), F.col("n_chars").alias("length"), lines.alias("lines"), (F.col("n_chars") % 97).alias("remainder"))
+    long = settled(score.melt(wide, ("length", "lines", "remainder"), ("x", "y", "class")))
+    curve = evaluate.sweep(long, 0.2).withColumn("f1", F.round("f1", 9))
+    return evaluate.overlap(evaluate.predicted_pairs(long, evaluate.best_threshold(curve)))
+
+
 # Reports.
 
 
@@ -502,15 +518,15 @@ def corpus_statistics(spark, sf):
 
 def _concepts(spark, sf) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf, "part")
-    return part.select(F.col("p_brand").alias("cuid"), F.lit("ENG").alias("language"), F.col("p_name").alias("term"), F.col("p_partkey").alias("line")), part.select(F.col("p_brand").alias("cuid"), F.col("p_type").alias("type_id"))
+    return part.select(F.col("p_brand").alias("cuid"), F.when(F.col("p_partkey") % 4 == 0, "FRE").otherwise("ENG").alias("language"), F.col("p_name").alias("term"), F.col("p_partkey").alias("line")), part.select(F.col("p_brand").alias("cuid"), F.col("p_type").alias("type_id"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS term_id, p_brand AS cuid, list_sort(list(DISTINCT p_type)) AS types, list_sort(list(DISTINCT lower(p_name))) AS terms FROM part GROUP BY p_brand")
+@query("SELECT CAST(row_number() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS term_id, p_brand AS cuid, list_sort(list(DISTINCT p_type)) AS types, list_sort(list(DISTINCT lower(p_name)) FILTER (p_partkey % 4 <> 0)) AS terms FROM part GROUP BY p_brand HAVING count(*) FILTER (p_partkey % 4 <> 0) > 0")
 def wordlist(spark, sf):
     return vocab.wordlist(*_concepts(spark, sf))
 
 
-@query("SELECT p_brand AS cuid, list_sort(list(DISTINCT p_type)) AS types, arg_min(p_name, p_partkey) AS term FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS cuid, list_sort(list(DISTINCT p_type)) AS types, arg_min(p_name, p_partkey) FILTER (p_partkey % 4 <> 0) AS term FROM part GROUP BY p_brand HAVING count(*) FILTER (p_partkey % 4 <> 0) > 0")
 def cuid_mapping(spark, sf):
     return vocab.cuid_mapping(*_concepts(spark, sf))
 
@@ -564,10 +580,23 @@ _NORMAL = f"SELECT doc_id, trim(regexp_replace({_BRACKETS.format("replace(text,
   UNION ALL SELECT 'OCCURRENCE', year, term_id, NULL, count(*) FROM hits GROUP BY ALL UNION ALL SELECT 'SENTENCECOUNT', year, NULL, NULL, count(*) FROM texts GROUP BY ALL""", normals=_NORMAL, **_MINE))
 def mined_texts(spark, sf):
     """Whole documents to merged records, with the benchmark's words as dictionary; a document's year is made of its id."""
+    words, texts = _mined(spark, sf)
+    return mine.mine_texts(texts, words, 1)
+
+
+def _mined(spark, sf) -> tuple[DataFrame, DataFrame]:
     words = table(spark, sf, "benchmark").select(F.explode(T.lowered(T.tokens(F.col("text")))).alias("t")).distinct()
     ranked = words.select(F.array("t").alias("tokens"), (F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("term_id"))  # a vocabulary
     texts = table(spark, sf, "documents").select("doc_id", (1995 + F.col("doc_id") % 7).cast("int").alias("year"), F.array("text").alias("blocks"))
-    return mine.mine_texts(texts, settled(ranked), 1)
+    return settled(ranked), texts
+
+
+@query(sql("""SELECT 'COOCCURRENCE' AS kind, a.year, a.term_id AS x, b.term_id AS y, count(*) AS n FROM of_document a JOIN of_document b ON a.doc_id = b.doc_id AND a.term_id < b.term_id GROUP BY ALL
+  UNION ALL SELECT 'OCCURRENCE', year, term_id, NULL, count(*) FROM of_document GROUP BY ALL UNION ALL SELECT 'SENTENCECOUNT', CAST(1995 + doc_id % 7 AS INT), NULL, NULL, count(*) FROM documents GROUP BY ALL""", normals=_NORMAL, **_MINE, of_document="SELECT DISTINCT year, doc_id, term_id FROM hits"))
+def mined_documents(spark, sf):
+    """As ``mined_texts``, a whole document being the unit in which terms meet."""
+    words, texts = _mined(spark, sf)
+    return mine.mine_texts(texts, words, 1, level="document")
 
 
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z]+')"
