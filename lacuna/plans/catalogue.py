@@ -612,12 +612,20 @@ def tag_terms_unigram(spark, sf):
     return per_word.groupBy("doc_id").agg(F.sum("n").alias("n_mentions"), F.count(F.lit(1)).alias("n_terms"))
 
 
-@query(None)
+@query(sql("""SELECT doc_id, CAST(sentence AS INT) AS sentence, list_reduce(hits, lambda acc, h: CASE WHEN len(list_intersect(acc.taken, h.taken)) = 0 THEN {'taken': list_concat(acc.taken, h.taken), 'ids': list_concat(acc.ids, h.ids)} ELSE acc END).ids AS ids
+  FROM (SELECT doc_id, sentence, list({'taken': range(i, i + l), 'ids': [term_id]} ORDER BY l DESC, i) AS hits FROM hits GROUP BY doc_id, sentence)""",
+    tok=f"SELECT {_tokens('s')} AS t FROM (SELECT unnest({_sentences('text')}) AS s FROM benchmark)",
+    terms="SELECT array_to_string(t, ' ') AS term, len(t) AS l FROM tok WHERE len(t) > 0 UNION SELECT w, 1 FROM (SELECT unnest(t) AS w FROM tok)",
+    ranked="SELECT term, l, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms",
+    sents=f"SELECT doc_id, sentence, {_tokens('s')} AS t FROM (SELECT doc_id, unnest(range(len(p))) AS sentence, unnest(p) AS s FROM (SELECT doc_id, {_sentences('text')} AS p FROM documents))",
+    places="SELECT doc_id, sentence, t, unnest(range(1, len(t) + 1)) AS i FROM sents",
+    grams="SELECT doc_id, sentence, i, l, array_to_string(t[i:i + l - 1], ' ') AS term FROM places JOIN (SELECT DISTINCT string_split(term, ' ')[1] AS f, l FROM terms) ON f = t[i] AND i + l - 1 <= len(t)",
+    hits="SELECT doc_id, sentence, i, l, term_id FROM grams JOIN ranked USING (term, l)"))
 def tag_terms_longest(spark, sf):
     """Longest-match tagging of every sentence with the benchmark's sentences and words, whole terms of any length."""
     items = table(spark, sf, "benchmark").select(F.explode(T.sentences(F.col("text"))).alias("s")).select(T.lowered(T.tokens(F.col("s"))).alias("t"))
     terms = items.unionByName(items.select(F.explode("t").alias("w")).select(F.array("w").alias("t"))).where(F.size("t") > 0).distinct()
-    words = settled(terms.select(F.col("t").alias("tokens"), F.xxhash64("t").alias("term_id")))
+    words = settled(terms.select(F.col("t").alias("tokens"), (F.row_number().over(Window.orderBy(F.array_join("t", " "))) - 1).cast("long").alias("term_id")))  # a vocabulary
     longest = words.agg(F.max(F.size("tokens"))).first()[0] or 1
     docs = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "s"))
     return vocab.tag(docs.select("doc_id", "sentence", T.tokens(F.col("s")).alias("tokens")), words, longest)
