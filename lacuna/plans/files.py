@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.matrix import ids_of
 from ..session import new_folder
 from ..sources import markup, tables
-from .catalogue import query
-from .fixtures import table
+from ..streaming import incremental
+from .catalogue import query, sql
+from .fixtures import SPLIT, Graph, table
 
 #: Rows of a file in the queries that roll files over.
 MOST_ROWS = 37
@@ -150,3 +152,21 @@ def float_matrix_files(spark, sf):
     at = new_folder(spark)
     tables.write_matrix_parts(table(spark, sf, "embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("vec")), at)
     return tables.read_matrix_parts(spark, at).select("x", F.col("vec").cast("array<double>").alias("vec"))
+
+
+@query(sql("SELECT 'new' AS what, year, x, y, n FROM val UNION ALL SELECT 'occurrence', year, x, NULL, n FROM occ UNION ALL SELECT 'sentences', CAST(year(o_orderdate) AS INT), NULL, NULL, count(*) FROM orders GROUP BY ALL", "val", "occ"))
+def streamed_counts(spark, sf):
+    """Mentions as a stream of three files: pairs first seen in the validation year, and counts of concepts and sentences."""
+    g = Graph(spark, sf)
+    units = g.orders.select(F.col("o_orderkey").alias("unit"), "year")
+    mentions = units.join(g.mentions.select("unit", "t"), "unit", "left").select("unit", "year", "t")
+    at, out = new_folder(spark), new_folder(spark)
+    mentions.repartition(3, "unit").write.parquet(at)
+    stream = spark.readStream.schema(mentions.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    incremental.mine_stream(stream, out, new_folder(spark)).awaitTermination()
+    incremental.track_stream(spark, out, new_folder(spark)).awaitTermination()
+    known = ids_of(incremental.current(spark, out).where(F.col("year") < SPLIT))
+    none = F.lit(None).cast("long")
+    found = incremental.holdout(spark, out, known, SPLIT).select(F.lit("new").alias("what"), "year", "x", "y", "n")
+    found = found.unionByName(incremental.current(spark, out, incremental.CONCEPTS).select(F.lit("occurrence").alias("what"), "year", "x", none.alias("y"), "n"))
+    return found.unionByName(incremental.current(spark, out, incremental.UNITS).select(F.lit("sentences").alias("what"), "year", none.alias("x"), none.alias("y"), "n"))
