@@ -29,9 +29,10 @@ docs = spark.createDataFrame([(i, f"the cat number {{i}} sat", "en", "s") if i %
 labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
 vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "vec_id long, embedding array<float>")
 pages = spark.createDataFrame([(i, f"https://a{{i}}.org/x") if i % 2 else (i, f"https://b{{i}}.com/de/") for i in range(40)], "page_id long, url string")
-from lacuna.llm import langid, nearcopies, pieces, simhash, tokencount, topk, toxicity, url_lm
+turns = spark.createDataFrame([(i // 4, i % 4, "user", f"turn {{i % 9}}") for i in range(40)], "conv_id long, turn long, role string, text string")
+from lacuna.llm import align, langid, nearcopies, pieces, simhash, tokencount, topk, toxicity, trie, url_lm, warc
 from lacuna.llm import vectors as vec
-for name, df in {{"langid": langid.identify_documents(docs), "toxicity": toxicity.score_documents(docs, labels), "simhash": simhash.deduplicate_documents(docs), "near": nearcopies.one_of_each_group(docs), "tokens": tokencount.count_documents(docs), "pieces": pieces.decode_pieces(pieces.encode_documents(docs)), "vectors": vec.deduplicate_embeddings(vectors), "top": topk.search_embeddings(vectors), "urls": url_lm.judge_pages(pages)}}.items():
+for name, df in {{"langid": langid.identify_documents(docs), "toxicity": toxicity.score_documents(docs, labels), "simhash": simhash.deduplicate_documents(docs), "near": nearcopies.one_of_each_group(docs), "tokens": tokencount.count_documents(docs), "pieces": pieces.decode_pieces(pieces.encode_documents(docs)), "vectors": vec.deduplicate_embeddings(vectors), "top": topk.search_embeddings(vectors), "urls": url_lm.judge_pages(pages), "align": align.align_documents(docs), "warc": warc.archive_pages(pages.withColumn("html", F.col("url"))), "trie": trie.rebuilt_trie(turns)}}.items():
     print(name, len(df.collect()))
 """
 
@@ -44,4 +45,4 @@ def test_without_the_package(tmp_path):
     if "workers see the package" in done.stderr:
         pytest.skip("the package is installed for every interpreter here")
     assert done.returncode == 0, done.stderr[-3000:]
-    assert len(done.stdout.split()) == 18
+    assert len(done.stdout.split()) == 24
