@@ -38,6 +38,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +46,11 @@ from .common import settle
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A chunk closes when it holds so many parts or characters.
-PARTS, CHARS = 250_000, 1 << 24
+PARTS, CHARS = 200_000, 1 << 24
 #: Texts are encoded in blocks of so many characters, longer ones in parts of that size.
 BLOCK = 1 << 20
 #: Transitions remembered before the transducer starts anew.
-TRANSITIONS = 1 << 18
+TRANSITIONS = 1 << 17
 MARK = "▁"
 #: Where both sides end a token: a blank between two characters that aren't white space.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
@@ -325,12 +326,11 @@ class Builder:
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Keys and texts of rows in blocks of bounded text; column 0 is the key, 1 the text."""
     for batch in batches:
-        texts, at, size = batch.column(1).to_pylist(), 0, 0
-        for k, text in enumerate(texts):
-            size += len(text or "")
-            if size > BLOCK or k == len(texts) - 1:
-                yield batch.column(0).slice(at, k + 1 - at), texts[at : k + 1]
-                at, size = k + 1, 0
+        bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))]) // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(bounds[:-1])) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            if end > at:
+                yield batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at).to_pylist()
 
 
 FIELDS = (("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("items", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())), ("at", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()))
