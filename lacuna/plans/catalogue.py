@@ -756,7 +756,7 @@ def _binary(g: Graph, last: int) -> DataFrame:
     return g.once("binary", last, lambda: matrix.transform(g.known(last), mirrored=True, values="binary"))
 
 
-@query(f"SELECT CAST(factor AS INT) AS factor, 0.0 AS left_residual, 0.0 AS right_residual FROM range({GRAPH_K}) AS r(factor)")
+@query(f"SELECT CAST(factor AS INT) AS factor, CAST(0 AS DOUBLE) AS left_residual, CAST(0 AS DOUBLE) AS right_residual FROM range({GRAPH_K}) AS r(factor)")
 def svd_residuals(spark, sf):
     """Of each factor trained on the graph, how far products of matrix and factor are from sigma times the other one."""
     g, u, sigma, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
@@ -764,7 +764,7 @@ def svd_residuals(spark, sf):
     return found.select("factor", F.round("left", 4).alias("left_residual"), F.round("right", 4).alias("right_residual"))
 
 
-@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS left_dot, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS right_dot FROM range({GRAPH_K}) AS a(i), range({GRAPH_K}) AS b(j)")
+@query(f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(i = j AS DOUBLE) AS left_dot, CAST(i = j AS DOUBLE) AS right_dot FROM range({GRAPH_K}) AS a(i), range({GRAPH_K}) AS b(j)")
 def svd_orthonormal(spark, sf):
     """Products of all pairs of factors trained on the graph."""
     _, u, _, v = _graph_factors(spark, sf, SPLIT, GRAPH_K)
