@@ -62,6 +62,13 @@ def greedy(hits: Column) -> Column:
     return F.aggregate(ordered, start, choose, lambda acc: acc["ids"])
 
 
+def tag_single(units: DataFrame, words: DataFrame, key: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
+    """``key`` and ids: all dictionary ids of each unit's distinct tokens; rows of one key are one unit.  Terms of several tokens don't count."""
+    ids = words.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("gram"), "term_id")
+    spoken = units.select(*key, F.explode(F.array_distinct(T.lowered(F.col(tokens)))).alias("gram"))
+    return spoken.join(ids, "gram").groupBy(*key).agg(F.collect_list("term_id").alias("ids"))
+
+
 def tag(sentences: DataFrame, words: DataFrame, longest: int, key: tuple[str, ...] = ("doc_id", "sentence"), tokens: str = "tokens") -> DataFrame:
     """``key`` and ids: all dictionary ids of each sentence with a hit, longest terms first.
 

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lacuna.operators import anni, dataset, matrix, mine, neighbours, score
@@ -195,3 +196,18 @@ def test_titles_and_links(spark):
     assert [r[0] for r in df.select(score.title()).collect()] == ["LTC-AMW", "SVD", "other"]
     got = score.shared_links(1, 2, pairs(spark, [(1, 3, 4), (2, 3, 5), (1, 7, 1)]))
     assert rows(got) == [(3, 4, 5)]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 23, 4096, 1024, 1 << 22), (60, 5, 3, 20)], ids=["at once", "few common concepts, small steps"])
+def test_pairs_of_large_sets_are_summed_many_sets_at_once(spark, monkeypatch, sizes):
+    for name, size in zip(("ENTRIES", "COMMON", "SETS", "STEP"), sizes):
+        monkeypatch.setattr(mine, name, size)
+    rnd = random.Random(3)
+    units = [(rnd.choice([2000, 2001]), sorted(rnd.sample(range(30), rnd.choice([0, 1, 2, 5, 25])))) for _ in range(80)]
+    expected = Counter((y, a, b) for y, ts in units for a, b in itertools.combinations(ts, 2))
+    made = mine.pair_sums(spark.createDataFrame(units, "year int, terms array<long>"))
+    assert rows(made, "year", "x", "y", "n") == sorted((*k, n) for k, n in expected.items())
+    sets = [ts for _, ts in units if len(ts) > 1]
+    parts = list(mine.counted(np.concatenate([np.array(ts) for ts in sets]), np.array([len(ts) for ts in sets])))
+    if len(parts) == 1:
+        assert len(parts[0][0]) == len({p for ts in sets for p in itertools.combinations(ts, 2)})  # a row for each pair, not for each set's pairs
