@@ -211,3 +211,30 @@ def test_pairs_of_large_sets_are_summed_many_sets_at_once(spark, monkeypatch, si
     parts = list(mine.counted(np.concatenate([np.array(ts) for ts in sets]), np.array([len(ts) for ts in sets])))
     if len(parts) == 1:
         assert len(parts[0][0]) == len({p for ts in sets for p in itertools.combinations(ts, 2)})  # a row for each pair, not for each set's pairs
+
+
+def test_cells_without_shared_neighbours_get_nothing(spark, monkeypatch):
+    """Two graphs apart: lists and pairs of one aren't sent to tiles of both."""
+    for name, size in (("BLOCK", 20), ("TILE", 100)):
+        monkeypatch.setattr(neighbours, name, size)
+    near = [(a + far, b + far, 1) for far in (0, 1000) for a, b in itertools.combinations(range(12), 2) if (a + b) % 3]
+    adjacency = matrix.mirror(pairs(spark, near))
+    met = []
+    broadcast = neighbours.F.broadcast
+    monkeypatch.setattr(neighbours.F, "broadcast", lambda df: met.append(df) or broadcast(df))
+    asked = pairs(spark, [(a, b) for a in range(12) for b in range(1000, 1012)] + [(a, b) for a, b in itertools.combinations(range(12), 2)], "x long, y long")
+    got = {(r.x, r.y): r.links for r in neighbours.shared_sums(asked, adjacency, (neighbours.LINKS,)).collect()}
+    n = {(a, b) for a, b, _ in near} | {(b, a) for a, b, _ in near}
+    expected = {(x, y): sum((x, z) in n and (y, z) in n for z in range(12)) for x, y in itertools.combinations(range(12), 2)}
+    assert got == {p: v for p, v in expected.items() if v}
+    tiles = {(r.i, r.j) for r in met[0].collect()}
+    blocks = max(j for _, j in tiles) + 1
+    assert len(tiles) < blocks * (blocks + 1) // 2
+
+
+@pytest.mark.parametrize("share", [0.0, None])
+def test_negatives_look_at_a_share_of_the_order_only(spark, monkeypatch, share):
+    ids, truth = spark.range(400).withColumnRenamed("id", "x"), pairs(spark, [(1, 2, 1)])
+    whole = rows(dataset.negatives(ids, truth, 900), "x", "y")
+    monkeypatch.setattr(dataset, "_first_share", lambda *_: 1.0 if share is None else share)  # none at first, or all
+    assert rows(dataset.negatives(ids, truth, 900), "x", "y") == whole and len(whole) == 900
