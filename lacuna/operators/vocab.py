@@ -65,7 +65,7 @@ def greedy(hits: Column) -> Column:
 def tag_single(units: DataFrame, words: DataFrame, key: tuple[str, ...], tokens: str = "tokens") -> DataFrame:
     """``key`` and ids: all dictionary ids of each unit's distinct tokens; rows of one key are one unit.  Terms of several tokens don't count."""
     ids = words.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("gram"), "term_id")
-    spoken = units.select(*key, F.explode(F.array_distinct(T.lowered(F.col(tokens)))).alias("gram"))
+    spoken = units.select(*key, F.explode_outer(F.array_distinct(T.lowered(F.col(tokens)))).alias("gram"))  # a plain explode makes Spark filter by the tokens first, which makes them twice
     return spoken.join(ids, "gram").groupBy(*key).agg(F.collect_list("term_id").alias("ids"))
 
 
@@ -81,13 +81,16 @@ def tag(sentences: DataFrame, words: DataFrame, longest: int, key: tuple[str, ..
     ids = words.groupBy("tokens").agg(F.array_sort(F.collect_list("term_id")).alias("ids")).withColumn("length", F.size("tokens"))
     ids = ids.withColumn("gram", F.array_join("tokens", mark)).withColumn("two", F.array_join(F.slice("tokens", 1, 2), mark))
     low = sentences.select(*key, T.lowered(F.col(tokens)).alias("_t"))
-    single = low.select(*key, F.posexplode("_t").alias("start", "gram")).join(ids.where("length = 1").select("gram", "ids"), "gram")
+    single = low.select(*key, F.posexplode_outer("_t").alias("start", "gram")).join(ids.where("length = 1").select("gram", "ids"), "gram")  # outer: else tokens are made twice, for a filter
     hits = single.select(*key, F.lit(1).alias("length"), (F.col("start") + 1).alias("start"), "ids")
-    places = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_t", i, F.lit(2)), mark).alias("two"), F.slice("_t", i, F.lit(longest)).alias("rest")))
     lengths = ids.where("length > 1").groupBy("two").agg(F.collect_set("length").alias("lengths"))
-    begun = low.where(F.size("_t") > 1).select(*key, F.explode(places).alias("p")).select(*key, "p.*").join(lengths, "two")
+    places = F.when(F.size("_t") > 1, F.sequence(F.lit(1), F.size("_t") - 1))
+    begun = low.select(*key, "_t", F.explode_outer(places).alias("start"))
+    two = F.concat(F.get("_t", F.col("start") - 1), F.lit(mark), F.get("_t", F.col("start")))
+    begun = begun.select(*key, "start", two.alias("two"), F.slice("_t", F.coalesce("start", F.lit(1)), F.lit(longest)).alias("rest")).join(lengths, "two")
     spread = begun.select(*key, "start", "rest", F.explode("lengths").alias("length")).where(F.size("rest") >= F.col("length"))
     spread = spread.select(*key, "start", "length", F.array_join(F.slice("rest", F.lit(1), F.col("length")), mark).alias("gram"))
     hits = hits.unionByName(spread.join(ids.where("length > 1").select("gram", "ids"), "gram").select(*key, "length", "start", "ids"))
     found = hits.groupBy(*key).agg(F.collect_list(F.struct("length", "start", "ids")).alias("_hits"))
-    return found.select(*key, greedy(F.col("_hits")).alias("ids"))
+    plain = F.flatten(F.transform(F.array_sort("_hits"), lambda h: h["ids"]))  # single tokens can't overlap
+    return found.select(*key, F.when(F.exists("_hits", lambda h: h["length"] > 1), greedy(F.col("_hits"))).otherwise(plain).alias("ids"))

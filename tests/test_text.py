@@ -206,3 +206,12 @@ def test_texts_to_records_end_to_end(spark):
                 expected.update(("COOCCURRENCE", year, x, y) for x, y in itertools.combinations(ids, 2))
     assert got == dict(expected)
     assert expected["COOCCURRENCE", 2001, 0, 1] == expected["COOCCURRENCE", 2001, 4, 5] == 1 and not expected["OCCURRENCE", 2002, 5, None]
+
+
+def test_tokens_are_made_once_and_beginnings_looked_up_before_terms_are_cut(spark):
+    sentences = spark.createDataFrame([(1, 0, ["A", "b", "c", "a"]), (1, 1, ["b"]), (2, 0, []), (3, 0, ["c", "a"]), (4, 0, None)], "doc_id long, sentence int, tokens array<string>")
+    words = spark.createDataFrame([(["a", "b"], 7), (["a"], 1), (["b"], 2), (["b"], 3)], "tokens array<string>, term_id long")
+    made = vocab.tag(sentences, words, 2)
+    assert sorted((r.doc_id, r.sentence, r.ids) for r in made.collect()) == [(1, 0, [7, 1]), (1, 1, [2, 3]), (3, 0, [1])]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lambda" in line]
