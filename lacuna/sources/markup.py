@@ -7,11 +7,13 @@ lose, so fragments are walked in Python, one record at a time, in Arrow batches.
 from __future__ import annotations
 
 import html
+import itertools
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ IGNORED = ("table", "table-wrap", "xref", "disp-formula", "inline-formula", "ref
 SEPARATING = ("title", "p", "sec", "break", "def-item", "list-item", "caption")
 #: Loose HTML: elements without text, and void elements (fixed values).
 HTML_IGNORED = ("script", "style", "nav", "head", *IGNORED)
+#: Records that a task turns into rows at once.
+RECORDS = 128
 HTML_VOID = ("br", "hr", "img", "meta", "link", "input")
 HTML_SEPARATING = ("title", "p", "div", "h1", "h2", "h3", "li", "article", "br", "section")
 
@@ -158,11 +162,23 @@ def _finish(titles, texts):
 
 
 def _unescaped(df: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def unescape(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda xs: [html.unescape(x) for x in xs])
+    at = df.columns.index("blocks")
+
+    def unescape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, RECORDS):  # a batch may hold thousands of whole texts
+                some = batch.slice(first, RECORDS)
+                made = [[html.unescape(x) for x in xs] for xs in some.column(at).to_pylist()]
+                yield some.set_column(at, some.schema.field(at), pa.array(made, some.schema.field(at).type))
+
+    return df.mapInArrow(unescape, df.schema).withColumn("blocks", F.transform("blocks", T.drop_wordless_brackets))
 
-    return df.withColumn("blocks", F.transform(unescape("blocks"), T.drop_wordless_brackets))
+
+def _in_pieces(records: Iterator[dict], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Records as batches of about ``RECORDS``; titles and texts are lists."""
+    kinds = [pa.list_(pa.string()) if c in ("titles", "texts") else pa.string() for c in columns]
+    while some := list(itertools.islice(records, RECORDS)):
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in some], kind) for c, kind in zip(columns, kinds)], names=columns)
 
 
 def _parsed(source: str | bytes):
@@ -182,19 +198,20 @@ def read_citations(spark: SparkSession, path) -> DataFrame:
     close = "</MedlineCitation>"
     columns = ["pmid", "year", "free_date", "titles", "texts", "error"]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
-            for value in batch["value"]:
+            for text in batch.column(0):
+                value = text.as_py()
                 at = value.find("<MedlineCitation>")
                 at = value.find("<MedlineCitation ") if at < 0 else at
                 if at >= 0:
                     root, error = _parsed(value[at:] + close)
-                    found = {"titles": [], "texts": [], "error": error} if error else citation_record(root)
-                    rows.append([found.get(c) for c in columns])
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    yield {"titles": [], "texts": [], "error": error} if error else citation_record(root)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_pieces(records(batches), columns)
 
-    parts = spark.read.text(path, lineSep=close).mapInPandas(parse, "pmid string, year string, free_date string, titles array<string>, texts array<string>, error string")
+    parts = spark.read.text(path, lineSep=close).select("value").mapInArrow(parse, "pmid string, year string, free_date string, titles array<string>, texts array<string>, error string")
     out = parts.select(F.col("pmid").alias("doc_id"), "pmid", F.lit("").alias("pmcid"), F.lit("").alias("doi"), T.simple_year(F.col("year"), F.col("free_date")).alias("pub_year"), "year", "free_date", _finish(F.col("titles"), F.col("texts")).alias("blocks"), "error")
     return _unescaped(out)
 
@@ -208,18 +225,19 @@ def read_articles(spark: SparkSession, path, pattern: str = "*.nxml") -> DataFra
 
     columns = ["pmid", "pmc", "doi", "year", "kind", "lang", "type", "titles", "texts", "path", "error"]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
-            for where, content in zip(batch["path"], batch["content"]):
-                root, error = _parsed(bytes(content))
-                articles = [] if error else [root] if root.tag == "article" else list(root.iter("article"))
-                found = [{"titles": [], "texts": [], "error": error}] if error else [d for article in articles for d in article_documents(article)]
-                rows += [[(d | {"path": where}).get(c) for c in columns] for d in found]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            for where, content in zip(batch.column(0), batch.column(1)):
+                root, error = _parsed(content.as_py())
+                articles = [] if error else [root] if root.tag == "article" else root.iter("article")
+                found = [{"titles": [], "texts": [], "error": error}] if error else (d for article in articles for d in article_documents(article))
+                yield from (d | {"path": where.as_py()} for d in found)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_pieces(records(batches), columns)
 
     schema = "pmid string, pmc string, doi string, year string, kind string, lang string, type string, titles array<string>, texts array<string>, path string, error string"
-    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(parse, schema)
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(parse, schema)
     out = parts.select(F.coalesce(F.nullif("pmid", F.lit("")), "pmc").alias("doc_id"), "pmid", F.col("pmc").alias("pmcid"), "doi", F.col("year").try_cast("int").alias("pub_year"), _finish(F.col("titles"), F.col("texts")).alias("blocks"), F.col("kind").alias("part"), "path", F.col("type").alias("article_type"), "lang", "error")
     return _unescaped(out)
 

@@ -215,3 +215,11 @@ def test_tokens_are_made_once_and_beginnings_looked_up_before_terms_are_cut(spar
     assert sorted((r.doc_id, r.sentence, r.ids) for r in made.collect()) == [(1, 0, [7, 1]), (1, 1, [2, 3]), (3, 0, [1])]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "lambda" in line]
+
+
+def test_records_become_rows_some_at_a_time():
+    taken = []
+    rows = ({"pmid": str(taken.append(i) or i), "titles": ["a"], "texts": []} for i in range(3 * markup.RECORDS))
+    pieces = markup._in_pieces(rows, ["pmid", "titles", "texts", "error"])
+    assert next(pieces).num_rows == len(taken) == markup.RECORDS
+    assert [p.num_rows for p in pieces] == [markup.RECORDS] * 2
