@@ -9,7 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from lacuna import session
 from lacuna.operators import anni, dataset, matrix, mine, neighbours, score
+from lacuna.plans.fixtures import Graph
 
 
 def rows(df, *cols):
@@ -238,3 +242,12 @@ def test_negatives_look_at_a_share_of_the_order_only(spark, monkeypatch, share):
     whole = rows(dataset.negatives(ids, truth, 900), "x", "y")
     monkeypatch.setattr(dataset, "_first_share", lambda *_: 1.0 if share is None else share)  # none at first, or all
     assert rows(dataset.negatives(ids, truth, 900), "x", "y") == whole and len(whole) == 900
+
+
+def test_mentions_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks of mining grow in number with the items; adaptive execution doesn't put them together again."""
+    monkeypatch.setattr(session, "ROWS", 500)
+    mentions = Graph(spark, "/root/testdata/sf0.001").mentions
+    rows = mentions.count()
+    parts = mentions.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(parts) == -(-rows // 500) and max(r["count"] for r in parts) < 3 * 500
