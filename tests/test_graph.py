@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -251,3 +252,24 @@ def test_mentions_are_dealt_by_rows(spark, monkeypatch):
     rows = mentions.count()
     parts = mentions.groupBy(F.spark_partition_id().alias("part")).count().collect()
     assert len(parts) == -(-rows // 500) and max(r["count"] for r in parts) < 3 * 500
+
+
+def test_scores_at_rest_write_and_send_no_more_than_needed(spark):
+    """The same scores with nothing copied; degrees are joined for the methods that use them only, lists hold what the sums need."""
+    co = pairs(spark, [(1, 2, 3), (1, 3, 1), (2, 3, 2), (3, 4, 5), (2, 4, 1), (4, 5, 2)])
+    occ = spark.createDataFrame([(1, 4), (2, 6), (3, 8), (4, 8), (5, 2)], "x long, n long")
+    cand = spark.createDataFrame([(1, 4, 1), (1, 5, 0), (2, 5, 0), (3, 5, 1)], "x long, y long, class int")
+    whole = rows(score.score_all(cand, co, occ), "x", "y", *score.METHODS)
+    kept = score.score_all(cand, co, occ, at_rest=True, keep=("class",))
+    assert rows(kept, "x", "y", *score.METHODS) == whole and rows(kept, "x", "y", "class") == rows(cand)
+    for at, m in enumerate(score.METHODS):
+        one = score.score(cand, co, occ, m, at_rest=True)
+        assert rows(one) == [(*r[:2], r[2 + at]) for r in whole]
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert ("dx#" in plan) == (m in ("jaccard", "prefattach"))
+    folder, adjacency = session.shared_folder(spark), matrix.mirror(co)
+    before = len(list(Path(folder.removeprefix("file:")).iterdir()))
+    score.score(cand, co, None, "arrowsmith", at_rest=True).collect()
+    assert len(list(Path(folder.removeprefix("file:")).iterdir())) == before
+    links = neighbours.shared_sums(cand.select("x", "y"), adjacency.drop("n").withColumn("n", F.lit(None).cast("long")), (neighbours.LINKS,))
+    assert sorted((r.x, r.y, r.links) for r in links.collect()) == [(1, 4, 2), (2, 5, 1), (3, 5, 1)]
