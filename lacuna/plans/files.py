@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import text as T
 from ..operators.matrix import ids_of
 from ..session import new_folder
@@ -156,13 +157,14 @@ def float_matrix_files(spark, sf):
 
 @query(sql("SELECT 'new' AS what, year, x, y, n FROM val UNION ALL SELECT 'occurrence', year, x, NULL, n FROM occ UNION ALL SELECT 'sentences', CAST(year(o_orderdate) AS INT), NULL, NULL, count(*) FROM orders GROUP BY ALL", "val", "occ"))
 def streamed_counts(spark, sf):
-    """Mentions as a stream of three files: pairs first seen in the validation year, and counts of concepts and sentences."""
+    """Mentions as a stream of three batches of files, more files for more rows: pairs first seen in the validation year, and counts of concepts and sentences."""
     g = Graph(spark, sf)
     units = g.orders.select(F.col("o_orderkey").alias("unit"), "year")
     mentions = units.join(g.mentions.select("unit", "t"), "unit", "left").select("unit", "year", "t")
     at, out = new_folder(spark), new_folder(spark)
-    mentions.repartition(3, "unit").write.parquet(at)
-    stream = spark.readStream.schema(mentions.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    files = -(-g.rows // (3 * session.ROWS))
+    mentions.repartition(3 * files, "unit").write.parquet(at)
+    stream = spark.readStream.schema(mentions.schema).option("maxFilesPerTrigger", files).parquet(at)
     incremental.mine_stream(stream, out, new_folder(spark)).awaitTermination()
     incremental.track_stream(spark, out, new_folder(spark)).awaitTermination()
     known = ids_of(incremental.current(spark, out).where(F.col("year") < SPLIT))

@@ -1,5 +1,9 @@
+from pathlib import Path
+
 import pytest
+from lacuna import session
 from lacuna.operators import dataset, mine
+from lacuna.plans import catalogue, files  # noqa: F401
 from lacuna.streaming import incremental
 
 SCHEMA = "unit long, year int, t long"
@@ -26,3 +30,14 @@ def test_stream_equals_batch(spark, tmp_path, late):
     ids = spark.createDataFrame([(i,) for i in range(9)], "x long")
     for year in years:
         assert same(incremental.holdout(spark, out, ids, year), dataset.holdout(pairs, ids, year))
+
+
+def test_more_rows_come_as_more_files_of_three_batches(spark, monkeypatch):
+    """Files grow in number with the items; counts stay the same."""
+    few = sorted(files.streamed_counts(spark, "/root/testdata/sf0.001").collect(), key=str)
+    monkeypatch.setattr(session, "ROWS", 500)
+    made = []
+    monkeypatch.setattr(files, "new_folder", lambda s: made.append(session.new_folder(s)) or made[-1])
+    assert sorted(files.streamed_counts(spark, "/root/testdata/sf0.001").collect(), key=str) == few
+    at, out = (Path(m.removeprefix("file:")) for m in made[:2])
+    assert len(list(at.glob("*.parquet"))) > 9 and len(list((out / "cooccurrence").glob("batch=*"))) == 3
