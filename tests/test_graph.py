@@ -273,3 +273,57 @@ def test_scores_at_rest_write_and_send_no_more_than_needed(spark):
     assert len(list(Path(folder.removeprefix("file:")).iterdir())) == before
     links = neighbours.shared_sums(cand.select("x", "y"), adjacency.drop("n").withColumn("n", F.lit(None).cast("long")), (neighbours.LINKS,))
     assert sorted((r.x, r.y, r.links) for r in links.collect()) == [(1, 4, 2), (2, 5, 1), (3, 5, 1)]
+
+
+def test_sums_come_in_rounds(spark, monkeypatch):
+    """Tiles that don't fit one round are written by rounds, each with whole tiles; sums are those of one round, near or far, cut or not."""
+    near = [(a + far, b + far, a % 3 + 1) for far in (0, 1000, 2000) for a, b in itertools.combinations(range(14), 2) if (a + b) % 3]
+    near += [(5, 1005, 2), (5, 1006, 1), (1005, 2001, 3)]
+    adjacency = matrix.mirror(pairs(spark, near)).withColumn("d", F.lit(0.5) / F.col("n"))
+    asked = pairs(spark, [(a, b) for a in range(14) for b in range(a + 1, 14)] + [(a, b) for a in range(14) for b in range(1000, 1014)] + [(1004, 1009), (1005, 2002), (7, 2003)], "x long, y long")
+    every = (neighbours.LINKS, neighbours.PRODUCT, neighbours.LEAST, neighbours.APART)
+    sorted_rows = lambda: sorted((r.x, r.y, r.links, r.product, r.least, round(r.apart, 9)) for r in neighbours.shared_sums(asked, adjacency, every).collect())
+    whole = sorted_rows()
+    assert whole
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    for patched in ({"ROUND": 60, "TILE": 100}, {"ROUND": 60, "BLOCK": 30, "LIST": 4}, {"ROUND": 200, "BLOCK": 30, "NEAR": 0, "TILE": 40}):
+        with monkeypatch.context() as m:
+            for name, size in patched.items():
+                m.setattr(neighbours, name, size)
+            before = len(list(folder.iterdir()))
+            assert sorted_rows() == whole, patched
+            assert len(list(folder.iterdir())) > before + 1
+
+
+def test_what_is_settled_keeps_no_shuffle(spark):
+    blocks = lambda: [b for b in map(str, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|")) if "shuffle_" in b]
+    before = len(blocks())
+    kept = session.settled(spark.range(1000).repartition(4, "id"))
+    assert len(blocks()) <= before and kept.count() == 1000
+    assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def test_one_split_sums_pairs_once(spark):
+    """The same known pairs, ids, test pairs and candidates without a table of every year."""
+    whole, one = Graph(spark, "/root/testdata/sf0.001", at_rest=True), Graph(spark, "/root/testdata/sf0.001", one_split=True)
+    assert rows(one.known(), "x", "y", "n") == rows(whole.known(), "x", "y", "n")
+    assert rows(one.testing(), "year", "x", "y") == rows(whole.testing(), "year", "x", "y")
+    assert rows(one.candidates()) == rows(whole.candidates())
+    assert not any(name == "cooccurrence" for name, _ in one.done)
+
+
+def test_negatives_are_drawn_in_parts(spark, monkeypatch):
+    ids, truth = spark.range(400).withColumnRenamed("id", "x"), pairs(spark, [(1, 2, 1)])
+    whole = rows(dataset.negatives(ids, truth, 900), "x", "y")
+    monkeypatch.setattr(dataset, "DRAWN", 1000)
+    assert rows(dataset.negatives(ids, truth, 900), "x", "y") == whole and len(whole) == 900
+
+
+def test_concept_scores_come_in_slices(spark, monkeypatch):
+    co = pairs(spark, [(1, 2, 3), (1, 3, 1), (2, 3, 2), (3, 4, 5), (2, 4, 1), (4, 5, 2)])
+    occ = spark.createDataFrame([(1, 4), (2, 6), (3, 8), (4, 8), (5, 2)], "x long, n long")
+    cand = pairs(spark, [(a, b) for a, b in itertools.combinations(range(1, 6), 2)], "x long, y long")
+    scores = lambda: [(r.x, r.y, round(r.anni, 12)) for r in anni.score_anni(cand, co, occ, 100).orderBy("x", "y").collect()]
+    whole = scores()
+    monkeypatch.setattr(anni, "SLICE", 3)
+    assert scores() == whole and len(whole) == 10
