@@ -67,7 +67,7 @@ def citation_errors(spark, sf):
     return _citations(spark, sf).agg(F.count_if(F.col("error").isNotNull() & F.col("pmid").isNull()).alias("malformed"), F.count_if(F.col("error").isNull()).alias("whole"))
 
 
-def _articles(spark, sf) -> DataFrame:
+def _articles(spark, sf, texts: bool = True) -> DataFrame:
     """Documents written as articles with a sub-article each, a hundred a file, and read again."""
     c, key = F.col, F.col("id").cast("string")
     an_id = lambda kind, when, text: F.when(when, _xml(f"<article-id pub-id-type='{kind}'>", text, "</article-id>")).otherwise("")
@@ -81,7 +81,7 @@ def _articles(spark, sf) -> DataFrame:
     files = _pieces(spark, sf).groupBy(F.floor(c("id") / 100).alias("file")).agg(F.concat(F.lit("<articles>"), F.array_join(F.collect_list(value), ""), F.lit("</articles>")).alias("value"))
     at = new_folder(spark)
     files.select("value").write.option("maxRecordsPerFile", 1).text(at)
-    return markup.read_articles(spark, at, "part-*")
+    return markup.read_articles(spark, at, "part-*", texts)
 
 
 _ARTICLES = f"""WITH p AS ({_PARTS}), every AS (
@@ -101,7 +101,7 @@ def article_files(spark, sf):
 
 @query(_ARTICLES + "SELECT pmid, pmcid, article_type, CAST(pub_year AS VARCHAR) AS pub_year, part FROM rows WHERE lang = 'en'")
 def article_summaries(spark, sf):
-    return markup.article_summary(_articles(spark, sf)).drop("path")
+    return markup.article_summary(_articles(spark, sf, texts=False)).drop("path")
 
 
 def _rolled(rows: str) -> str:
@@ -113,7 +113,7 @@ def _rolled(rows: str) -> str:
 def article_path_lists(spark, sf):
     """Paths of main articles by year, so many a file."""
     at = new_folder(spark)
-    tables.article_lists(markup.article_summary(_articles(spark, sf)), at, MOST_ROWS)
+    tables.article_lists(markup.article_summary(_articles(spark, sf, texts=False)), at, MOST_ROWS)
     return spark.read.parquet(at).groupBy("year", "file").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -133,16 +133,16 @@ def _in_front(article, path: str) -> list:
     return [*article.findall(f"./front/article-meta/{path}"), *article.findall(f"./front-stub/{path}")]
 
 
-def article_documents(article) -> Iterator[dict]:
-    """The article and its direct sub-articles; those without ids or a year take the parent's."""
+def article_documents(article, texts: bool = True) -> Iterator[dict]:
+    """The article and its direct sub-articles; those without ids or a year take the parent's.  Without ``texts``, only what describes them."""
     own = _ids(article)
     for part in [article, *article.findall("./sub-article")]:
         ids = own if part is article else _ids(part)
         if not (ids["pmid"] or ids["pmc"] or ids["doi"]):
             ids = ids | {k: own[k] for k in ("pmid", "pmc", "doi")}
         ids = ids | {"year": ids["year"] or own["year"]}
-        titles = [blocks_of(_in_front(part, f"title-group/{name}")) for name in ("article-title", "subtitle")]
-        rest = [blocks_of(_in_front(part, "abstract")), *(blocks_of(part.findall(f"./{name}")) for name in ("body", "back", "floats-group"))]
+        titles = [blocks_of(_in_front(part, f"title-group/{name}")) for name in ("article-title", "subtitle")] if texts else []
+        rest = [blocks_of(_in_front(part, "abstract")), *(blocks_of(part.findall(f"./{name}")) for name in ("body", "back", "floats-group"))] if texts else []
         kind = "MAIN" if part is article else "SUB"
         yield ids | {"kind": kind, "lang": part.get("{http://www.w3.org/XML/1998/namespace}lang", "en"), "type": part.get("article-type", ""), "titles": sum(titles, []), "texts": sum(rest, [])}
 
@@ -216,11 +216,12 @@ def read_citations(spark: SparkSession, path) -> DataFrame:
     return _unescaped(out)
 
 
-def read_articles(spark: SparkSession, path, pattern: str = "*.nxml") -> DataFrame:
+def read_articles(spark: SparkSession, path, pattern: str = "*.nxml", texts: bool = True) -> DataFrame:
     """Article files -> documents with ``part`` (MAIN or SUB), ``path`` and ``article_type``.
 
     Files whose name doesn't fit ``pattern`` are left alone; a malformed one is a
-    row with nothing but ``path`` and ``error``.
+    row with nothing but ``path`` and ``error``.  Without ``texts``, there are no
+    ``blocks``, and text isn't walked or decoded: summaries need none.
     """
 
     columns = ["pmid", "pmc", "doi", "year", "kind", "lang", "type", "titles", "texts", "path", "error"]
@@ -230,7 +231,7 @@ def read_articles(spark: SparkSession, path, pattern: str = "*.nxml") -> DataFra
             for where, content in zip(batch.column(0), batch.column(1)):
                 root, error = _parsed(content.as_py())
                 articles = [] if error else [root] if root.tag == "article" else root.iter("article")
-                found = [{"titles": [], "texts": [], "error": error}] if error else (d for article in articles for d in article_documents(article))
+                found = [{"titles": [], "texts": [], "error": error}] if error else (d for article in articles for d in article_documents(article, texts))
                 yield from (d | {"path": where.as_py()} for d in found)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,7 @@ def read_articles(spark: SparkSession, path, pattern: str = "*.nxml") -> DataFra
     schema = "pmid string, pmc string, doi string, year string, kind string, lang string, type string, titles array<string>, texts array<string>, path string, error string"
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInArrow(parse, schema)
     out = parts.select(F.coalesce(F.nullif("pmid", F.lit("")), "pmc").alias("doc_id"), "pmid", F.col("pmc").alias("pmcid"), "doi", F.col("year").try_cast("int").alias("pub_year"), _finish(F.col("titles"), F.col("texts")).alias("blocks"), F.col("kind").alias("part"), "path", F.col("type").alias("article_type"), "lang", "error")
-    return _unescaped(out)
+    return _unescaped(out) if texts else out.drop("blocks")
 
 
 def article_summary(articles: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 from lacuna.operators import mine
-from lacuna.sources import tables
+from lacuna.sources import markup, tables
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,12 @@ def test_document_level(spark):
     records = lambda level: sorted(map(tuple, mine.mine_texts(texts, words, 1, level=level).collect()), key=str)
     assert records("document") == sorted([("COOCCURRENCE", 2000, 0, 1, 1), ("OCCURRENCE", 2000, 0, None, 1), ("OCCURRENCE", 2000, 1, None, 2), ("SENTENCECOUNT", 2000, None, None, 2), ("SENTENCECOUNT", 2001, None, None, 2)], key=str)
     assert ("COOCCURRENCE", 2000, 0, 1, 1) not in records("sentence")
+
+
+def test_article_summaries_walk_no_text(spark, tmp_path):
+    """What describes articles is read alike without their texts, which aren't walked then."""
+    (tmp_path / "a.nxml").write_text("<article article-type='research'><front><article-meta><article-id pub-id-type='pmid'>7</article-id><pub-date><year>2001</year></pub-date></article-meta></front><body><p>x</p></body></article>")
+    whole = markup.article_summary(markup.read_articles(spark, str(tmp_path))).collect()
+    heads = markup.read_articles(spark, str(tmp_path), texts=False)
+    assert "blocks" not in heads.columns and markup.article_summary(heads).collect() == whole and len(whole) == 1
+    assert [d["texts"] for d in markup.article_documents(markup.ET.fromstring((tmp_path / "a.nxml").read_text()), texts=False)] == [[]]
