@@ -4,7 +4,10 @@ Both token sequences spell the same bytes.  A transducer walks them together and
 keeps which side leads and by which bytes: the dangling suffix of its last token.
 The other side's next token is matched against that suffix, so every step but a
 group's first is one link (two tokens with overlapping byte ranges), and a group
-closes when nothing dangles.  Transitions are remembered by state and token.
+closes when nothing dangles.  Short parts take their steps together, in numpy: both
+sides have been seen to spell the same bytes, so a state is the number of bytes that
+dangle, its sign the side.  Long ones are walked alone, transitions remembered by
+state and token.
 
 No token of either side spans a blank between two other characters, so texts fall
 apart there and a distinct part is encoded and walked once while it is
@@ -33,8 +36,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +55,20 @@ PARTS, CHARS = 250_000, 1 << 24
 BLOCK = 1 << 20
 #: Transitions remembered before the transducer starts anew.
 TRANSITIONS = 1 << 18
+#: Parts encoded and walked at once, those that make one text for A's faster library, and the most tokens of a part that isn't walked alone.
+AT_ONCE, JOINED, STEPS = 20_000, 256, 64
 MARK = "▁"
 #: Where both sides end a token: a blank between two characters that aren't white space.
-SEAM = re.compile(r"(?<=\S) (?=\S)")
+SEAM = re.compile(r" (?<=\S )(?=\S)")
 #: A blank beside other white space or at an end, where the seams need a closer look.
-UNEVEN = re.compile(r"\s | \s|^ | \Z")
+UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s )|\Z|(?<=^ ))")
 #: How A cuts a text before it merges (fixed value of the format).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters before it have been the same in all versions of Unicode that libraries know.
 AFTER_LATIN = "\u0250"
 PROBES = ("the end", "a b  c d", " x y", "x y ", "it 's we 'll I'd don't", "1 2 3.5 6", "! ! ?! x", "é è ß\n\n ü ö", "end\nof\tline is", "<s> </s> <|endoftext|> x", "\xa0a \x85 b\x1c c²½ ªº·")
+#: White space up to there.
+SPACES = [k for k in range(ord(AFTER_LATIN)) if chr(k).isspace()]
 DOCUMENT, PARTS_OF_CHUNK, PAIR = 0, 1, 2
 
 
@@ -71,6 +79,40 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def ends(lengths: np.ndarray) -> np.ndarray:
+    """Where runs of these lengths begin, and the end of the last."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
+
+
+def ordered(values: np.ndarray, lengths: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values``, the k-th of which belongs to ``order[k]`` of ``n``, in the order of what they belong to, and their lengths."""
+    starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    starts[order], sizes[order] = ends(lengths)[:-1], lengths
+    upto = ends(sizes)
+    return values[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)], sizes
+
+
+def concatenated(table: pa.Array, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The entries ``ids`` of a table of large binaries in a row, and where each begins."""
+    found = table.take(pa.array(ids, pa.int64()))
+    _, bounds, data = found.buffers()
+    return (data.to_pybytes(), np.frombuffer(bounds, np.int64, len(ids) + 1)) if len(ids) else (b"", np.zeros(1, np.int64))
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, lengths.sum()), lengths
+
+
+def measured(parts: list[str], text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each part with the blank before it, and whether it is of Latin signs without white space at its ends; ``text`` is a blank and each of them."""
+    signs = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = ends(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    sizes = np.add.reduceat(1 + (signs > 0x7F) + (signs > 0x7FF) + (signs > 0xFFFF), at[:-1])
+    beyond = np.logical_or.reduceat(signs >= ord(AFTER_LATIN), at[:-1])
+    return sizes, ~(beyond | np.isin(signs[at[:-1] + 1], SPACES) | np.isin(signs[at[1:] - 1], SPACES))
+
+
 class Tokenizers:
     """The two tokenizers, and the bytes of their ids.
 
@@ -99,6 +141,7 @@ class Tokenizers:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode()
         self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
         self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.spelling_a, self.spelling_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
         self.fast = self.faster(path_a, vocabulary)
 
     def faster(self, path: str, vocabulary: dict[str, int]):
@@ -117,8 +160,7 @@ class Tokenizers:
         same = all(encode(" " + p) == x.ids for p, x in zip(PROBES, self.a.encode_batch([" " + p for p in PROBES], add_special_tokens=False)))
         return encode if same else None
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of a blank and each text by A, and of the text by B, which puts a blank before it."""
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
         of_a: list = [None] * len(texts)
         slow = []
         for k, text in enumerate(texts):
@@ -128,22 +170,43 @@ class Tokenizers:
                 slow.append(k)
         for k, found in zip(slow, self.a.encode_batch_fast([" " + texts[k] for k in slow], add_special_tokens=False)):
             of_a[k] = found.ids
-        return of_a, self.b.encode(texts, num_threads=1)
+        return of_a
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of a blank and each text by A, and of the text by B, which puts a blank before it."""
+        return self.encode_a(texts), self.b.encode(texts, num_threads=1)
+
+    def encode_parts(self, parts: list[str], sizes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts by A in a row and how many each has, and the same of B; ``sizes`` are bytes with the blank.
+
+        ``plain`` ones go to the faster library as one text with seams between them.
+        """
+        even, single = np.flatnonzero(plain & bool(self.fast)), np.flatnonzero(~plain | (not self.fast))
+        at_once = parts if not len(single) else [parts[k] for k in even.tolist()]
+        a, _ = flattened([self.fast(" " + " ".join(at_once[at : at + JOINED])) for at in range(0, len(even), JOINED)])
+        bounds, reached = ends(sizes[even])[1:], np.cumsum(self.lengths_a[a])
+        upto = np.searchsorted(reached, bounds)
+        if len(even) and (reached[-1] != bounds[-1] or (reached[upto] != bounds).any()):
+            return self.encode_parts(parts, sizes, np.zeros(len(parts), bool))
+        n_a = np.diff(upto + 1, prepend=0)
+        if len(single):
+            rest, n_rest = flattened(self.encode_a([parts[k] for k in single.tolist()]))
+            a, n_a = ordered(np.concatenate([a, rest]), np.concatenate([n_a, n_rest]), np.concatenate([even, single]), len(parts))
+        return a, n_a, *flattened(self.b.encode(parts, num_threads=1))
 
     def spell(self, text: str, a: list[int], b: list[int]) -> bool:
         data = b" " + text.encode()
         return b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
 
-    def spelt(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
-        """``spell`` of each; all at once if nothing differs."""
-        data = [b" " + t.encode() for t in texts]
-        whole, sizes, same = b"".join(data), np.array(list(map(len, data)), np.int64), True
-        for ids, spelling, lengths in ((a, self.bytes_a, self.lengths_a), (b, self.bytes_b, self.lengths_b)):
-            flat = list(chain.from_iterable(ids))
-            ends = np.concatenate([[0], np.cumsum(lengths[flat])]) if flat else np.zeros(1, np.int64)
-            upto = np.cumsum([0, *map(len, ids)])
-            same = same and b"".join([spelling[i] for i in flat]) == whole and (np.diff(ends[upto]) == sizes).all()
-        return [True] * len(texts) if same else [self.spell(*x) for x in zip(texts, a, b)]
+    def spelt(self, data: bytes, sizes: np.ndarray, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether both sides spell a part, for each; ``data`` holds them all, a blank before each."""
+        good, at = np.ones(len(sizes), bool), ends(sizes)
+        for ids, n, table in ((a, n_a, self.spelling_a), (b, n_b, self.spelling_b)):
+            spelling, bounds = concatenated(table, ids)
+            of_part = bounds[ends(n)]
+            if spelling != data or (of_part != at).any():
+                good &= [spelling[s:e] == data[x:y] for s, e, x, y in zip(*(v.tolist() for v in (of_part[:-1], of_part[1:], at[:-1], at[1:])))]
+        return good
 
     def separable(self) -> bool:
         """Whether tokens never span a seam."""
@@ -160,7 +223,10 @@ class Transducer:
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.bytes = (None, bytes_a, bytes_b)
+        self.lengths = (None, *(np.array(list(map(len, x)), np.int64) for x in (bytes_a, bytes_b)))
         self.text_a, self.text_b = list(map(str, range(len(bytes_a)))), list(map(str, range(len(bytes_b))))
+        #: Ids of A and then of B as text, each with what follows it inside and at the end of its side of a group.
+        self.signs = pa.array([i + sign for ids, two in ((self.text_a, ",|"), (self.text_b, ",;")) for i in ids for sign in two], pa.large_string()).cast(pa.large_binary())
         self.forget()
 
     def forget(self) -> None:
@@ -212,6 +278,39 @@ class Transducer:
         return ";".join(groups), len(groups)
 
 
+    def walk_all(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """``walk`` of parts whose sides spell the same, a step of all of them at a time: groups with a last ``;``, their number, and all links.
+
+        A part takes as many steps as it has tokens, so the longest come first and those that still walk are a slice.
+        """
+        steps = n_a + n_b
+        order = np.argsort(-steps)
+        first_a, first_b = ends(n_a), ends(n_b)
+        i, j, at = first_a[order], first_b[order], (first_a + first_b)[order]
+        long_a, long_b = self.lengths[1][a], self.lengths[2][b]
+        close_a, close_b, links = np.zeros(len(a), bool), np.zeros(len(b), bool), np.zeros(len(a) + len(b), np.int64)
+        dangling = np.zeros(len(order), np.int64)  # bytes of A's last token, or, negative, of B's
+        walking = np.searchsorted(-steps[order], -np.arange(steps.max(initial=0)))
+        for t, n in enumerate(walking.tolist()):
+            left = dangling[:n]
+            of_a = left <= 0
+            i[:n] += of_a
+            j[:n] += ~of_a
+            x, y = i[:n] - 1, j[:n] - 1
+            links[at[:n] + t] = np.where(left == 0, -1, a[x] << 32 | b[y])
+            left += np.where(of_a, long_a[x], -long_b[y])
+            closed = left == 0
+            close_a[x[closed]] = True
+            close_b[y[closed]] = True
+        last_a, last_b = np.flatnonzero(close_a) + 1, np.flatnonzero(close_b) + 1
+        text = np.zeros(len(a) + len(b), np.int64)
+        text[np.arange(len(a)) + np.concatenate([[0], last_b])[np.cumsum(close_a) - close_a]] = 2 * a + close_a
+        text[np.arange(len(b)) + last_a[np.cumsum(close_b) - close_b]] = 2 * (len(self.text_a) + b) + close_b
+        data, bounds = concatenated(self.signs, text)
+        cuts = bounds[first_a + first_b].tolist()
+        return [data[s:e] for s, e in zip(cuts, cuts[1:])], np.diff(ends(close_a)[first_a]), links[links >= 0]
+
+
 def parts_of(text: str, separable: bool) -> Iterator[list[str]]:
     """The parts between seams, in blocks of bounded size."""
     if not separable:
@@ -228,30 +327,46 @@ def parts_of(text: str, separable: bool) -> Iterator[list[str]]:
 class Chunk:
     """Distinct parts met so far, each encoded and walked once."""
 
-    def __init__(self, tokenizers: Tokenizers, transducer: Transducer):
-        self.tokenizers, self.transducer = tokenizers, transducer
-        self.number: dict[str, int] = {}
-        self.texts: list[str] = []
+    def __init__(self, tokenizers: Tokenizers, transducer: Transducer, separable: bool):
+        self.tokenizers, self.transducer, self.separable = tokenizers, transducer, separable
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.texts: list[bytes] = []  # groups, a ; after each
         self.sizes = np.zeros((0, 5), np.int64)  # spelt, tokens of A, of B, groups, links
+        self.times = np.zeros(0, np.int64)
         self.links = [np.zeros(0, np.int64)]
         self.chars = 0
 
-    def learn(self, parts: set[str]) -> None:
-        number = self.number
-        new = [p for p in parts if p not in number]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            a, b = self.tokenizers.encode(some)
-            links: list[int] = []
-            sizes, before = [], 0
-            for part, x, y, good in zip(some, a, b, self.tokenizers.spelt(some, a, b)):
-                number[part] = len(self.texts)
-                text, n = self.transducer.walk(x, y, links) if good else ("", 0)
-                self.texts.append(text)
-                sizes.append((1, len(x), len(y), n, len(links) - before) if good else (0, 0, 0, 0, 0))
-                before = len(links)
-            self.links.append(np.array(links, np.int64))
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+    def numbers(self, parts: list[list[str]]) -> np.ndarray:
+        """The numbers of all parts in a row; new ones are learnt."""
+        found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        new = list(islice(self.number, len(self.texts), None))
+        for at in range(0, len(new), AT_ONCE):
+            self.learn(new[at : at + AT_ONCE])
+        self.times = np.concatenate([self.times, np.zeros(len(new), np.int64)])
+        return found
+
+    def learn(self, some: list[str]) -> None:
+        text = " " + " ".join(some)
+        sizes, plain = measured(some, text)
+        a, n_a, b, n_b = self.tokenizers.encode_parts(some, sizes, plain & self.separable)
+        good = self.tokenizers.spelt(text.encode(), sizes, a, n_a, b, n_b)
+        alone = n_a + n_b > STEPS
+        few, many = np.flatnonzero(good & ~alone), np.flatnonzero(good & alone)
+        here = np.repeat(good & ~alone, n_a), np.repeat(good & ~alone, n_b)
+        found, n_groups, links = self.transducer.walk_all(a[here[0]], n_a[few], b[here[1]], n_b[few])
+        texts, groups = [b""] * len(some), np.zeros(len(some), np.int64)
+        groups[few] = n_groups
+        for k, text in zip(few.tolist(), found):
+            texts[k] = text
+        first_a, first_b, more = ends(n_a), ends(n_b), []
+        for k in many.tolist():
+            text, groups[k] = self.transducer.walk(a[first_a[k] : first_a[k + 1]].tolist(), b[first_b[k] : first_b[k + 1]].tolist(), more)
+            texts[k] = text.encode() + b";"
+        n_links = n_a + n_b - groups  # every step but a group's first
+        walked = np.concatenate([few, many])
+        self.links.append(ordered(np.concatenate([links, np.array(more, np.int64)]), n_links[walked], walked, len(some))[0])
+        self.texts += texts
+        self.sizes = np.concatenate([self.sizes, np.stack([good.astype(np.int64), n_a, n_b, groups, n_links], 1) * good[:, None]])
 
     def full(self) -> bool:
         return len(self.texts) >= PARTS or self.chars >= CHARS
@@ -267,58 +382,70 @@ class Builder:
         self.open()
 
     def open(self) -> None:
-        self.chunk = Chunk(self.tokenizers, self.transducer)
-        self.times = np.zeros(0, np.int64)
+        self.chunk = Chunk(self.tokenizers, self.transducer, self.separable)
         self.id = self.task << 24 | self.chunks
         self.chunks += 1
 
-    def document(self, blocks: Iterator[list[str]], keep: list[str] | None = None) -> tuple:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, parts, times); ``keep`` gets the groups' text."""
-        chunk, digest = self.chunk, hashlib.sha256()
+    def summed(self, of: np.ndarray, items: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+        """(tokens of A, of B, groups and links of each row, number of its parts, parts, times); rows ``of`` hold ``items``, all of them spelt or it has none."""
+        sizes = self.chunk.sizes[items]
+        held = np.bincount(of, sizes[:, 0] == 0, rows)[of] == 0
+        of, items, times, sizes = of[held], items[held], times[held], sizes[held]
+        np.add.at(self.chunk.times, items, times)
+        bounds = np.searchsorted(of, np.arange(rows + 1))
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(sizes[:, 1:] * times[:, None], 0)])[bounds]
+        return np.diff(sums, axis=0), np.diff(bounds), items, times
+
+    def short(self, texts: list[str | None], keep: bool) -> tuple:
+        """``documents`` of texts without tokens or of a block at most; all their parts at once."""
+        parts = [() if not t else SEAM.split(t) if UNEVEN.search(t) else t.split(" ") for t in texts]
+        numbers = self.chunk.numbers(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        found, times = np.unique(np.repeat(np.arange(len(texts)), lengths) << 32 | numbers, return_counts=True)
+        columns = self.summed(found >> 32, found & 0xFFFFFFFF, times, len(texts))
+        text_of, numbers, at = self.chunk.texts.__getitem__, numbers.tolist(), ends(lengths).tolist()
+        digests, kept = [], []
+        for s, e, n in zip(at, at[1:], columns[1].tolist()):
+            text = b"".join(map(text_of, numbers[s:e]))[:-1] if n else b""
+            digests.append(hashlib.sha256(text).hexdigest() if n else "")
+            if keep:
+                kept.append(text.decode())
+        return *columns, digests, kept
+
+    def long(self, text: str, keep: bool) -> tuple:
+        """``documents`` of one text, a block at a time."""
+        digest, kept = hashlib.sha256(), []
         ids, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, parts in enumerate(blocks):
-            chunk.learn(set(parts))
-            numbers = [chunk.number[p] for p in parts]
-            text = ";".join([chunk.texts[n] for n in numbers])
-            digest.update((";" + text if k else text).encode())
-            if keep is not None:
-                keep.append(text)
-            here, n = np.unique(np.array(numbers, np.int64), return_counts=True)
+        for k, parts in enumerate(parts_of(text, self.separable)):
+            numbers = self.chunk.numbers([parts])
+            groups = (b";" if k else b"") + b"".join(map(self.chunk.texts.__getitem__, numbers.tolist()))[:-1]
+            digest.update(groups)
+            if keep:
+                kept.append(groups.decode())
+            here, n = np.unique(numbers, return_counts=True)
             if k:
                 here, back = np.unique(np.concatenate([ids, here]), return_inverse=True)
                 n = np.bincount(back, np.concatenate([times, n])).astype(np.int64)
             ids, times = here, n
-        sizes = chunk.sizes[ids]
-        if not len(ids) or not sizes[:, 0].all():
-            if keep is not None:
-                keep.clear()
-            return 0, 0, 0, 0, "", ids[:0], times[:0]
-        if len(self.times) < len(chunk.texts):
-            self.times = np.concatenate([self.times, np.zeros(len(chunk.texts) - len(self.times), np.int64)])
-        self.times[ids] += times
-        return *map(int, (times @ sizes)[1:]), digest.hexdigest(), ids, times
-
-    def documents(self, texts: list[str | None], keep: bool = False) -> list[tuple]:
-        """``document`` of each text, the new parts of all of them encoded at once."""
-        short = [SEAM.split(t) if UNEVEN.search(t) else t.split(" ") for t in texts if t and self.separable and len(t) <= BLOCK]
-        self.chunk.learn(set().union(*short))
-        out, at = [], iter(short)
-        for text in texts:
-            self.chunk.chars += len(text or "")
-            blocks = iter(()) if not text else iter((next(at),)) if self.separable and len(text) <= BLOCK else parts_of(text, self.separable)
-            kept = [] if keep else None
-            row = self.document(blocks, kept)
-            out.append((*row, ";".join(kept)) if keep else row)
-        return out
+        columns = self.summed(np.zeros(len(ids), np.int64), ids, times, 1)
+        good = len(columns[2]) > 0
+        return *columns, [digest.hexdigest() if good else ""], ["".join(kept) if good else ""] if keep else []
+
+    def documents(self, texts: list[str | None], keep: bool = False) -> tuple:
+        """Of all texts: (n_a, n_b, n_groups and n_links; number of parts; parts and times in a row; groups_sha256; groups, if ``keep``)."""
+        self.chunk.chars += sum(map(len, filter(None, texts)))
+        runs = []
+        for alone, some in groupby(texts, lambda t: bool(t) and not (self.separable and len(t) <= BLOCK)):
+            runs += [self.long(t, keep) for t in some] if alone else [self.short(list(some), keep)]
+        return *(np.concatenate(c) for c in list(zip(*runs))[:4]), *(list(chain.from_iterable(c)) for c in list(zip(*runs))[4:])
 
     def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(links of each part, their pairs' places, pairs, times) of the chunk; a new one is opened."""
         chunk = self.chunk
         lengths = chunk.sizes[:, 4]
-        times = np.concatenate([self.times, np.zeros(len(lengths) - len(self.times), np.int64)])
         pairs, places = np.unique(np.concatenate(chunk.links), return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, places, np.repeat(times, lengths))
+        np.add.at(counts, places, np.repeat(chunk.times, lengths))
         self.open()
         return lengths, places, pairs, counts
 
@@ -333,8 +460,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, lis
                 yield batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at).to_pylist()
 
 
-FIELDS = (("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("items", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())), ("at", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()))
-ROWS = "kind int, chunk long, key {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, items array<int>, times array<long>, at int, a int, b int, n long"
+FIELDS = (("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("items", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("at", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()))
+ROWS = "kind int, chunk long, key {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, items array<int>, times array<int>, at int, a int, b int, n long"
 
 
 def batch_of(kind: int, chunk: int, rows: int, key: pa.Array, **columns) -> pa.RecordBatch:
@@ -344,9 +471,8 @@ def batch_of(kind: int, chunk: int, rows: int, key: pa.Array, **columns) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "chunk", "key", *(name for name, _ in FIELDS)])
 
 
-def lists_of(values: list[np.ndarray], of: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), of))
+def lists_of(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends(lengths).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 class Alignment:
@@ -368,16 +494,16 @@ class Alignment:
             def closed() -> Iterator[pa.RecordBatch]:
                 chunk = builder.id
                 lengths, places, pairs, counts = builder.close()
-                yield batch_of(PARTS_OF_CHUNK, chunk, 1, pa.nulls(1, none), items=lists_of([places], pa.int32()), times=lists_of([lengths], pa.int64()))
+                yield batch_of(PARTS_OF_CHUNK, chunk, 1, pa.nulls(1, none), items=lists_of(places, [len(places)]), times=lists_of(lengths, [len(lengths)]))
                 for at in range(0, len(pairs), 50_000):
                     some = pairs[at : at + 50_000]
                     yield batch_of(PAIR, chunk, len(some), pa.nulls(len(some), none), at=np.arange(at, at + len(some), dtype=np.int32), a=(some >> 32).astype(np.int32), b=(some & 0xFFFFFFFF).astype(np.int32), n=counts[at : at + len(some)])
 
             for keys, texts in blocks_of(batches):
                 none = keys.type
-                found = list(zip(*builder.documents(texts)))
-                columns = {name: list(values) for (name, _), values in zip(FIELDS, found[:5])}
-                yield batch_of(DOCUMENT, builder.id, len(texts), keys, **columns, items=lists_of(found[5], pa.int32()), times=lists_of(found[6], pa.int64()))
+                sums, lengths, items, times, digests, _ = builder.documents(texts)
+                columns = {name: values for (name, _), values in zip(FIELDS, (*sums.T, digests))}
+                yield batch_of(DOCUMENT, builder.id, len(texts), keys, **columns, items=lists_of(items, lengths), times=lists_of(times, lengths))
                 if builder.chunk.full():
                     yield from closed()
             if none is not None:
@@ -401,7 +527,6 @@ class Alignment:
             kinds = left.column("kind").to_numpy()
             docs = left.filter(pa.array(kinds == DOCUMENT)).combine_chunks()
             numbers = lambda table, name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = lambda lengths: np.concatenate([[0], np.cumsum(lengths)])
             between = lambda values, bounds: ends(values)[bounds[1:]] - ends(values)[bounds[:-1]]
             chunk = left.filter(pa.array(kinds == PARTS_OF_CHUNK))
             places, lengths = numbers(chunk, "items"), numbers(chunk, "times")
@@ -427,8 +552,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", path_a: str |
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder = Builder(Tokenizers(path_a, path_b), 0)
         for keys, texts in blocks_of(batches):
-            rows = builder.documents(texts, keep=True)
-            yield pa.RecordBatch.from_arrays([keys, pa.array([r[-1] or None for r in rows], pa.string())], names=["key", "groups"])
+            kept = builder.documents(texts, keep=True)[-1]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([k or None for k in kept], pa.string())], names=["key", "groups"])
             if builder.chunk.full():
                 builder.open()
 

@@ -123,3 +123,32 @@ def test_faster_library_gives_the_same_ids():
     texts = [f"{x}{y} {z}{x}" for x in ("é", "it's", "1a", "--", "Ab", "\n\t") for y in ("", "'ll", "²", "ÿ", "\x85") for z in ("q", "'S", "00", "ɏ", "\x1d")]
     assert all(max(t) < align.AFTER_LATIN for t in texts)
     assert tokens.encode(texts)[0] == [x.ids for x in tokens.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def test_short_parts_are_encoded_and_walked_together(monkeypatch):
+    """A part costs no call of its own, unless it is long (op11_align took 1,519 CPU seconds a GB when each did)."""
+    tokens, calls = align.Tokenizers(), []
+    monkeypatch.setattr(tokens, "separable", lambda: True)
+    encode, walk = tokens.fast, align.Transducer.walk
+    monkeypatch.setattr(tokens, "fast", lambda text: calls.append("encoded") or encode(text))
+    monkeypatch.setattr(align.Transducer, "walk", lambda *a: calls.append("walked") or walk(*a))
+    align.Builder(tokens, 0).documents([" ".join(f"wörd{k} x{k}y" for k in range(at, at + 100)) for at in range(0, 1000, 100)] + ["nospace" * 300])
+    assert calls.count("encoded") <= 10 and calls.count("walked") == 1
+
+
+def test_steps_of_all_parts_at_a_time(monkeypatch):
+    tokens = align.Tokenizers()
+    parts = sorted({p for t in TEXTS if t for p in align.SEAM.split(t)} | {"x" * k for k in range(1, 90)} | {f"é{k}'ll 🙂{k}" for k in range(300)})
+    monkeypatch.setattr(align, "JOINED", 7)
+    for separable in (True, False):
+        chunk = align.Chunk(tokens, align.Transducer(tokens.bytes_a, tokens.bytes_b), separable)
+        assert chunk.numbers([parts]).tolist() == list(range(len(parts)))
+        machine, at, all_links = align.Transducer(tokens.bytes_a, tokens.bytes_b), 0, align.np.concatenate(chunk.links)
+        for part, text, sizes in zip(parts, chunk.texts, chunk.sizes.tolist()):
+            (a,), (b,) = tokens.encode([part])
+            links = []
+            groups, n = machine.walk(a, b, links) if tokens.spell(part, a, b) else (None, 0)
+            assert sizes == ([1, len(a), len(b), n, len(links)] if groups else [0] * 5) and text.decode() == (groups + ";" if groups else "")
+            assert all_links[at : at + len(links)].tolist() == links
+            at += len(links)
+        assert at == len(all_links) and 0 < sum(chunk.sizes[:, 0]) < len(parts)
